@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, media, mixing, packing, pii, quality, rules, toxicity
+from . import jaccard, media, mixing, packing, pii, quality, rules, substring, toxicity
 from .text import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -19,6 +19,10 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,5 +47,5 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_personal_data, op4_quality_classifier, op5_source_mixing, op6_packing, op7_quality_rules, op8_media_columns, op9_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_personal_data, op3_substring_dedup, op4_quality_classifier, op5_source_mixing, op6_packing, op7_quality_rules, op8_media_columns, op9_jaccard_join)}
 ORACLE: dict[str, str] = {}
