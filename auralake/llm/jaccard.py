@@ -42,6 +42,8 @@ CLASSES = 64
 #: Regions of so many documents or fewer compare all pairs; outsiders of larger ones are compared directly up to OUTSIDERS.
 SMALL, OUTSIDERS, DEEPEST = 12, 48, 4
 SALTS = 32
+#: Ids that are broadcast to pick texts, at most (8 bytes each).
+BROADCAST_IDS = 1 << 20
 
 
 def shingle_sets(text: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
@@ -266,3 +268,12 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     out = own.select("doc_id", *keys).join(named, keys, "left")
     mine = F.col("n") > 0
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(mine & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(mine, F.col("node")).otherwise(F.col("doc_id")).alias("class_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs without the rows that link, directly or not, with a row of a smaller id."""
+    found = jaccard_join(docs)
+    gone = checkpointed(found.where("component_id != doc_id").select("doc_id").distinct())
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -90,10 +90,10 @@ def multipliers(table: DataFrame, stats: dict[str, tuple[float, float]], limit:
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), limit: int = 3, columns: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies and rate of every document; `columns` of docs are carried along."""
+    """doc_id, size, source_size, target, taken, copies and rate of every document; `columns` of docs are carried along in a struct `row`."""
     spark = docs.sparkSession
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("-"))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), *[F.col(c) for c in columns if c not in ("doc_id", "source", "size")])
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), *([F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")] if columns else []))
     base = base.withColumn("key", key).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)))
     parts = checkpointed(base.groupBy("key", "source", "size", "part").agg(F.count("*").alias("n")))
     table = checkpointed(parts.groupBy("key", "size").agg(F.sum("n").alias("n")))
@@ -121,4 +121,11 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), limit:
     placed = base.withColumn("rank", rank).join(shared, ["key", "size", "part"])
     n_copies = F.expr("(own div part_n) + cast(rank <= own % part_n as long)")
     out = placed.withColumn("copies", n_copies).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select("doc_id", *[c for c in columns if c != "doc_id"], *[c for c in ("size",) if c not in columns], "source_size", "target", "taken", "copies", "rate")
+    return out.select("doc_id", *(["row"] if columns else []), "size", "source_size", "target", "taken", "copies", "rate")
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """docs with each row as often as the mix takes it."""
+    copies = mix_sources(docs, columns=tuple(docs.columns), **options).where("copies > 0")
+    each = copies.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return each.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

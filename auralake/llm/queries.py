@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard, media, mixing, packing, pii, quality, rules, substring, toxicity
+from . import jaccard, lines, media, mixing, packing, pii, quality, rules, substring, toxicity
 from .text import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -47,5 +48,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_personal_data, op3_substring_dedup, op4_quality_classifier, op5_source_mixing, op6_packing, op7_quality_rules, op8_media_columns, op9_jaccard_join)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.drop_templates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_personal_data, op3_substring_dedup, op4_quality_classifier, op5_source_mixing, op6_packing, op7_quality_rules, op8_media_columns, op9_jaccard_join, op10_line_dedup)}
 ORACLE: dict[str, str] = {}

@@ -144,16 +144,22 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; a temporary one only where none is set, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        import tempfile
+
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="spark-checkpoint-")
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the cluster's shared checkpoint folder; a temporary one only where none is set, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        sc.setCheckpointDir(folder)
+    """Cut lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

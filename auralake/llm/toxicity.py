@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import labelled
-from .text import Words, held_out, mix, pieces, span_hashes
+from .text import Words, checkpointed, held_out, mix, pieces, span_hashes
 
 STEMS = (4, 5, 6)
 #: Weights of an exact or stem hit, of a hit within one edit, and the factor of a quoted one.
@@ -271,7 +271,7 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.05, steps: int = 40) ->
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[Lexicon, np.ndarray]:
     """The lexicon and the regression's weights."""
-    rows = labelled(docs, labels, "toxic", sample).select("text", "label").persist()
+    rows = checkpointed(labelled(docs, labels, "toxic", sample).select("text", "label"))
     lexicon = learn_lexicon(rows)
     lexicon = Lexicon(sorted(lexicon.words), sorted(lexicon.stems), clean_spellings(rows, lexicon))
 
@@ -281,16 +281,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[Lex
             yield pa.RecordBatch.from_arrays([b.column("label"), *(pa.array(m[:, j].copy()) for j in range(3))], names=["label", "a", "b", "c"])
 
     got = rows.select("text", "label").mapInArrow(run, "label double, a double, b double, c double").groupBy("label", "a", "b", "c").agg(F.count("*").alias("n")).toPandas()  # `sample` rows at most
-    rows.unpersist()
     got = got.sort_values(["a", "b", "c", "label"]).loc[lambda d: d.index.repeat(d.n)]
     if not len(got) or got.label.max() < 0.5:
         return lexicon, np.array([0.0, 0.0, 0.0, -3.0])
     return lexicon, logistic(got[["a", "b", "c"]].to_numpy(), (got.label.to_numpy() >= 0.5).astype(float))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = 20_000) -> DataFrame:
-    """doc_id, held_out, score, predicted (1 from `threshold` on) and the number of hits' logarithm of every document."""
-    lexicon, weights = train(docs, labels, sample)
+def score_rows(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray, columns: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of docs (all, or those named) as a struct `row`, and the score of their text."""
     shared = docs.sparkSession.sparkContext.broadcast((sorted(lexicon.words), sorted(lexicon.stems), lexicon.clean))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +296,20 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
         for b in pieces(batches):
             m = measures(own, b.column("text"))
             score = 1 / (1 + np.exp(-np.clip(m @ weights[:3] + weights[3], -35, 35)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(score)], names=["row", "score"])
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in (columns or docs.columns)]).alias("row"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double")
+
 
-    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = 20_000) -> DataFrame:
+    """doc_id, held_out, score and predicted (1 from `threshold` on) of every document."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scored = score_rows(docs, *train(docs, labels, sample), columns=("doc_id",)).select("row.doc_id", "score")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = 20_000) -> DataFrame:
+    """docs without those that score `threshold` or more."""
+    kept = score_rows(docs, *train(docs, labels, sample)).where(F.col("score") < threshold)
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
