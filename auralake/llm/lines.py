@@ -148,19 +148,22 @@ def drop_templates(docs: DataFrame, **options) -> DataFrame:
     """docs with the lines of recurring templates taken out of `text`; n_lines and n_dropped (worded lines) are added."""
     spark, names = docs.sparkSession, docs.columns
     gone = recurring_lines(docs.select(F.col("text").cast("string").alias("text")), **options)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").cast("string").alias("text"))
+    flat = [f"c{k}" for k in range(len(names))]
+    at = flat[names.index("text")]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f) for c, f in zip(names, flat, strict=True)]).withColumn(at, F.col(at).cast("string"))
+    fields = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
     known = None
     if gone.count() <= BROADCAST:
         known = spark.sparkContext.broadcast(np.sort(gone.toPandas().line.to_numpy(np.int64).view(np.uint64)))
         rows = rows.withColumn("gone", F.lit(None).cast("array<long>"))
     else:  # line by line through a join
-        rows = rows.withColumn("body", F.xxhash64("text"))
+        rows = rows.withColumn("body", F.xxhash64(at))
         own = line_table(docs.select("text"), None, False, 0).select("body", "line").distinct().join(gone, "line", "left_semi")
-        rows = rows.join(own.groupBy("body").agg(F.collect_list("line").alias("gone")), "body", "left")
+        rows = rows.join(own.groupBy("body").agg(F.collect_list("line").alias("gone")), "body", "left").drop("body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
-            t = Lines(b.column("text"))
+        for b in pieces(batches, at):
+            t = Lines(b.column(at))
             if known is not None:
                 drop = np.isin(t.line, known.value)
             else:
@@ -168,16 +171,15 @@ def drop_templates(docs: DataFrame, **options) -> DataFrame:
                 for r, lines in enumerate(b.column("gone").to_pylist()):
                     if lines:
                         drop |= (t.row == r) & np.isin(t.line, np.array(lines, np.int64).view(np.uint64))
-            texts = b.column("text").to_pylist()
+            texts = b.column(at).to_pylist()
             for r in np.unique(t.row[drop]).tolist():
                 a, z = np.searchsorted(t.row, [r, r + 1])
                 lost = set(t.number[a:z][drop[a:z]].tolist())
                 texts[r] = "\n".join(x for k, x in enumerate(texts[r].split("\n")) if k not in lost)
             total = np.bincount(t.row, minlength=b.num_rows)
             dropped = np.bincount(t.row[drop], minlength=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string()), pa.array(total.astype(np.int64)), pa.array(dropped.astype(np.int64))], names=["row", "kept", "n_lines", "n_dropped"])
+            cols = [pa.array(texts, pa.string()) if f == at else b.column(f) for f in flat]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(total.astype(np.int64)), pa.array(dropped.astype(np.int64))], names=[*flat, "n_lines", "n_dropped"])
 
-    schema = rows.select("row").schema["row"].dataType.simpleString()
-    done = rows.select("row", "text", "gone").mapInArrow(run, f"row {schema}, kept string, n_lines long, n_dropped long")
-    kept = [(F.col("kept") if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in names]
-    return done.select(*kept, *[c for c in ("n_lines", "n_dropped") if c not in names])
+    done = rows.mapInArrow(run, f"{fields}, n_lines long, n_dropped long")
+    return done.select(*[F.col(f).alias(c) for c, f in zip(names, flat, strict=True)], *[c for c in ("n_lines", "n_dropped") if c not in names])
