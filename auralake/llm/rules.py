@@ -70,8 +70,9 @@ def dup_lines(data: np.ndarray, off: np.ndarray, gap: np.ndarray) -> tuple[np.nd
     cut = np.flatnonzero(data == 10)
     start = np.unique(np.concatenate((off[:-1], cut + 1)))
     start = start[start < n]
+    start = start[data[start] != 10]  # a row's end is the next row's start, so ends are looked for after it
     edge = np.unique(np.concatenate((off[1:], cut)))
-    end = edge[np.searchsorted(edge, start, "left")] if len(start) else start
+    end = edge[np.searchsorted(edge, start, "right")] if len(start) else start
     worded = np.concatenate(([0], np.cumsum(~gap)))
     full = worded[end] > worded[start]
     start, end = start[full], end[full]
