@@ -48,6 +48,11 @@ def source_targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (1
     return out
 
 
+def exact(x: Column) -> Column:
+    """A sum of doubles as decimals, which doesn't depend on the order of rows."""
+    return F.sum(x.cast("decimal(38,9)")).cast("double")
+
+
 def multipliers(table: DataFrame, stats: dict[str, tuple[float, float]], limit: float, steps: int = 60, tolerance: float = 1e-9) -> dict[str, float]:
     """Newton on the dual. table: key, size, n; stats: mean size and target of each key. Infinity where the target is limit times the size."""
     spark = table.sparkSession
@@ -64,8 +69,8 @@ def multipliers(table: DataFrame, stats: dict[str, tuple[float, float]], limit:
             .select("key", "size", "n", "mean", tilt.alias("tilt"))
             .groupBy("key")
             .agg(
-                F.sum(F.col("n") * F.col("size") * F.least("tilt", F.lit(float(limit)))).alias("value"),
-                F.sum(F.when(F.col("tilt") < limit, F.col("n") * F.col("size") * F.col("size") / F.col("mean") * F.col("tilt")).otherwise(0.0)).alias("slope"),
+                exact(F.col("n") * F.col("size") * F.least("tilt", F.lit(float(limit)))).alias("value"),
+                exact(F.when(F.col("tilt") < limit, F.col("n") * F.col("size") * F.col("size") / F.col("mean") * F.col("tilt")).otherwise(0.0)).alias("slope"),
                 F.sum(F.col("n") * F.col("size")).alias("tokens"),
             )
             .collect()
