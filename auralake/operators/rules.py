@@ -65,8 +65,8 @@ def lint(rules: DataFrame, groups: tuple[str, ...]) -> DataFrame:
         F.array_compact(
             F.array(
                 F.when(F.col("low") > F.col("high"), F.struct(F.lit("error").alias("severity"), F.lit("min is above max").alias("message"))),
-                F.when(F.col("grp").isNotNull() & ~normal(F.col("grp")).isin(*groups), F.struct(F.lit("error"), F.lit("unknown group"))),
-                F.when(F.col("_n") > 1, F.struct(F.lit("warn"), F.lit("repeats an earlier rule"))),
+                F.when(F.col("grp").isNotNull() & ~normal(F.col("grp")).isin(*groups), F.struct(F.lit("error").alias("severity"), F.lit("unknown group").alias("message"))),
+                F.when(F.col("_n") > 1, F.struct(F.lit("warn").alias("severity"), F.lit("repeats an earlier rule").alias("message"))),
             )
         ).alias("found"),
     )
