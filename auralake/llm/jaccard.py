@@ -11,11 +11,10 @@ h <= (1 - t) / (1 + t) * (|x| + |y|).
    inequality for h a document can only have partners in the regions of its first |x| - ceil(t |x|) + 1 pivots, and it is
    replicated to just these.
 3. A region of few documents compares all of its pairs. In a larger one a document becomes pivot and is compared with
-   all others; the region is closed when all of its documents are then in one component. An open region compares the
-   documents outside its largest component with the rest, or, when these are many, is divided again by the next shingle
-   pivot within windows one longer (linked pairs share so many shingles that none is lost).
-4. Before texts are compared, the triangle inequality prunes pairs: counts of shingles in 64 hash classes are distances
-   to 64 fixed pivots, and the sum of their differences is at most h.
+   all others. Regions of one pivot make its cell; the cell is closed when all of its documents are then in one component.
+   In an open cell the documents outside the largest component are joined, in blocks, with all documents of the cell.
+4. Before texts are compared, the triangle inequality prunes pairs: counts of shingles in hash classes (64 or more, by
+   size) are distances to fixed pivots, and the sum of their differences is at most h.
 
 Shingles are 64-bit hashes. Null or empty texts have no shingles, no links and their own id as component; a null id is
 returned with a null component. Ids are taken as unique; rows that repeat one are returned as often.
@@ -38,9 +37,12 @@ SHINGLE = 5
 PERCENT = 80
 #: One in so many documents is looked at to find frequent shingles, of which at most FREQUENT go last in the order.
 SAMPLE, FREQUENT = 16, 1 << 17
-CLASSES = 64
-#: Regions of so many documents or fewer compare all pairs; outsiders of larger ones are compared directly up to OUTSIDERS.
-SMALL, OUTSIDERS, DEEPEST = 12, 48, 4
+#: Regions of so many documents or fewer compare all pairs; larger ones take a pivot.
+SMALL = 12
+#: Outsiders of a cell in a block, and documents that are compared with a block at once.
+BLOCK, CHUNK = 1000, 256
+#: Shingles of a block in so many of its documents are compared by a matrix product, rarer ones by an index.
+DENSE = 16
 SALTS = 32
 #: Ids that are broadcast to pick texts, at most (8 bytes each).
 BROADCAST_IDS = 1 << 20
@@ -80,62 +82,88 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     return got.sort_values(["n", "s"]).s.to_numpy(np.int64).view(np.uint64)
 
 
-def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n, two keys of the set, its first pivots in the order (DEEPEST more than one region needs) and class counts."""
+def class_bits(n: int) -> int:
+    """log2 of the hash classes that a set of n is counted in: about eight shingles to a class, 64 classes at least."""
+    return min(12, max(6, (n // 8).bit_length()))
+
+
+def set_keys(docs: DataFrame) -> DataFrame:
+    """doc_id, n, two keys of the set, and its counts in hash classes (by leading bits)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            cols: list[list] = [[], [], [], []]
+            for s in shingle_sets(b.column("text")):
+                m = mix(s)
+                bits = class_bits(len(s))
+                cols[0].append(len(s))
+                cols[1].append(int(m.sum().view(np.int64)) if len(s) else 0)
+                cols[2].append(int(np.bitwise_xor.reduce(mix(m)).view(np.int64)) if len(s) else 0)
+                cols[3].append(np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 65535).astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=["doc_id", "n", "k1", "k2", "counts"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, counts binary")
+
+
+def windows(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """Each document's first pivots: region (the pivot), salt (of a frequent one, else -1), node, n."""
     order = np.argsort(frequent)
     shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, rank = shared.value
         for b in pieces(batches):
-            cols: list[list] = [[], [], [], [], []]
-            for s in shingle_sets(b.column("text")):
+            heads, salts, nodes, sizes = [], [], [], []
+            for node, s in zip(b.column("doc_id").to_pylist(), shingle_sets(b.column("text")), strict=True):
                 n = len(s)
-                m = mix(s)
-                cols[0].append(n)
-                cols[1].append(int(m.sum().view(np.int64)) if n else 0)
-                cols[2].append(int(np.bitwise_xor.reduce(mix(m)).view(np.int64)) if n else 0)
-                want = min(n, n - int(needed(np.int64(n))) + 1 + DEEPEST)
+                if not n:
+                    continue
+                want = min(n, n - int(needed(np.int64(n))) + 1)
                 at = np.minimum(np.searchsorted(values, s), len(values) - 1) if len(values) else None
                 often = values[at] == s if at is not None else np.zeros(n, bool)
                 head = s[~often][:want]
+                salt = np.full(want, -1, np.int32)
                 if len(head) < want:
                     late = s[often]
+                    salt[len(head) :] = node % SALTS
                     head = np.concatenate((head, late[np.argsort(rank[at[often]], kind="stable")][: want - len(head)]))
-                cols[3].append(head.view(np.int64))
-                cols[4].append(np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=CLASSES), 65535).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.binary())], names=["doc_id", "n", "k1", "k2", "head", "counts"])
+                heads.append(head)
+                salts.append(salt)
+                nodes.append(np.full(want, node, np.int64))
+                sizes.append(np.full(want, n, np.int64))
+            if heads:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.concatenate(salts)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes))], names=["region", "salt", "node", "n"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, head array<long>, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "region long, salt int, node long, n long")
 
 
 def regions(rows: DataFrame) -> DataFrame:
-    """Pairs of small regions (a, b, region null), and for large or salted ones each document with its pivot (a pivot, b document, region).
+    """Pairs of small regions (a, b), and of large or salted ones each document with its pivot (a pivot, b document, star true; region of salted ones).
 
-    rows: region, salt, node, size_at (set size and the region's place in the node's order, 32 bits each). Regions arrive sorted and are streamed: a large one keeps its pivot only.
+    rows: region, salt, node, n. Regions arrive sorted and are streamed: a large one keeps its pivot only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         region: tuple | None = None
-        few: list[tuple[int, int]] = []
+        held: list[tuple[int, int]] = []
         large = False
         out: list[tuple] = []
 
         def close() -> None:
             if not large:
-                for i, (x, nx) in enumerate(few):
-                    for y, ny in few[i + 1 :]:
-                        if 100 * min(nx >> 32, ny >> 32) >= PERCENT * max(nx >> 32, ny >> 32):
-                            out.append((min(x, y), max(x, y), None, None))
+                for i, (x, nx) in enumerate(held):
+                    for y, ny in held[i + 1 :]:
+                        if x != y and 100 * min(nx, ny) >= PERCENT * max(nx, ny):
+                            out.append((min(x, y), max(x, y), False, None))
 
         def taken() -> pa.RecordBatch:
             cols = zip(*out, strict=True) if out else ([], [], [], [])
-            b = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "region", "at"])
+            b = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.int64()), strict=True)], names=["a", "b", "star", "region"])
             out.clear()
             return b
 
         for batch in batches:
-            key, salt, node, size_at = (batch.column(c).to_numpy() for c in ("region", "salt", "node", "size_at"))
+            key, salt, node, n = (batch.column(c).to_numpy() for c in ("region", "salt", "node", "n"))
             if not len(key):
                 continue
             edge = np.concatenate(([True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])))
@@ -148,40 +176,47 @@ def regions(rows: DataFrame) -> DataFrame:
                 here = (int(key[a]), int(salt[a]))
                 if here != region:
                     close()
-                    region, few, large = here, [], here[1] >= 0
+                    region, held, large = here, [], here[1] >= 0
                     pivot = int(node[a])
-                for x, nx in zip(node[a:b].tolist(), size_at[a:b].tolist(), strict=True):
+                own = here[0] if here[1] >= 0 else None
+                for x, nx in zip(node[a:b].tolist(), n[a:b].tolist(), strict=True):
                     if large:
-                        out.append((pivot, x, here[0], nx & 0xFFFFFFFF))
+                        out.append((pivot, x, True, own))
                         continue
-                    few.append((x, nx))
-                    if len(few) > SMALL:
+                    held.append((x, nx))
+                    if len(held) > SMALL:
                         large = True
-                        out += [(pivot, y, here[0], ny & 0xFFFFFFFF) for y, ny in few]
+                        out += [(pivot, y, True, own) for y, _ in held]
                 if len(out) > 20_000:
                     yield taken()
         close()
         yield taken()
 
     placed = rows.repartition("region", "salt").sortWithinPartitions("region", "salt", F.xxhash64("node"), "node")
-    return placed.mapInArrow(run, "a long, b long, region long, at long")
+    return placed.mapInArrow(run, "a long, b long, star boolean, region long")
 
 
 def close_enough(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs that sizes and distances to the fixed pivots leave possible."""
+    """Pairs (a, b, n) that sizes and distances to the fixed pivots leave possible."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, CLASSES).astype(np.int64) for c in ("ca", "cb"))
                 m, n = (b.column(c).to_numpy() for c in ("na", "nb"))
                 # intersection >= p / (100 + p) * (m + n), so h <= (100 - p) / (100 + p) * (m + n)
-                keep = ((100 + PERCENT) * np.abs(x - y).sum(axis=1) <= (100 - PERCENT) * (m + n)) & (100 * np.minimum(m, n) >= PERCENT * np.maximum(m, n))
-                yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep))], names=["a", "b"])
-
+                keep = 100 * np.minimum(m, n) >= PERCENT * np.maximum(m, n)
+                x, y = (b.column(c) for c in ("ca", "cb"))
+                for i in np.flatnonzero(keep).tolist():
+                    u, v = (np.frombuffer(c[i].as_buffer(), "<u2").astype(np.int64) for c in (x, y))
+                    few = min(len(u), len(v))
+                    away = np.abs(u.reshape(few, -1).sum(axis=1) - v.reshape(few, -1).sum(axis=1)).sum()
+                    keep[i] = (100 + PERCENT) * away <= (100 - PERCENT) * (m[i] + n[i])
+                yield b.select(["a", "b", "n"]).filter(pa.array(keep))
+
+    pairs = pairs.where("a < b")
     left = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
     right = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "na", "nb", "ca", "cb").mapInArrow(run, "a long, b long, n long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, per_part: int = 2000) -> DataFrame:
@@ -202,72 +237,174 @@ def verified(pairs: DataFrame, docs: DataFrame, per_part: int = 2000) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / per_part).cast("int").alias("parts"))
-    texts = docs.select(F.col("doc_id"), "text")
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)  # spares a shuffle of all texts; beyond the bound they are shuffled
+    texts = checkpointed(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"))
     centre = parts.join(texts, parts.a == texts.doc_id).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
     other = pairs.join(parts, "a").join(texts, F.col("b") == texts.doc_id).select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b", "text")
     return centre.union(other).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b")).select("a", "b", "text").mapInArrow(run, "a long, b long").distinct()
 
 
+class Block:
+    """Shingle sets of a block of documents, for counting intersections with others."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets])
+        value = np.concatenate(sets)
+        row = np.repeat(np.arange(len(sets)), self.size)
+        order = np.argsort(value, kind="stable")
+        self.value, first, count = np.unique(value[order], return_index=True, return_counts=True)
+        self.first, self.count, self.row = first, count, row[order]
+        self.column = np.full(len(count), -1)
+        often = np.flatnonzero(count >= DENSE)
+        self.column[often] = np.arange(len(often))
+        self.dense = np.zeros((len(sets), len(often)), np.float32)
+        for c, k in enumerate(often.tolist()):
+            self.dense[self.row[first[k] : first[k] + count[k]], c] = 1
+
+    def shared(self, sets: list[np.ndarray]) -> np.ndarray:
+        """Intersection sizes (sets, block)."""
+        other = np.zeros((len(sets), self.dense.shape[1]), np.float32)
+        rare = np.zeros((len(sets), len(self.size)), np.int64)
+        for i, s in enumerate(sets):
+            at = np.minimum(np.searchsorted(self.value, s), len(self.value) - 1)
+            at = at[self.value[at] == s]
+            column = self.column[at]
+            other[i, column[column >= 0]] = 1
+            for k in at[column < 0].tolist():
+                rare[i, self.row[self.first[k] : self.first[k] + self.count[k]]] += 1
+        return rare + np.rint(other @ self.dense.T).astype(np.int64)
+
+
+def outside_links(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between the outsiders of open cells and any document of the cell, for each outsider one a component and chunk at least.
+
+    members: cell, node, component, outer, blocks. Each block of outsiders is held and the cell's documents are streamed past it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, block, nodes, parts, sets = None, None, [], [], []
+        todo: list[tuple] = []
+        out: list[tuple] = []
+
+        def compare() -> None:
+            if todo and block is not None:
+                both = block.shared([t[2] for t in todo])
+                size = np.array([len(t[2]) for t in todo])
+                hit = 100 * both >= PERCENT * (size[:, None] + block.size[None, :] - both)
+                told = set()
+                for i, j in zip(*np.nonzero(hit), strict=True):
+                    node, part, _ = todo[i]
+                    if part != parts[j] and (nodes[j], part) not in told:
+                        told.add((nodes[j], part))
+                        out.append((min(node, nodes[j]), max(node, nodes[j])))
+            todo.clear()
+
+        for b in pieces(batches):
+            here = zip(*(b.column(c).to_pylist() for c in ("cell", "block", "held", "node", "component")), shingle_sets(b.column("text")), strict=True)
+            for cell, number, held, node, part, s in here:
+                if (cell, number) != where:
+                    compare()
+                    where, block, nodes, parts, sets = (cell, number), None, [], [], []
+                if held:
+                    nodes.append(node)
+                    parts.append(part)
+                    sets.append(s)
+                    continue
+                if block is None:
+                    if not sets:
+                        continue
+                    block, sets = Block(sets), []
+                todo.append((node, part, s))
+                if len(todo) >= CHUNK:
+                    compare()
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+                out = []
+        compare()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    ids = few(checkpointed(members.select(F.col("node").alias("doc_id")).distinct()))
+    texts = checkpointed(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")).withColumnRenamed("doc_id", "node")
+    own = members.where("outer").select("cell", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("held"), "node", "component")
+    every = members.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("held"), "node", "component")
+    rows = own.union(every).join(texts, "node")
+    placed = rows.repartition("cell", "block").sortWithinPartitions("cell", "block", F.desc("held"), "node").select("cell", "block", "held", "node", "component", "text")
+    return placed.mapInArrow(run, "a long, b long").distinct()
+
+
 def linked_classes(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(node, component) of classes that link with others."""
+    """(node, component) of classes that link with others; docs hold one document of each class."""
     spark = docs.sparkSession
-    often = F.broadcast(spark.createDataFrame([(int(x),) for x in frequent.view(np.int64)] or [(0,)], "region long").withColumn("salted", F.lit(True)))  # FREQUENT rows at most
-    window = F.col("n") - F.floor((F.col("n") * PERCENT + 99) / 100)
-    size_at = lambda at: (F.shiftleft(F.col("n"), 32) + F.col(at)).alias("size_at")
-    rows = classes.select("node", "n", F.posexplode(F.slice("head", F.lit(1), (window + 1).cast("int"))).alias("at", "region"))
-    rows = rows.join(often, "region", "left").select("region", F.when(F.col("salted"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(-1).cast("int").alias("salt"), "node", size_at("at"))
-    links = None
-    for depth in range(1, DEEPEST + 1):
-        found = checkpointed(regions(rows))
-        large = found.where("region is not null").select("region", F.col("a").alias("pivot"), F.col("b").alias("node"), "at")
-        pivots = large.where("pivot = node").select("region", "pivot")
-        across = pivots.join(pivots.select("region", F.col("pivot").alias("other")), "region").where("pivot < other").select(F.col("pivot").alias("a"), F.col("other").alias("b"))
-        star = large.where("pivot != node").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
-        pairs = checkpointed(found.where("region is null").select("a", "b").union(star).union(across).distinct())
-        new = checkpointed(verified(close_enough(pairs, classes), docs))
-        links = new if links is None else links.union(new)
-        if large.isEmpty():
-            break
-        parts = checkpointed(components(links))
-
-        # what one component doesn't hold, region by region
-        placed = large.join(parts, "node", "left").select("region", "node", "at", F.coalesce("component", "node").alias("component"))
-        shares = placed.groupBy("region", "component").agg(F.countDistinct("node").alias("k"))
-        sums = shares.groupBy("region").agg(F.max(F.struct("k", "component")).alias("most"), F.sum("k").alias("m")).where("m > most.k")
-        sums = checkpointed(sums.select("region", F.col("most.component").alias("main"), (F.col("m") - F.col("most.k")).alias("outside")))
-        if sums.isEmpty():
-            break
-        last = depth == DEEPEST
-        direct = sums if last else sums.where(F.col("outside") <= OUTSIDERS)
-        inside = placed.join(direct, "region")
-        few = inside.where("component != main").select("region", F.col("node").alias("x"), F.col("component").alias("cx")).distinct()
-        cross = few.join(inside.select("region", F.col("node").alias("y"), F.col("component").alias("cy")).distinct(), "region").where("cx != cy")
-        cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        links = checkpointed(links.union(verified(close_enough(cross, classes), docs)).distinct())
-        if last:
-            break
-        deeper = placed.join(sums.where(F.col("outside") > OUTSIDERS).select("region"), "region").select("region", "node", "at").distinct()
-        if deeper.isEmpty():
-            break
-        # the next pivot of each document after the region's, within windows one longer
-        longer = classes.select("node", "n", F.posexplode(F.slice("head", F.lit(1), (window + 1 + depth).cast("int"))).alias("next", "pivot"))
-        rows = deeper.join(longer, "node").where("next > at").select(F.xxhash64("region", "pivot").alias("region"), F.lit(-1).alias("salt"), "node", size_at("next"))
-    return components(links)
+    links = spark.createDataFrame([], "a long, b long")
+    parts = spark.createDataFrame([], "node long, component long")
+    found = checkpointed(regions(windows(docs, frequent)))
+    star = found.where("star")
+    tops = star.where("region is not null and a = b").groupBy("region").agg(F.min("a").alias("top"))  # frequent regions only
+    salted = star.where("region is not null").join(F.broadcast(tops), "region")
+    pairs = found.select("a", "b").union(salted.select("a", F.col("top").alias("b")).distinct())
+    pairs = pairs.where("a != b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"))
+    links, parts = joined(close_enough(pairs, classes), docs, links, parts)
+
+    cells = star.where("region is null").select(F.col("a").alias("cell"), F.col("b").alias("node")).union(salted.select(F.col("top").alias("cell"), F.col("b").alias("node"))).distinct()
+    cells = checkpointed(cells.join(parts, "node", "left").select("cell", "node", F.coalesce("component", "node").alias("component")))
+    shares = cells.groupBy("cell", "component").agg(F.count("*").alias("k"))
+    opened = shares.groupBy("cell").agg(F.max(F.struct("k", "component")).alias("most"), F.sum("k").alias("m")).where("m > most.k")
+    opened = opened.select("cell", F.col("most.component").alias("main"), F.ceil((F.col("m") - F.col("most.k")) / BLOCK).cast("int").alias("blocks"))
+    members = checkpointed(cells.join(opened, "cell").select("cell", "node", "component", (F.col("component") != F.col("main")).alias("outer"), "blocks"))
+    if not members.isEmpty():
+        new = checkpointed(outside_links(members, docs))
+        if not new.isEmpty():
+            parts = checkpointed(components(links.union(new)))
+    return parts
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """rows, to be broadcast if there are BROADCAST_IDS or fewer."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
+def between(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs whose ends aren't in one component."""
+    left, right = (parts.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
+    both = pairs.join(left, "a", "left").join(right, "b", "left")
+    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
+
+
+def joined(pairs: DataFrame, docs: DataFrame, links: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links and components after comparing the texts of pairs (a, b, n: regions they share).
+
+    First each document is compared with the one it shares most regions with; then only pairs are left that aren't in one
+    component yet, and no component depends on the others.
+    """
+    pairs = checkpointed(pairs)
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
+    for todo in (best, pairs.select("a", "b")):
+        todo = checkpointed(between(todo, parts))
+        if todo.isEmpty():
+            continue
+        new = checkpointed(verified(todo, docs))
+        if not new.isEmpty():
+            links = checkpointed(links.union(new))
+            parts = checkpointed(components(links))
+    return links, parts
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and class_id (the smallest id with the same shingles) of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    frequent = frequent_shingles(docs)
-    own = checkpointed(signatures(docs, frequent))
     keys = ["n", "k1", "k2"]
-    groups = own.where("n > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("node"), F.first("head").alias("head"), F.first("counts").alias("counts"))
-    classes = checkpointed(groups)
-    parts = linked_classes(docs, classes.select("node", "n", "head", "counts"), frequent)
-    named = classes.join(parts, "node", "left").select(*keys, "node", F.coalesce("component", "node").alias("component"))
-    out = own.select("doc_id", *keys).join(named, keys, "left")
-    mine = F.col("n") > 0
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(mine & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(mine, F.col("node")).otherwise(F.col("doc_id")).alias("class_id"))
+    own = checkpointed(set_keys(docs))
+    classes = checkpointed(own.where("n > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("node"), F.first("counts").alias("counts")))
+    placed = own.drop("counts").join(classes.drop("counts"), keys, "left")
+    copies = few(checkpointed(placed.where("doc_id != node").select("doc_id")))
+    one = docs.where("doc_id is not null").join(copies, "doc_id", "left_anti")
+    parts = linked_classes(one, classes.select("node", "n", "counts"), frequent_shingles(one))
+    out = placed.join(parts, "node", "left")
+    mine = F.col("node").isNotNull() & F.col("doc_id").isNotNull()
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(mine, F.coalesce("component", "node")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("node", "doc_id").alias("class_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -24,13 +24,16 @@ def test_jaccard_matches_brute_force(docs, texts):
     assert got == want
 
 
-@pytest.mark.parametrize("small,outsiders", [(1, 0), (2, 3), (4, 100)])
-def test_jaccard_divides_regions_exactly(spark, monkeypatch, small, outsiders):
-    """Small limits send every region through pivots, outsiders and deeper regions."""
+@pytest.mark.parametrize("small,block,often", [(1, 3, 99), (3, 1000, 2)])
+def test_jaccard_divides_regions_exactly(spark, monkeypatch, small, block, often):
+    """Small limits send every region through pivots, cells and blocks."""
     import random
 
     monkeypatch.setattr(jaccard, "SMALL", small)
-    monkeypatch.setattr(jaccard, "OUTSIDERS", outsiders)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "CHUNK", 5)
+    monkeypatch.setattr(jaccard, "DENSE", often)
+    monkeypatch.setattr(jaccard, "SAMPLE", 1)
     rng = random.Random(3)
     pool = [f"w{i}" for i in range(14)]
     texts = {i: " ".join(rng.choice(pool) for _ in range(rng.randint(5, 12))) for i in range(40)}
