@@ -52,7 +52,7 @@ def suffix_order(ranks: np.ndarray) -> np.ndarray:
     while True:
         key = rank * (n + 1)
         key[: n - k] += rank[k:] + 1 if k < n else 0
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys share a rank, so their order does not matter
         sorted_key = key[order]
         fresh = np.concatenate(([0], np.cumsum(sorted_key[1:] != sorted_key[:-1])))
         rank = np.empty(n, np.int64)
@@ -99,10 +99,10 @@ class FMIndex:
         return at
 
 
-def repeated(index: FMIndex, sizes: np.ndarray, window: int) -> list[tuple[int, int, int]]:
-    """Intervals (sequence, start, end) of at least `window` values that occur twice or more in the index and together cover every such window."""
+def repeated(index: FMIndex, sizes: np.ndarray, window: int, wanted: np.ndarray) -> list[tuple[int, int, int]]:
+    """Intervals (sequence, start, end) of wanted sequences, of at least `window` values, that occur twice or more in the index and together cover every such window."""
     out: list[tuple[int, int, int]] = []
-    part = np.flatnonzero(sizes >= window)
+    part = np.flatnonzero((sizes >= window) & wanted)
     base, size = index.start[part], sizes[part]
     whole = index.reach(base, base + size) == base
     out += zip(part[whole].tolist(), [0] * int(whole.sum()), size[whole].tolist(), strict=True)

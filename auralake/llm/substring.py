@@ -4,9 +4,10 @@ A window is `window` consecutive words of one document; each word covered by a w
 
 1. Anchors: of the 8-word runs in a window the first in a fixed order (frequent runs last) is its anchor, so equal windows
    have equal anchors. A document's windows with one anchor in a row make a fragment. A shuffle by anchor keeps the
-   fragments whose anchor occurs again; frequent anchors are salted and always kept.
-2. Fragments are cut from the texts, equal ones of a step are merged (a merged one is known to be repeated), and they go
-   to shards by their anchor, so all occurrences of a window meet in one shard of bounded size.
+   fragments whose anchor occurs again; frequent anchors are salted and always kept. Equal fragments are known to be
+   repeated at once, and one of them stands for all.
+2. Fragments that share an anchor with different ones are cut from the texts and go to shards by their anchor, so all
+   occurrences of a window meet in one shard of bounded mean size.
 3. Each shard builds an FM-index over its fragments; backward search over the wavelet matrix gives how far a match
    with a second occurrence reaches, and intervals of `window` words or more are reported.
 4. Intervals are joined to the documents by row, and the words outside them are kept.
@@ -22,18 +23,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .fmindex import FMIndex, repeated
-from .text import Words, checkpointed, gram_hashes, joined, mix, pieces
+from .text import Words, _power, checkpointed, gram_hashes, joined, mix, pieces
 
 WINDOW, GRAM = 35, 8
 #: One in so many documents is looked at to find frequent runs, of which at most FREQUENT go last in the order.
 SAMPLE, FREQUENT = 16, 1 << 17
-SALTS = 32
+#: Documents a salt of a frequent anchor, and the fewest salts.
+SALT_DOCS, SALTS = 20_000, 32
 #: Mean words of a shard.
 SHARD_WORDS = 300_000
+#: Rows that are broadcast, at most; beyond it tables are shuffled.
+BROADCAST = 1 << 20
 HOT = np.uint64(1 << 63)
 
 
@@ -81,63 +85,81 @@ def window_anchors(words: Words, frequent: np.ndarray, window: int) -> tuple[np.
 
 
 def repeated_anchors(docs: DataFrame, frequent: np.ndarray, window: int) -> DataFrame:
-    """Fragments (row_key, first, last, anchor) whose anchor occurs more than once."""
+    """Fragments (row_key, anchor, first, more, known, index) whose anchor occurs more than once: `known` to be repeated as a
+    whole, or to `index`, or both where it stands for others."""
+    salts = max(SALTS, docs.count() // SALT_DOCS)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            row, first, last, anchor, places = window_anchors(Words(b.column("text")), shared.value, window)
+            w = Words(b.column("text"))
+            row, first, last, anchor, places = window_anchors(w, shared.value, window)
+            word = w.hashes()
+            power, inverse = _power(len(word) + 1)
+            with np.errstate(over="ignore"):
+                total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(word * power[: len(word)])))
+                base = w.first[row] + first
+                size = (last - first + window).astype(np.uint64)
+                body = mix((total[w.first[row] + last + window] - total[base]) * inverse[base] ^ mix(size))
             key = b.column("row_key").to_numpy()[row]
-            salt = np.where(anchor >= HOT, mix(key.view(np.uint64)) % np.uint64(SALTS), np.uint64(SALTS)).astype(np.int32)
+            salt = np.where(anchor >= HOT, mix(key.view(np.uint64)) % np.uint64(salts), np.uint64(1 << 30)).astype(np.int32)
             bounds = first << 32 | np.minimum(last - first, (1 << 31) - 1) << 1 | (places > 1)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(salt), pa.array(key), pa.array(bounds)], names=["anchor", "salt", "row_key", "bounds"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(salt), pa.array(body.view(np.int64)), pa.array(key), pa.array(bounds)], names=["anchor", "salt", "body", "row_key", "bounds"])
+
+    def judge(t: pa.Table) -> pa.RecordBatch:
+        anchor, salt, body, bounds = (t.column(c).to_numpy() for c in ("anchor", "salt", "body", "bounds"))
+        group = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])))
+        part = group | np.concatenate(([True], body[1:] != body[:-1]))
+        g, p = np.cumsum(group) - 1, np.cumsum(part) - 1
+        known = np.bincount(p)[p] > 1
+        mixed = (np.bincount(g[part])[g] > 1) | (salt < 1 << 30)
+        index = part & (mixed | (bounds & 1 == 1) & ~known)
+        keep = pa.array(known | index)
+        cols = [t.column("row_key").combine_chunks(), t.column("anchor").combine_chunks(), t.column("bounds").combine_chunks(), pa.array(known), pa.array(index)]
+        return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols], names=["row_key", "anchor", "bounds", "known", "index"]).filter(keep)
 
     def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for b in batches:
-            if held is not None and b.num_rows:
-                b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
             if not b.num_rows:
                 continue
-            anchor, salt, bounds = (b.column(c).to_numpy() for c in ("anchor", "salt", "bounds"))
-            edge = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])))
-            alone = edge & np.concatenate((edge[1:], [True])) & (bounds & 1 == 0) & (salt == SALTS)
-            keep = ~alone
-            held = b.slice(b.num_rows - 1) if alone[-1] else None  # the next batch may hold its like
-            yield b.filter(pa.array(keep)).select(["row_key", "anchor", "bounds"])
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            anchor, salt = t.column("anchor").to_numpy(), t.column("salt").to_numpy()
+            last = np.flatnonzero((anchor != anchor[-1]) | (salt != salt[-1]))
+            done = int(last[-1]) + 1 if len(last) else 0  # the last anchor may go on in the next batch
+            if done:
+                yield judge(t.slice(0, done))
+            held = t.slice(done)
+        if held is not None and held.num_rows:
+            yield judge(held)
 
-    rows = docs.select("row_key", "text").mapInArrow(cut, "anchor long, salt int, row_key long, bounds long")
-    kept = rows.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(twice, "row_key long, anchor long, bounds long")
-    return kept.select("row_key", "anchor", F.shiftright("bounds", 32).alias("first"), F.expr("shiftright(bounds, 1) & 2147483647").alias("more"))
+    rows = docs.select("row_key", "text").mapInArrow(cut, "anchor long, salt int, body long, row_key long, bounds long")
+    kept = rows.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "body", "row_key", "bounds").mapInArrow(twice, "row_key long, anchor long, bounds long, known boolean, index boolean")
+    return kept.select("row_key", "anchor", F.shiftright("bounds", 32).alias("first"), F.expr("shiftright(bounds, 1) & 2147483647").alias("more"), "known", "index")
 
 
 def fragments(docs: DataFrame, found: DataFrame, shards: int, window: int) -> DataFrame:
-    """Fragments' texts by shard: shard, row_key, first, words, text. A row_key of null is a text merged from several, whose
-    own rows have an empty text and are known to be repeated."""
+    """Fragments' texts by shard: shard, row_key, first, known, text (words joined by one space)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             w = Words(b.column("text"))
-            keys = b.column("row_key").to_pylist()
             data = w.data.tobytes()
-            place: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
-            for r, parts in enumerate(b.column("parts").to_pylist()):
+            out = []
+            for r, (key, parts) in enumerate(zip(b.column("row_key").to_pylist(), b.column("parts").to_pylist(), strict=True)):
                 for p in parts:
-                    first, size = p["first"], p["more"] + window
-                    base = int(w.first[r]) + first
-                    body = b" ".join(data[w.start[base] : w.end[base + size - 1]].split())
-                    place.setdefault((p["anchor"] % shards, body), []).append((keys[r], first, size))
-            cols: list[list] = [[], [], [], [], []]
-            for (shard, body), where in place.items():
-                rows = [(shard, *where[0], body)] if len(where) == 1 else [(shard, None, 0, where[0][2], body), *((shard, k, i, n, b"") for k, i, n in where)]
-                for c, values in zip(cols, zip(*rows, strict=True), strict=True):
-                    c += values
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["shard", "row_key", "first", "words", "text"])
-
-    own = found.groupBy("row_key").agg(F.collect_list(F.struct("anchor", "first", "more")).alias("parts"))  # as many as a document has
+                    base = int(w.first[r]) + p["first"]
+                    body = b" ".join(data[w.start[base] : w.end[base + p["more"] + window - 1]].split())
+                    out.append((p["anchor"] % shards, key, p["first"], p["known"], body))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["shard", "row_key", "first", "known", "text"])
+
+    own = found.groupBy("row_key").agg(F.collect_list(F.struct("anchor", "first", "more", "known")).alias("parts"))  # as many as a document has
     texts = docs.select("row_key", "text")
-    return texts.join(own, "row_key").mapInArrow(run, "shard long, row_key long, first long, words long, text binary")
+    ids = checkpointed(found.select("row_key").distinct())
+    if ids.count() <= BROADCAST:
+        texts = texts.join(F.broadcast(ids), "row_key", "left_semi")
+    return texts.join(own, "row_key").mapInArrow(run, "shard long, row_key long, first long, known boolean, text binary")
 
 
 def shard_repeats(frags: DataFrame, shards: int, window: int) -> DataFrame:
@@ -148,7 +170,7 @@ def shard_repeats(frags: DataFrame, shards: int, window: int) -> DataFrame:
         w = Words(t.column("text").cast(pa.large_binary()))
         index = FMIndex(w.hashes(), w.count)
         key, first = t.column("row_key").to_pylist(), t.column("first").to_pylist()
-        out = [(key[p], first[p] + a, e - a) for p, a, e in repeated(index, w.count, window) if key[p] is not None]
+        out = [(key[p], first[p] + a, e - a) for p, a, e in repeated(index, w.count, window, ~t.column("known").to_numpy(zero_copy_only=False))]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], [], []))], names=["row_key", "first", "words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,19 +189,31 @@ def shard_repeats(frags: DataFrame, shards: int, window: int) -> DataFrame:
         if held:
             yield search(held)
 
-    known = frags.where("row_key is not null and length(text) = 0").select("row_key", "first", "words")
-    placed = frags.where("length(text) > 0").repartition(shards, "shard").sortWithinPartitions("shard")
-    return placed.mapInArrow(run, "row_key long, first long, words long").union(known)
+    placed = frags.repartition(shards, "shard").sortWithinPartitions("shard")
+    return placed.mapInArrow(run, "row_key long, first long, words long")
+
+
+def merged(intervals: DataFrame) -> DataFrame:
+    """Overlapping and touching intervals of a row as one."""
+    w = Window.partitionBy("row_key").orderBy("first", "words")
+    reach = F.max(F.col("first") + F.col("words")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(reach.isNull() | (F.col("first") > reach), 1).otherwise(0)
+    island = intervals.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return island.groupBy("row_key", "island").agg(F.min("first").alias("first"), (F.max(F.col("first") + F.col("words")) - F.min("first")).alias("words"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, with `keep_text`, the kept words joined by one space."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
     found = checkpointed(repeated_anchors(docs, frequent_grams(docs), window))
-    words = found.agg(F.sum(F.col("more") + window)).first()[0] or 0
+    index = found.where("index")
+    words = index.agg(F.sum(F.col("more") + window)).first()[0] or 0
     shards = max(1, -(-words // SHARD_WORDS))
-    frags = checkpointed(fragments(docs, found, shards, window))
-    gone = shard_repeats(frags, shards, window).groupBy("row_key").agg(F.collect_set(F.struct("first", "words")).alias("gone"))
+    known = found.where("known").select("row_key", "first", (F.col("more") + window).alias("words"))
+    intervals = checkpointed(merged(known.union(shard_repeats(fragments(docs, index, shards, window), shards, window))))
+    gone = intervals.groupBy("row_key").agg(F.collect_list(F.struct("first", "words")).alias("gone"))
+    if intervals.count() <= BROADCAST:
+        gone = F.broadcast(gone)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
