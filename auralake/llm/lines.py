@@ -140,7 +140,9 @@ def recurring_lines(docs: DataFrame, similarity: float = 0.75, min_contexts: int
     distinct = full.groupBy("leaf", "line").agg(F.countDistinct("body", "context").alias("n"), F.min("tokens").alias("tokens"))
     named = grow_templates(distinct, similarity)
     kept = checkpointed(full.select("leaf", "line", "context", "body").join(named, ["leaf", "line"]))
-    wanted = recurring(kept, ["leaf", "template"], min_contexts, min_ratio)
+    wanted = checkpointed(recurring(kept, ["leaf", "template"], min_contexts, min_ratio).select("leaf", "template"))
+    if wanted.count() <= BROADCAST:
+        wanted = F.broadcast(wanted)
     return checkpointed(kept.join(wanted, ["leaf", "template"], "left_semi").select("line").distinct())
 
 

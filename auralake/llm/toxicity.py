@@ -235,7 +235,11 @@ def learn_lexicon(rows: DataFrame, min_docs: int = 5, min_share: float = 0.005,
     tallies = rows.select("text", "label").mapInArrow(run, "term string, kind int, pos long, neg long, mask long").groupBy("term", "kind").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.bit_or("mask").alias("mask"))
     lift = (F.col("pos") / n_pos) / ((F.col("neg") + 0.5) / (n_neg + 1))
     found = tallies.where((F.col("pos") >= max(min_docs, min_share * n_pos)) & (F.bit_count("mask") >= min_contexts) & (lift >= min_lift) & (F.length("term") >= 3)).orderBy(F.desc("pos"), "term", "kind").limit(most).collect()
-    return Lexicon([r["term"] for r in found if r["kind"] == 0], [r["term"] for r in found if r["kind"] == 1])
+    words = [r["term"] for r in found if r["kind"] == 0]
+    # shorter stems match what longer ones and their words do
+    stems = {r["term"] for r in found if r["kind"] == 1}
+    stems -= {s for s in stems if any(s[:k] in stems for k in STEMS if k < len(s))}
+    return Lexicon([w for w in words if not any(w[:k] in stems for k in STEMS if len(w) > k)], sorted(stems))
 
 
 def clean_spellings(rows: DataFrame, lexicon: Lexicon, most: int = 50_000) -> frozenset[str]:
@@ -287,29 +291,31 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[Lex
     return lexicon, logistic(got[["a", "b", "c"]].to_numpy(), (got.label.to_numpy() >= 0.5).astype(float))
 
 
-def score_rows(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray, columns: tuple[str, ...] = ()) -> DataFrame:
-    """The columns of docs (all, or those named) as a struct `row`, and the score of their text."""
+def score_rows(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray, keep: int | None = None) -> DataFrame:
+    """The columns of docs (or the first `keep` of them) as c0, c1 and so on, and `score`, the score of column `text`."""
     shared = docs.sparkSession.sparkContext.broadcast((sorted(lexicon.words), sorted(lexicon.stems), lexicon.clean))
+    flat = [f"c{k}" for k in range(len(docs.columns))]
+    at = flat[docs.columns.index("text")]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f) for c, f in zip(docs.columns, flat, strict=True)]).withColumn(at, F.col(at).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Lexicon(*shared.value)
-        for b in pieces(batches):
-            m = measures(own, b.column("text"))
+        for b in pieces(batches, at):
+            m = measures(own, b.column(at))
             score = 1 / (1 + np.exp(-np.clip(m @ weights[:3] + weights[3], -35, 35)))
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(score)], names=["row", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:keep], pa.array(score)], names=[*b.schema.names[:keep], "score"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in (columns or docs.columns)]).alias("row"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in rows.dtypes[:keep]) + ", score double")
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = 20_000) -> DataFrame:
     """doc_id, held_out, score and predicted (1 from `threshold` on) of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = score_rows(docs, *train(docs, labels, sample), columns=("doc_id",)).select("row.doc_id", "score")
+    scored = score_rows(docs, *train(docs, labels, sample), keep=1).select(F.col("c0").alias("doc_id"), "score")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = 20_000) -> DataFrame:
     """docs without those that score `threshold` or more."""
     kept = score_rows(docs, *train(docs, labels, sample)).where(F.col("score") < threshold)
-    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return kept.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
