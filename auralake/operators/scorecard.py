@@ -35,7 +35,7 @@ def rollup(facts: DataFrame, total_sources: DataFrame | None = None, digits: int
     sources = by_source(facts)
     total = (total_sources or facts).select(F.countDistinct("source_key").alias("source_count"))
     near = F.round("value", digits)
-    inside = F.col("value").between(F.col("ref_lo"), F.col("ref_hi"))
+    inside = F.round("value", digits).between(F.col("ref_lo"), F.col("ref_hi"))
     out = sources.groupBy("grp", "name").agg(
         F.count("value").alias("measured_count"), F.count_if("warned").alias("warning_count"),
         F.when(F.count("ref_lo") > 0, F.count_if(inside)).alias("in_range_count"), F.when(F.count("ref_lo") > 0, F.count_if(~inside)).alias("out_of_range_count"),

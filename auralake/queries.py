@@ -135,7 +135,7 @@ SOURCE_SQL = "sources as (select grp, name, source_key, avg(value) as value, boo
 
 @query(
     f"""select * from (with {SOURCE_SQL} select grp, name, (select count(distinct source_key) from facts) as source_count, count(value) as measured_count, count(*) filter (where warned) as warning_count,
-    case when count(ref_lo) > 0 then count(*) filter (where value between ref_lo and ref_hi) end as in_range_count, case when count(ref_lo) > 0 then count(*) filter (where value not between ref_lo and ref_hi) end as out_of_range_count,
+    case when count(ref_lo) > 0 then count(*) filter (where round(value, 9) between ref_lo and ref_hi) end as in_range_count, case when count(ref_lo) > 0 then count(*) filter (where round(value, 9) not between ref_lo and ref_hi) end as out_of_range_count,
     round(min(value), 6) as min_value, arg_min(source_key, (round(value, 9), source_key)) as min_file, round(max(value), 6) as max_value, arg_min(source_key, (-round(value, 9), source_key)) as max_file,
     round(avg(value), 6) as mean, round(quantile_cont(value, 0.5), 6) as median, round(quantile_cont(value, 0.05), 6) as p05, round(quantile_cont(value, 0.95), 6) as p95 from sources group by grp, name)""",
     "facts",
@@ -213,7 +213,7 @@ def fingerprint_buckets(spark, sf_dir):
     return feature_rows(spark, sf_dir).select("file", "tie", "feature", features.bucket_index(F.col("value")).alias("bucket"))
 
 
-BUCKETS_SQL = f"sigs as (select file, tie, source_key, string_agg(feature || ':' || cast(round_even(value / {STEP_SQL}, 0) as bigint), ',' order by feature) as sig from (with {FEATURE_SQL} select * from feats) group by all)"
+BUCKETS_SQL = f"sigs as (select file, tie, source_key, string_agg(feature || ':' || {STEP_SQL} || ':' || cast(round_even(value / {STEP_SQL}, 0) as bigint), ',' order by feature) as sig from (with {FEATURE_SQL} select * from feats) group by all)"
 
 
 @query(f"select count(*) as results, count(distinct source_key) as sources, count(*) filter (where n = 1) as n_groups from (select s.*, row_number() over (partition by sig) as n from (with {BUCKETS_SQL} select * from sigs) s join (with {BUCKETS_SQL} select sig from sigs group by sig having count(distinct source_key) > 1) d using (sig))", "facts")
@@ -378,7 +378,7 @@ def dataset_distributions(spark, sf_dir):
     return audit.distributions(views.records(spark, sf_dir))
 
 
-DUP_SQL = f"dups as (select signature, count(*) as n, count(distinct file) as sources, array_to_string(list_sort(list_distinct(list({SPLIT_SQL}) filter (where {SPLIT_SQL} is not null))), ',') as splits, array_to_string(list_sort(list(distinct declared) filter (where declared is not null)), ',') as declared from records where error is null and signature is not null group by signature having count(*) > 1 and count(distinct file) > 1)"
+DUP_SQL = f"dups as (select signature, count(*) as n, count(distinct file) as sources, coalesce(array_to_string(list_sort(list_distinct(list({SPLIT_SQL}) filter (where {SPLIT_SQL} is not null))), ','), '') as splits, coalesce(array_to_string(list_sort(list(distinct declared) filter (where declared is not null)), ','), '') as declared from records where error is null and signature is not null group by signature having count(*) > 1 and count(distinct file) > 1)"
 
 
 @query(f"select signature, n, splits from (with {DUP_SQL} select * from dups)", "records")
