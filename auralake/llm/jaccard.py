@@ -22,6 +22,7 @@ returned with a null component. Ids are taken as unique; rows that repeat one ar
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -265,22 +266,29 @@ class Block:
 
     def shared(self, sets: list[np.ndarray]) -> np.ndarray:
         """Intersection sizes (sets, block)."""
+        value = np.concatenate(sets)
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(self.value, value), len(self.value) - 1)
+        there = self.value[at] == value
+        at, row = at[there], row[there]
+        column = self.column[at]
+        often = column >= 0
         other = np.zeros((len(sets), self.dense.shape[1]), np.float32)
-        rare = np.zeros((len(sets), len(self.size)), np.int64)
-        for i, s in enumerate(sets):
-            at = np.minimum(np.searchsorted(self.value, s), len(self.value) - 1)
-            at = at[self.value[at] == s]
-            column = self.column[at]
-            other[i, column[column >= 0]] = 1
-            for k in at[column < 0].tolist():
-                rare[i, self.row[self.first[k] : self.first[k] + self.count[k]]] += 1
+        other[row[often], column[often]] = 1
+        at, row = at[~often], row[~often]
+        count = self.count[at]
+        begin = np.cumsum(count) - count
+        place = np.arange(int(count.sum())) - np.repeat(begin - self.first[at], count)
+        pair = np.repeat(row, count) * len(self.size) + self.row[place]
+        rare = np.bincount(pair, minlength=len(sets) * len(self.size)).reshape(len(sets), -1)
         return rare + np.rint(other @ self.dense.T).astype(np.int64)
 
 
 def outside_links(members: DataFrame, docs: DataFrame) -> DataFrame:
     """Links between the outsiders of open cells and any document of the cell, for each outsider one a component and chunk at least.
 
-    members: cell, node, component, outer, blocks. Each block of outsiders is held and the cell's documents are streamed past it.
+    members: cell, node, n, component, outer. Outsiders are blocked by size, and a block meets the documents of its cell whose
+    sizes can link with one of its own; it is held and they are streamed past it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,8 +336,13 @@ def outside_links(members: DataFrame, docs: DataFrame) -> DataFrame:
 
     ids = few(checkpointed(members.select(F.col("node").alias("doc_id")).distinct()))
     texts = checkpointed(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")).withColumnRenamed("doc_id", "node")
-    own = members.where("outer").select("cell", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("held"), "node", "component")
-    every = members.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("held"), "node", "component")
+    band = F.floor(F.log("n") / math.log(1.1)).cast("int")
+    outer = members.where("outer").withColumn("band", band)
+    bands = outer.groupBy("cell", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("n").alias("least"), F.max("n").alias("most"))
+    block = lambda number: F.concat_ws(":", "band", number).alias("block")
+    own = outer.join(bands.select("cell", "band", "blocks"), ["cell", "band"]).select("cell", block(F.pmod(F.xxhash64("node"), F.col("blocks"))), F.lit(True).alias("held"), "node", "component")
+    fits = (100 * F.col("n") >= PERCENT * F.col("least")) & (PERCENT * F.col("n") <= 100 * F.col("most"))
+    every = members.join(bands, "cell").where(fits).select("cell", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("number"), "node", "component").select("cell", block("number"), F.lit(False).alias("held"), "node", "component")
     rows = own.union(every).join(texts, "node")
     placed = rows.repartition("cell", "block").sortWithinPartitions("cell", "block", F.desc("held"), "node").select("cell", "block", "held", "node", "component", "text")
     return placed.mapInArrow(run, "a long, b long").distinct()
@@ -352,8 +365,9 @@ def linked_classes(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) ->
     cells = checkpointed(cells.join(parts, "node", "left").select("cell", "node", F.coalesce("component", "node").alias("component")))
     shares = cells.groupBy("cell", "component").agg(F.count("*").alias("k"))
     opened = shares.groupBy("cell").agg(F.max(F.struct("k", "component")).alias("most"), F.sum("k").alias("m")).where("m > most.k")
-    opened = opened.select("cell", F.col("most.component").alias("main"), F.ceil((F.col("m") - F.col("most.k")) / BLOCK).cast("int").alias("blocks"))
-    members = checkpointed(cells.join(opened, "cell").select("cell", "node", "component", (F.col("component") != F.col("main")).alias("outer"), "blocks"))
+    opened = opened.select("cell", F.col("most.component").alias("main"))
+    sized = cells.join(opened, "cell").join(classes.select("node", "n"), "node")
+    members = checkpointed(sized.select("cell", "node", "n", "component", (F.col("component") != F.col("main")).alias("outer")))
     if not members.isEmpty():
         new = checkpointed(outside_links(members, docs))
         if not new.isEmpty():
