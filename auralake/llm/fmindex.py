@@ -99,29 +99,28 @@ class FMIndex:
         return at
 
 
-def repeated(index: FMIndex, sizes: np.ndarray, window: int, wanted: np.ndarray) -> list[tuple[int, int, int]]:
-    """Intervals (sequence, start, end) of wanted sequences, of at least `window` values, that occur twice or more in the index and together cover every such window."""
+def repeated(values: np.ndarray, sizes: np.ndarray, window: int, wanted: np.ndarray) -> list[tuple[int, int, int]]:
+    """Intervals (sequence, start, end) of wanted sequences, of at least `window` values, that occur twice or more in all sequences and together cover every such window.
+
+    One index searches backward from a window's end and skips what a mismatch rules out; one of the reversed sequences
+    gives how far a repeat reaches to the right.
+    """
     out: list[tuple[int, int, int]] = []
     part = np.flatnonzero((sizes >= window) & wanted)
-    base, size = index.start[part], sizes[part]
-    whole = index.reach(base, base + size) == base
-    out += zip(part[whole].tolist(), [0] * int(whole.sum()), size[whole].tolist(), strict=True)
-    part, base, size = part[~whole], base[~whole], size[~whole]
+    if not len(part):
+        return out
+    index, mirror = FMIndex(values, sizes), FMIndex(values[::-1], sizes[::-1])
+    base, size, back = index.start[part], sizes[part], mirror.start[len(sizes) - 1 - part]
     t = np.zeros(len(part), np.int64)
     while len(part):
         s = index.reach(base + t, base + t + window) - base
         hit = s == t
         if hit.any():
-            low, high = t[hit] + window, size[hit]  # the longest repeat from t ends between
-            b, a = base[hit], t[hit]
-            while (todo := low < high).any():
-                mid = (low + high + 1) // 2
-                ok = index.reach(b[todo] + a[todo], b[todo] + mid[todo]) == b[todo] + a[todo]
-                low[todo] = np.where(ok, mid[todo], low[todo])
-                high[todo] = np.where(ok, high[todo], mid[todo] - 1)
-            out += zip(part[hit].tolist(), a.tolist(), low.tolist(), strict=True)
-            s[hit] = low - window + 1
+            last = back[hit] + size[hit] - t[hit]
+            end = t[hit] + last - mirror.reach(back[hit], last)
+            out += zip(part[hit].tolist(), t[hit].tolist(), end.tolist(), strict=True)
+            s[hit] = end - window + 1
         t = s
         on = t + window <= size
-        part, base, size, t = part[on], base[on], size[on], t[on]
+        part, base, size, back, t = part[on], base[on], size[on], back[on], t[on]
     return out

@@ -8,8 +8,8 @@ A window is `window` consecutive words of one document; each word covered by a w
    repeated at once, and one of them stands for all.
 2. Fragments that share an anchor with different ones are cut from the texts and go to shards by their anchor, so all
    occurrences of a window meet in one shard of bounded mean size.
-3. Each shard builds an FM-index over its fragments; backward search over the wavelet matrix gives how far a match
-   with a second occurrence reaches, and intervals of `window` words or more are reported.
+3. Each shard builds an FM-index over its fragments, and one over their mirror images; backward search over the wavelet
+   matrices gives how far a match with a second occurrence reaches, and intervals of `window` words or more are reported.
 4. Intervals are joined to the documents by row, and the words outside them are kept.
 
 Words are compared as 64-bit hashes. Null text has no words; equal rows (same id and text) count as two documents with
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .fmindex import FMIndex, repeated
+from .fmindex import repeated
 from .text import Words, _power, checkpointed, gram_hashes, joined, mix, pieces
 
 WINDOW, GRAM = 35, 8
@@ -35,7 +35,7 @@ SAMPLE, FREQUENT = 16, 1 << 17
 #: Documents a salt of a frequent anchor, and the fewest salts.
 SALT_DOCS, SALTS = 20_000, 32
 #: Mean words of a shard.
-SHARD_WORDS = 300_000
+SHARD_WORDS = 600_000
 #: Rows that are broadcast, at most; beyond it tables are shuffled.
 BROADCAST = 1 << 20
 HOT = np.uint64(1 << 63)
@@ -168,9 +168,8 @@ def shard_repeats(frags: DataFrame, shards: int, window: int) -> DataFrame:
     def search(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         w = Words(t.column("text").cast(pa.large_binary()))
-        index = FMIndex(w.hashes(), w.count)
         key, first = t.column("row_key").to_pylist(), t.column("first").to_pylist()
-        out = [(key[p], first[p] + a, e - a) for p, a, e in repeated(index, w.count, window, ~t.column("known").to_numpy(zero_copy_only=False))]
+        out = [(key[p], first[p] + a, e - a) for p, a, e in repeated(w.hashes(), w.count, window, ~t.column("known").to_numpy(zero_copy_only=False))]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], [], []))], names=["row_key", "first", "words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
