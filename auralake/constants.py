@@ -61,7 +61,7 @@ SUGGESTIONS = {
     "dropouts": "Check the capture/transmission chain for buffer underruns or packet loss; re-record or conceal the gaps.",
 }
 
-# loudness targets by platform in LUFS with tolerance (fixed values)
+# groups that need speech, audio suffixes and split names (fixed values)
 SPEECH_GROUPS = ("speech", "prosody", "speaker")
 SUPPORTED_SUFFIXES = (".wav", ".mp3", ".flac", ".ogg", ".m4a", ".aac", ".opus", ".wma", ".aiff", ".aif", ".mp4", ".webm")
 SPLIT_NAMES = ("train", "validation", "test", "val")

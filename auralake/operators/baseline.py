@@ -66,8 +66,8 @@ def bounded_history(history: DataFrame, most: int = 1000) -> DataFrame:
 def alert_cooldown(history: DataFrame, cooldown_s: float = 300.0) -> DataFrame:
     """Values that are emitted when a key stays silent for `cooldown_s` after each emission.
 
-    The last emission only advances when one happens, so each key's times are folded in order: a key's alerts are
-    streamed through `applyInPandas`-free state, an aggregate over its ordered array of (seconds, id).
+    The last emission only advances when one happens, so each key's times are folded in order, over an array of
+    (seconds, id). The stream form (streaming.watch.alerts) holds one time a key and suits keys with long histories.
     """
     seconds = F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6
     ordered = history.groupBy("metric").agg(F.sort_array(F.collect_list(F.struct(seconds.alias("s"), "tie"))).alias("all"))
