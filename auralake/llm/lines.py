@@ -3,9 +3,10 @@
 A line's tokens are its words; a token with a digit, an at-sign or a scheme is a variable field. The tree has a fixed
 depth: token count, then the first LEADING tokens. In a leaf a line joins the most similar template (share of equal
 tokens at least `similarity`), and tokens that differ become variable; else it opens a new template. Templates that recur
-across documents are dropped: with `min_contexts` or more different neighbourhoods (the leaves of the worded lines before
-and after), which are at least `min_ratio` of the different texts that hold the template. Copies of a document, exact or
-near, repeat their neighbourhoods, so what only they share is no template and stays.
+across documents are dropped: with `min_contexts` or more different contexts, which are at least `min_ratio` of the
+different texts that hold the template. A context is a group of near copies (see copies; `alike` of their word triples
+agree) or a text without any, so what only copies of a document share is no template and stays, and a block of several
+lines counts in each unrelated document whatever its own lines have beside them.
 
 Lines shorter than `min_tokens` words are never dropped. Null text stays null, and documents stay even if nothing is
 left of them. Repeated rows are one text when counted. Lines end at "\\n" only. Other columns are carried along.
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .copies import copy_groups, sketches
 from .text import Words, _power, checkpointed, mix, pieces
 
 LEADING = 3
@@ -56,12 +58,6 @@ class Lines:
                 at = np.minimum(self.first + k, np.maximum(self.end - 1, self.first))
                 leaf = mix(leaf * np.uint64(31) + np.where(k < self.count, self.token[at], np.uint64(1))) if len(at) else leaf
         self.leaf = leaf
-        before, after = np.zeros_like(leaf), np.zeros_like(leaf)
-        same = self.row[1:] == self.row[:-1]
-        before[1:] = np.where(same, leaf[:-1], 0)
-        after[:-1] = np.where(same, leaf[1:], 0)
-        with np.errstate(over="ignore"):
-            self.context = mix(before * np.uint64(3) + mix(after))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -69,7 +65,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def line_table(docs: DataFrame, leaves: np.ndarray | None, tokens: bool, min_tokens: int) -> DataFrame:
-    """Lines as (leaf, line, context, body: hash of the text) and their token hashes; only those of `leaves` if given."""
+    """Lines as (leaf, line, body: hash of the text), once a text, and their token hashes; only those of `leaves` if given."""
     shared = docs.sparkSession.sparkContext.broadcast(leaves)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,15 +75,27 @@ def line_table(docs: DataFrame, leaves: np.ndarray | None, tokens: bool, min_tok
             if shared.value is not None:
                 keep &= np.isin(t.leaf, shared.value)
             body = b.column("body").to_numpy()[t.row]
-            _, once = np.unique(mix(t.line ^ mix(t.context ^ mix(body.view(np.uint64))))[keep], return_index=True)
+            _, once = np.unique(mix(t.line ^ mix(body.view(np.uint64)))[keep], return_index=True)
             at = np.flatnonzero(keep)[once]
-            cols = [_signed(x[at]) for x in (t.leaf, t.line, t.context)] + [pa.array(body[at])]
+            cols = [_signed(x[at]) for x in (t.leaf, t.line)] + [pa.array(body[at])]
             if tokens:
                 cols.append(pa.array([t.token[t.first[i] : t.end[i]].view(np.int64) for i in at.tolist()], pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(cols, names=["leaf", "line", "context", "body", "tokens"][: len(cols)])
+            yield pa.RecordBatch.from_arrays(cols, names=["leaf", "line", "body", "tokens"][: len(cols)])
 
     rows = docs.select("text", F.xxhash64("text").alias("body"))
-    return rows.mapInArrow(run, "leaf long, line long, context long, body long" + (", tokens array<long>" if tokens else ""))
+    return rows.mapInArrow(run, "leaf long, line long, body long" + (", tokens array<long>" if tokens else ""))
+
+
+def sketch_table(docs: DataFrame) -> DataFrame:
+    """(body, sketch) of texts with words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            t = Lines(b.column("text"))
+            row, sketch = sketches(t.token, t.first, t.count, t.row)
+            yield pa.RecordBatch.from_arrays([b.column("body").take(pa.array(row)), pa.array([x.tobytes() for x in sketch], pa.binary())], names=["body", "sketch"])
+
+    return docs.select("text", F.xxhash64("text").alias("body")).mapInArrow(run, "body long, sketch binary")
 
 
 def grow_templates(lines: DataFrame, similarity: float) -> DataFrame:
@@ -123,23 +131,25 @@ def grow_templates(lines: DataFrame, similarity: float) -> DataFrame:
 
 
 def recurring(table: DataFrame, keys: list[str], min_contexts: int, min_ratio: float) -> DataFrame:
-    """Keys with enough different contexts, and enough of them for the texts that hold them."""
-    texts = table.groupBy(*keys, "context").agg(F.countDistinct("body").alias("texts"))
+    """Keys with enough different contexts (origin), and enough of them for the texts that hold them."""
+    texts = table.groupBy(*keys, "origin").agg(F.countDistinct("body").alias("texts"))
     return texts.groupBy(*keys).agg(F.count("*").alias("contexts"), F.sum("texts").alias("texts")).where((F.col("contexts") >= min_contexts) & (F.col("contexts") >= min_ratio * F.col("texts")))
 
 
-def recurring_lines(docs: DataFrame, similarity: float = 0.75, min_contexts: int = 8, min_ratio: float = 0.4, min_tokens: int = 3) -> DataFrame:
+def recurring_lines(docs: DataFrame, similarity: float = 0.75, min_contexts: int = 8, min_ratio: float = 0.4, min_tokens: int = 3, alike: float = 0.55) -> DataFrame:
     """Hashes (line) of all lines whose template recurs across documents."""
-    leaf_table = line_table(docs, None, False, min_tokens).groupBy("leaf", "context").agg(F.count("*").alias("n")).groupBy("leaf").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= min_contexts).select("leaf")
-    leaves = checkpointed(leaf_table)  # a template has no more contexts than its leaf
+    leaf_table = line_table(docs, None, False, min_tokens).groupBy("leaf", "body").agg(F.count("*").alias("n")).groupBy("leaf").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_contexts).select("leaf")
+    leaves = checkpointed(leaf_table)  # a template has no more contexts than its leaf has texts
     known = None
     if leaves.count() <= BROADCAST:
         known = np.sort(leaves.toPandas().leaf.to_numpy(np.int64).view(np.uint64))
     full = line_table(docs, known, True, min_tokens)
     full = checkpointed(full if known is not None else full.join(leaves, "leaf", "left_semi"))
-    distinct = full.groupBy("leaf", "line").agg(F.countDistinct("body", "context").alias("n"), F.min("tokens").alias("tokens"))
+    distinct = full.groupBy("leaf", "line").agg(F.countDistinct("body").alias("n"), F.min("tokens").alias("tokens"))
     named = grow_templates(distinct, similarity)
-    kept = checkpointed(full.select("leaf", "line", "context", "body").join(named, ["leaf", "line"]))
+    groups = copy_groups(sketch_table(docs), alike)
+    placed = full.select("leaf", "line", "body").join(groups, "body", "left").withColumn("origin", F.coalesce("origin", "body"))
+    kept = checkpointed(placed.join(named, ["leaf", "line"]))
     wanted = checkpointed(recurring(kept, ["leaf", "template"], min_contexts, min_ratio).select("leaf", "template"))
     if wanted.count() <= BROADCAST:
         wanted = F.broadcast(wanted)

@@ -107,6 +107,28 @@ def test_line_templates_without_broadcast(spark, monkeypatch):
     assert all(r[3] >= 1 for r in want)
 
 
+def invented(rng, n):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+
+
+BLOCK = ["This page is published by the town library", "Opening hours are listed at the front desk", "Please return all books within four weeks", "Questions are answered by the evening staff"]
+
+
+def test_blocks_of_templates(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(30):  # a footer of four lines in unrelated texts
+        rows.append((i, "\n".join([invented(rng, 12) for _ in range(4)] + BLOCK)))
+    base = [invented(rng, 10) for _ in range(8)]
+    for i in range(40):  # near copies, each with a line of its own at another place
+        copy = list(base)
+        copy.insert(i % 9, f"{invented(rng, 9)}")
+        rows.append((100 + i, "\n".join(copy)))
+    got = {r.doc_id: r for r in lines.drop_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].n_dropped == 4 and got[i].text == "\n".join(rows[i][1].split("\n")[:4]) for i in range(30))
+    assert all(got[100 + i].text == rows[30 + i][1] for i in range(40))
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs.drop("key").write.parquet(str(tmp_path / "documents.parquet"))
