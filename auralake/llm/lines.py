@@ -3,10 +3,10 @@
 A line's tokens are its words; a token with a digit, an at-sign or a scheme is a variable field. The tree has a fixed
 depth: token count, then the first LEADING tokens. In a leaf a line joins the most similar template (share of equal
 tokens at least `similarity`), and tokens that differ become variable; else it opens a new template. Templates that recur
-across documents are dropped: with `min_contexts` or more different contexts, which are at least `min_ratio` of the
-different texts that hold the template. A context is a group of near copies (see copies; `alike` of their word triples
-agree) or a text without any, so what only copies of a document share is no template and stays, and a block of several
-lines counts in each unrelated document whatever its own lines have beside them.
+across documents are dropped: with `min_contexts` or more different contexts. A context is a group of near copies (see
+copies; `alike` of their word triples agree) or a text without any, so what only copies of a document share is no template
+and stays, a group counts once whatever copies it holds, and a block of several lines counts in each unrelated document
+whatever its own lines have beside them.
 
 Lines shorter than `min_tokens` words are never dropped. Null text stays null, and documents stay even if nothing is
 left of them. Repeated rows are one text when counted. Lines end at "\\n" only. Other columns are carried along.
@@ -130,13 +130,12 @@ def grow_templates(lines: DataFrame, similarity: float) -> DataFrame:
     return placed.mapInArrow(run, "leaf long, line long, template long")
 
 
-def recurring(table: DataFrame, keys: list[str], min_contexts: int, min_ratio: float) -> DataFrame:
-    """Keys with enough different contexts (origin), and enough of them for the texts that hold them."""
-    texts = table.groupBy(*keys, "origin").agg(F.countDistinct("body").alias("texts"))
-    return texts.groupBy(*keys).agg(F.count("*").alias("contexts"), F.sum("texts").alias("texts")).where((F.col("contexts") >= min_contexts) & (F.col("contexts") >= min_ratio * F.col("texts")))
+def recurring(table: DataFrame, keys: list[str], min_contexts: int) -> DataFrame:
+    """Keys with enough different contexts (origin)."""
+    return table.select(*keys, "origin").distinct().groupBy(*keys).agg(F.count("*").alias("contexts")).where(F.col("contexts") >= min_contexts)
 
 
-def recurring_lines(docs: DataFrame, similarity: float = 0.75, min_contexts: int = 8, min_ratio: float = 0.4, min_tokens: int = 3, alike: float = 0.55) -> DataFrame:
+def recurring_lines(docs: DataFrame, similarity: float = 0.75, min_contexts: int = 8, min_tokens: int = 3, alike: float = 0.55) -> DataFrame:
     """Hashes (line) of all lines whose template recurs across documents."""
     leaf_table = line_table(docs, None, False, min_tokens).groupBy("leaf", "body").agg(F.count("*").alias("n")).groupBy("leaf").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_contexts).select("leaf")
     leaves = checkpointed(leaf_table)  # a template has no more contexts than its leaf has texts
@@ -150,7 +149,7 @@ def recurring_lines(docs: DataFrame, similarity: float = 0.75, min_contexts: int
     groups = copy_groups(sketch_table(docs), alike)
     placed = full.select("leaf", "line", "body").join(groups, "body", "left").withColumn("origin", F.coalesce("origin", "body"))
     kept = checkpointed(placed.join(named, ["leaf", "line"]))
-    wanted = checkpointed(recurring(kept, ["leaf", "template"], min_contexts, min_ratio).select("leaf", "template"))
+    wanted = checkpointed(recurring(kept, ["leaf", "template"], min_contexts).select("leaf", "template"))
     if wanted.count() <= BROADCAST:
         wanted = F.broadcast(wanted)
     return checkpointed(kept.join(wanted, ["leaf", "template"], "left_semi").select("line").distinct())

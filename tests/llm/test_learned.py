@@ -129,6 +129,19 @@ def test_blocks_of_templates(spark):
     assert all(got[100 + i].text == rows[30 + i][1] for i in range(40))
 
 
+def test_hot_copies_do_not_shield_a_template(spark):
+    rng = random.Random(12)
+    shared = "Printed by the council for all households"
+    rows = []
+    for i in range(20):
+        rows.append((i, "\n".join([invented(rng, 12), shared, invented(rng, 12)])))
+    base = [invented(rng, 12) for _ in range(5)] + [shared] + [invented(rng, 12) for _ in range(5)]
+    for i in range(150):  # near copies differ by a word of the first line
+        rows.append((100 + i, "\n".join([f"{base[0]} {invented(rng, 1)}", *base[1:]])))
+    got = {r.doc_id: r for r in lines.drop_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(r.n_dropped == 1 and shared not in r.text for r in got.values())
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs.drop("key").write.parquet(str(tmp_path / "documents.parquet"))
