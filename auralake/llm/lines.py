@@ -8,8 +8,8 @@ copies; `alike` of their word triples agree) or a text without any, so what only
 and stays, a group counts once whatever copies it holds, and a block of several lines counts in each unrelated document
 whatever its own lines have beside them.
 
-Lines shorter than `min_tokens` words are never dropped. Null text stays null, and documents stay even if nothing is
-left of them. Repeated rows are one text when counted. Lines end at "\\n" only. Other columns are carried along.
+Lines of one or two words are judged like longer ones. Null text stays null, and documents stay even if nothing is left of
+them. Repeated rows are one text when counted. Lines end at "\\n" only. Other columns are carried along.
 """
 
 from __future__ import annotations
@@ -64,16 +64,14 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def line_table(docs: DataFrame, leaves: np.ndarray | None, tokens: bool, min_tokens: int) -> DataFrame:
+def line_table(docs: DataFrame, leaves: np.ndarray | None, tokens: bool) -> DataFrame:
     """Lines as (leaf, line, body: hash of the text), once a text, and their token hashes; only those of `leaves` if given."""
     shared = docs.sparkSession.sparkContext.broadcast(leaves)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             t = Lines(b.column("text"))
-            keep = t.count >= min_tokens
-            if shared.value is not None:
-                keep &= np.isin(t.leaf, shared.value)
+            keep = np.ones(len(t.line), bool) if shared.value is None else np.isin(t.leaf, shared.value)
             body = b.column("body").to_numpy()[t.row]
             _, once = np.unique(mix(t.line ^ mix(body.view(np.uint64)))[keep], return_index=True)
             at = np.flatnonzero(keep)[once]
@@ -135,14 +133,14 @@ def recurring(table: DataFrame, keys: list[str], min_contexts: int) -> DataFrame
     return table.select(*keys, "origin").distinct().groupBy(*keys).agg(F.count("*").alias("contexts")).where(F.col("contexts") >= min_contexts)
 
 
-def recurring_lines(docs: DataFrame, similarity: float = 0.75, min_contexts: int = 8, min_tokens: int = 3, alike: float = 0.55) -> DataFrame:
+def recurring_lines(docs: DataFrame, similarity: float = 0.75, min_contexts: int = 8, alike: float = 0.55) -> DataFrame:
     """Hashes (line) of all lines whose template recurs across documents."""
-    leaf_table = line_table(docs, None, False, min_tokens).groupBy("leaf", "body").agg(F.count("*").alias("n")).groupBy("leaf").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_contexts).select("leaf")
+    leaf_table = line_table(docs, None, False).groupBy("leaf", "body").agg(F.count("*").alias("n")).groupBy("leaf").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_contexts).select("leaf")
     leaves = checkpointed(leaf_table)  # a template has no more contexts than its leaf has texts
     known = None
     if leaves.count() <= BROADCAST:
         known = np.sort(leaves.toPandas().leaf.to_numpy(np.int64).view(np.uint64))
-    full = line_table(docs, known, True, min_tokens)
+    full = line_table(docs, known, True)
     full = checkpointed(full if known is not None else full.join(leaves, "leaf", "left_semi"))
     distinct = full.groupBy("leaf", "line").agg(F.countDistinct("body").alias("n"), F.min("tokens").alias("tokens"))
     named = grow_templates(distinct, similarity)
@@ -169,7 +167,7 @@ def drop_templates(docs: DataFrame, **options) -> DataFrame:
         rows = rows.withColumn("gone", F.lit(None).cast("array<long>"))
     else:  # line by line through a join
         rows = rows.withColumn("body", F.xxhash64(at))
-        own = line_table(docs.select("text"), None, False, 0).select("body", "line").distinct().join(gone, "line", "left_semi")
+        own = line_table(docs.select("text"), None, False).select("body", "line").distinct().join(gone, "line", "left_semi")
         rows = rows.join(own.groupBy("body").agg(F.collect_list("line").alias("gone")), "body", "left").drop("body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

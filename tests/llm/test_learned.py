@@ -142,6 +142,13 @@ def test_hot_copies_do_not_shield_a_template(spark):
     assert all(r.n_dropped == 1 and shared not in r.text for r in got.values())
 
 
+def test_short_templates(spark):
+    rng = random.Random(13)
+    rows = [(i, "\n".join(["Home", invented(rng, 12), "Read more", invented(rng, 12)] + (["Rare"] if i < 7 else []))) for i in range(20)]
+    got = {r.doc_id: r for r in lines.drop_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(r.n_dropped == 2 and "Home" not in r.text and "Read more" not in r.text and ("Rare" in r.text) == (r.doc_id < 7) for r in got.values())
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs.drop("key").write.parquet(str(tmp_path / "documents.parquet"))
