@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,18 +66,49 @@ def bounded_history(history: DataFrame, most: int = 1000) -> DataFrame:
     return history.withColumn("age", F.row_number().over(w)).where(F.col("age") <= most)
 
 
-def alert_cooldown(history: DataFrame, cooldown_s: float = 300.0) -> DataFrame:
-    """Values that are emitted when a key stays silent for `cooldown_s` after each emission.
+#: Chunks of time that a metric's events are ordered in, as a multiple of the cooldown.
+CHUNK = 16
+
 
-    The last emission only advances when one happens, so each key's times are folded in order, over an array of
-    (seconds, id). The stream form (streaming.watch.alerts) holds one time a key and suits keys with long histories.
+def _sessions(events: DataFrame, cooldown: int) -> DataFrame:
+    """events (metric, us, tie) with `session`, the time of the last event whose gap to the one before is `cooldown` or more.
+
+    Windows order a chunk of time of a metric; what goes before a chunk comes from a row a chunk.
     """
-    seconds = F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6
-    ordered = history.groupBy("metric").agg(F.sort_array(F.collect_list(F.struct(seconds.alias("s"), "tie"))).alias("all"))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<bigint>").alias("out"))
+    within, chunks = Window.partitionBy("metric", "chunk").orderBy("us", "tie"), Window.partitionBy("metric").orderBy("chunk")
+    rows = events.withColumn("chunk", F.floor(F.col("us") / F.lit(CHUNK * max(cooldown, 1))))
+
+    def with_chunk(rows: DataFrame, summary: DataFrame) -> DataFrame:
+        side = summary.select(F.col("metric").alias("m"), F.col("chunk").alias("c"), "before")
+        return rows.join(side, F.col("metric").eqNullSafe(F.col("m")) & (F.col("chunk") == F.col("c"))).drop("m", "c")
 
-    def advance(state, x):
-        fire = state["last"].isNull() | (x["s"] - state["last"] >= cooldown_s)
-        return F.struct(F.when(fire, x["s"]).otherwise(state["last"]).alias("last"), F.when(fire, F.concat(state["out"], F.array(x["tie"]))).otherwise(state["out"]).alias("out"))
+    rows = with_chunk(rows, rows.groupBy("metric", "chunk").agg(F.max("us").alias("us")).withColumn("before", F.lag("us").over(chunks)))
+    previous = F.coalesce(F.lag("us").over(within), "before")
+    rows = rows.withColumn("previous", previous).withColumn("start", F.when(F.col("previous").isNull() | (F.col("us") - F.col("previous") >= cooldown), F.col("us"))).drop("before", "previous")
+    earlier = F.max("start").over(chunks.rowsBetween(Window.unboundedPreceding, -1))
+    rows = with_chunk(rows, rows.groupBy("metric", "chunk").agg(F.max("start").alias("start")).withColumn("before", earlier))
+    return rows.select("metric", "us", "tie", F.coalesce(F.max("start").over(within.rowsBetween(Window.unboundedPreceding, 0)), "before").alias("session"))
 
-    return ordered.select("metric", F.explode(F.aggregate("all", start, advance)["out"]).alias("tie"))
+
+def alert_cooldown(history: DataFrame, cooldown_s: float = 300.0) -> DataFrame:
+    """Values that are emitted when a key stays silent for `cooldown_s` after each emission; those without a time always are.
+
+    The last emission only advances when one happens, so times are folded in order. An event after a gap of `cooldown_s`
+    is always emitted, so a group ends there; its rows are streamed past one time. streaming.watch.alerts is the stream form.
+    """
+    cooldown = round(cooldown_s * 1e6)
+    events = history.select("metric", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "tie")
+    kinds = ", ".join(f"`{n}` {t}" for n, t in events.select("metric", "tie").dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, last = None, 0
+        for b in batches:
+            out = []
+            for k, (*key, us) in enumerate(zip(*(b.column(c).to_pylist() for c in ("metric", "session", "us")), strict=True)):
+                if key != group or us - last >= cooldown:
+                    group, last = key, us
+                    out.append(k)
+            yield b.select(["metric", "tie"]).take(pa.array(out, pa.int64()))
+
+    placed = _sessions(events.where("us is not null"), cooldown).repartition("metric", "session").sortWithinPartitions("metric", "session", "us", "tie")
+    return placed.mapInArrow(run, kinds).union(events.where("us is null").select("metric", "tie"))

@@ -1,6 +1,7 @@
 """Operators on hand-made rows with known results."""
 
 import datetime
+import random
 
 import numpy as np
 import pytest
@@ -103,6 +104,25 @@ def test_drift_and_alerts(spark):
     assert baseline.bounded_history(h, 3).count() == 3
 
 
+def test_alert_cooldown_streams_groups(spark):
+    rng, start = random.Random(3), datetime.datetime(2024, 1, 1)
+    rows, want = [(None, None, -1), ("a", None, -2), ("a", None, -3)], [("None", -1), ("a", -2), ("a", -3)]
+    for metric, step, n in (("a", 5, 800), ("b", 250, 200), ("c", 2000, 60), (None, 90, 100)):
+        at, last = 0.0, None
+        for i in range(n):
+            at += rng.choice([0, step * rng.random(), step, 300]) if i else 0
+            at = round(at, 6)
+            rows.append((metric, start + datetime.timedelta(seconds=at), len(rows)))
+            us = round(at * 1e6)
+            if last is None or us - last >= 300_000_000:
+                last = us
+                want.append((str(metric), rows[-1][2]))
+    h = spark.createDataFrame(rows, "metric string, ts timestamp, tie long").repartition(3)
+    out = baseline.alert_cooldown(h)
+    assert sorted((str(r.metric), r.tie) for r in out.collect()) == sorted(want)
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_audit(spark):
     p = spark.createDataFrame([("/home/test/data/train/a.wav",), ("/x/VAL/b.wav",), ("/x/y.wav",)], "p string")
     assert [r[0] for r in p.select(audit.split_of(F.col("p"))).collect()] == ["train", "validation", None]
