@@ -38,15 +38,29 @@ TRIM[list(b".,;:!?\"'()[]{}<>*#&%|-_/~`")] = True
 
 
 def trimmed(text: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-    """Words in lower case, and the bounds and hash of each without marks at its ends (up to four on a side)."""
+    """Words in lower case, and the bounds and hash of each without marks at its ends (a word of marks keeps its last)."""
     w = Words(text, lower=True)
-    start, end = w.start.copy(), w.end.copy()
-    for _ in range(4):
-        start += (start < end - 1) & TRIM[w.data[start]] if len(start) else 0
-        end -= (end > start + 1) & TRIM[w.data[end - 1]] if len(end) else 0
+    worded = ~TRIM[w.data]
+    before = np.concatenate(([0], np.cumsum(worded)))
+    place = np.concatenate(([-1], np.flatnonzero(worded), [len(w.data)]))
+    start = np.minimum(place[before[w.start] + 1], w.end - 1)
+    end = np.maximum(place[before[w.end]] + 1, start + 1)
     return w, start, end, span_hashes(w.data, start, end)
 
 
+def stretched(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether a span holds three equal characters in a row (or as many equal bytes of up to four)."""
+    out = np.zeros(len(start), bool)
+    for width in range(1, 5):
+        equal = np.concatenate(([0], np.cumsum(data[width:] == data[:-width])))
+        need = 2 * width
+        if len(equal) <= need:
+            break
+        found = np.concatenate(([0], np.cumsum(equal[need:] - equal[:-need] == need)))  # by first byte
+        out |= found[np.clip(end - need - width + 1, start, len(found) - 1)] > found[np.minimum(start, len(found) - 1)]
+    return out
+
+
 class Trie:
     """Lexicon terms by character; a node is (children, term or None)."""
 
@@ -130,7 +144,7 @@ class Lexicon:
         leet = np.concatenate(([0], np.cumsum((data >= 48) & (data <= 57) | (data == 64) | (data == 36))))
         odd = (leet[end] > leet[start]) & (n <= 24)
         size = np.minimum(n, 63) << 16
-        return np.flatnonzero(self.edges[0][size | head] | self.edges[1][size | tail] | self.heads[head] | odd)
+        return np.flatnonzero(self.edges[0][size | head] | self.edges[1][size | tail] | self.heads[head] | odd | stretched(data, start, end))
 
     def match(self, token: str) -> float:
         """EXACT for a term or a word with a stem, NEAR for one within an edit, else 0."""

@@ -76,6 +76,15 @@ def test_lexicon_hits():
     assert total.round(2).tolist() == [1.0, 0.3, 0.0, 0.5, 0.5, 1.0, 0.0, 0.0, 0.0]
 
 
+def test_stretched_and_marked_spellings():
+    lex = toxicity.Lexicon(["idiot", "crétin"], [])
+    texts = ["you iiiidiooooooooooooot", "aaaidiooooooooot", "iiiiiiiidiotttttttt", "you créééééééétin", "######idiot!!!!!!!", "-------- x", "", None, "no iddle words"]
+    total = np.expm1(toxicity.measures(lex, pa.array(texts, pa.string()))[:, 0])
+    assert total.round(2).tolist() == [0.5, 0.5, 0.5, 0.5, 1.0, 0.0, 0.0, 0.0, 0.0]
+    d = np.frombuffer(b"aab bbb aaab ab", np.uint8)
+    assert toxicity.stretched(d, np.array([0, 4, 8, 13]), np.array([3, 7, 12, 15])).tolist() == [False, True, True, False]
+
+
 def test_line_templates(spark, none):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
