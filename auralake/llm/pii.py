@@ -2,9 +2,11 @@
 
 An Aho-Corasick automaton finds anchors (at-signs, plus signs, digits, schemes, identifier cues) in one pass over a
 text; small deterministic parsers expand each anchor to the bounds of an email address, IP address, card, phone
-number, URL, IBAN or account number and validate it. Positions are code points, ends exclusive.
+number, URL, IBAN, account number or secret (key, token, password) and validate it. Positions are code points, ends
+exclusive. Every parser is linear in the run it expands to, so texts of any length take time in proportion.
 
-Null text counts as empty; empty texts have no spans; repeated rows give repeated results.
+Null text counts as empty; empty texts have no spans; repeated rows give repeated results, an empty table an empty one.
+Of two spans that begin at one place both are given (kinds in the order of KINDS). Columns but doc_id and text are not used.
 """
 
 from __future__ import annotations
@@ -21,21 +23,26 @@ from pyspark.sql import functions as F
 from .text import pieces
 
 BASE = ("email", "ip", "card", "phone")
-EXTRA = ("url", "iban", "account")
+EXTRA = ("url", "iban", "account", "secret")
 KINDS = {k: i for i, k in enumerate((*BASE, *EXTRA))}
 #: Words that announce an account number.
 CUES = ("iban", "account", "acct", "konto", "compte", "cuenta")
+#: Words that announce a secret, and how well-known keys begin.
+SECRET_CUES = ("token", "secret", "password", "passwd", "key")
+SECRET_HEADS = ("AKIA", "ghp_")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DIGITS = frozenset("0123456789")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 NUMERIC = re.compile(r"[0-9.]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL = re.compile(r"://[^\x20\x09-\x0D<>\"']+")
 IBAN = re.compile(r"[^0-9A-Za-z]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[0-9A-Z]{2,4}){3,8})(?![0-9A-Za-z])")
 ACCOUNT = re.compile(r"[^0-9\n]{0,16}?([0-9][0-9-]{4,18}[0-9])(?![0-9])")
+SECRET = re.compile(r"[\"']?[\x20]{0,2}[:=][\x20]{0,2}[\"']?((?=[A-Za-z_+/=-]{0,39}[0-9])[A-Za-z0-9_+/=-]{16,})")
+KNOWN_KEY = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|ghp_[0-9A-Za-z]{36}(?![0-9A-Za-z])")
 
 
 @cache
@@ -48,6 +55,11 @@ def automaton():
     for cue in CUES:
         for form in {cue, cue.upper(), cue.capitalize()}:
             found.add_word(form, ("cue", len(form)))
+    for cue in SECRET_CUES:
+        for form in {cue, cue.upper(), cue.capitalize()}:
+            found.add_word(form, ("secret", len(form)))
+    for head in SECRET_HEADS:
+        found.add_word(head, ("head", len(head)))
     found.make_automaton()
     return found
 
@@ -105,6 +117,14 @@ def spans(text: str) -> list[tuple[int, int, str]]:
             elif at >= done["account"] and (m := ACCOUNT.match(text, last + 1)):
                 out.append((*m.span(1), "account"))
                 done["account"] = m.end()
+        elif anchor == "secret":
+            if at >= done["secret"] and (m := SECRET.match(text, last + 1)):
+                out.append((*m.span(1), "secret"))
+                done["secret"] = m.end()
+        elif anchor == "head":
+            if at >= done["secret"] and (m := KNOWN_KEY.match(text, at)):
+                out.append((*m.span(), "secret"))
+                done["secret"] = m.end()
         else:
             if at >= done["card"] and (m := CARD.match(text, at)):
                 done["card"] = m.end()
@@ -121,12 +141,12 @@ def spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and all spans as `kind:start:end` joined by commas."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, all spans as `kind:start:end` joined by commas, and their number n_spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             counts: list[list[int]] = [[] for _ in BASE]
-            digest, every = [], []
+            digest, every, total = [], [], []
             for text in b.column("text").to_pylist():
                 found = spans(text) if text else []
                 for k, kind in enumerate(BASE):
@@ -134,6 +154,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
                 base = ",".join(f"{k}:{a}:{e}" for a, e, k in found if k in BASE)
                 digest.append(hashlib.sha256(base.encode()).hexdigest())
                 every.append(",".join(f"{k}:{a}:{e}" for a, e, k in found))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()), pa.array(every, pa.string())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                total.append(len(found))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()), pa.array(every, pa.string()), pa.array(total, pa.int64())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
