@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import checkpointed
+from .text import checkpointed, discard
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, most_rounds: int = 200) -> DataFrame:
     """(node, component) of every node in `links` (a, b); the component is its smallest node.
 
     No node's neighbours are gathered in one row: each step is a minimum by node and a join, so a node with very many
-    links stays spread. Lineage is cut after each round.
+    links stays spread. Lineage is cut after each round; the tables of earlier rounds are deleted. Rounds grow with the
+    logarithm of the nodes; should `most_rounds` not be enough, an error is raised instead of an unfinished answer.
     """
     edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     before = None
@@ -22,9 +23,12 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u > v").distinct()
-        edges = checkpointed(small)
+        last, edges = edges, checkpointed(small)
+        discard(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())

@@ -146,14 +146,18 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set, as in tests."""
+    """The cluster's shared checkpoint folder. Only a local session without one, as in tests, gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not folder and known.isDefined():
+        folder = known.get()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="spark-checkpoint-")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    if known.isEmpty():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -162,7 +166,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage by a table in the shared folder, compressed and readable by every executor."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of `checkpointed` that nothing reads any more; other frames are left alone."""
+    for t in tables:
+        if path := getattr(t, "_table_path", None):
+            jvm = t.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
