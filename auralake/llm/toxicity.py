@@ -7,7 +7,9 @@ term stands between quotation marks or by a verb of saying) from abuse, and a sm
 context-weighted hits into a score. Learning reads at most `sample` labelled rows (smallest id hashes).
 
 Null and empty texts have no hits. Rows without a label, with a null label or held out are not learnt from. Without toxic
-labels the lexicon is empty and all scores are equal.
+labels the lexicon is empty and all scores are equal. Texts and tokens of any length are searched whole. Repeated rows get
+equal scores, an empty table an empty result, and ties of the lexicon go by code point. Other columns are carried along by
+`reject_toxic` whatever their names, and not used for scores.
 """
 
 from __future__ import annotations
@@ -120,14 +122,15 @@ class Lexicon:
     def __init__(self, words: list[str], stems: list[str], clean: frozenset[str] = frozenset()):
         self.words, self.stems, self.clean = frozenset(words), frozenset(stems), clean
         self.trie = Trie([w for w in words if len(w) >= MIN_NEAR])
-        # a token within one edit of a term shares its first or last two bytes, and its length nearly
+        self.longest = max(map(len, words), default=0) + 1
+        # a token within one edit of a term shares its first or last two bytes, and its length nearly (modulo 64)
         self.edges = np.zeros((2, 1 << 22), bool)
         self.heads = np.zeros(1 << 16, bool)
         for t in words:
             b = t.encode()
-            for n in range(max(1, len(b) - 3), min(63, len(b) + 3) + 1):
-                self.edges[0, n << 16 | b[0] << 8 | b[min(1, len(b) - 1)]] = True
-                self.edges[1, n << 16 | b[max(0, len(b) - 2)] << 8 | b[-1]] = True
+            for n in range(max(1, len(b) - 3), len(b) + 4):
+                self.edges[0, n % 64 << 16 | b[0] << 8 | b[min(1, len(b) - 1)]] = True
+                self.edges[1, n % 64 << 16 | b[max(0, len(b) - 2)] << 8 | b[-1]] = True
         for t in stems:
             b = t.encode()
             self.heads[b[0] << 8 | b[1]] = True
@@ -140,10 +143,9 @@ class Lexicon:
         n = end - start
         head = d[start] << 8 | d[np.minimum(start + 1, end - 1)]
         tail = d[np.maximum(end - 2, start)] << 8 | d[end - 1]
-        odd = np.zeros(len(start), bool)
         leet = np.concatenate(([0], np.cumsum((data >= 48) & (data <= 57) | (data == 64) | (data == 36))))
-        odd = (leet[end] > leet[start]) & (n <= 24)
-        size = np.minimum(n, 63) << 16
+        odd = leet[end] > leet[start]
+        size = n % 64 << 16
         return np.flatnonzero(self.edges[0][size | head] | self.edges[1][size | tail] | self.heads[head] | odd | stretched(data, start, end))
 
     def match(self, token: str) -> float:
@@ -154,7 +156,7 @@ class Lexicon:
         if plain != token and any(c.isalpha() for c in token) and plain in self.words:
             return NEAR
         plain = re.sub(r"(.)\1{2,}", r"\1", plain)
-        if len(plain) < MIN_NEAR or len(plain) > 40 or token in self.clean:
+        if len(plain) < MIN_NEAR or len(plain) > self.longest or token in self.clean:
             return 0.0
         return NEAR if plain in self.words or LevenshteinAutomaton(plain).over(self.trie) else 0.0
 
@@ -211,8 +213,8 @@ def measures(lexicon: Lexicon, text: pa.Array) -> np.ndarray:
     return out
 
 
-def learn_lexicon(rows: DataFrame, min_docs: int = 5, min_share: float = 0.005, min_contexts: int = 4, min_lift: float = 30.0, most: int = 5000) -> Lexicon:
-    """Terms of toxic documents from labelled rows (label, text); at most `most` of them.
+def learn_lexicon(rows: DataFrame, min_docs: int = 5, min_share: float = 0.005, min_contexts: int = 4, min_lift: float = 30.0) -> Lexicon:
+    """Terms of toxic documents from labelled rows (label, text), which `sample` bounds and with them the terms.
 
     A term needs `min_docs` toxic documents and `min_share` of them, which chance hardly ever reaches, `min_contexts`
     different words before it (so that copies of one document don't count) and a `min_lift` over other documents.
@@ -248,7 +250,7 @@ def learn_lexicon(rows: DataFrame, min_docs: int = 5, min_share: float = 0.005,
         return Lexicon([], [])
     tallies = rows.select("text", "label").mapInArrow(run, "term string, kind int, pos long, neg long, mask long").groupBy("term", "kind").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.bit_or("mask").alias("mask"))
     lift = (F.col("pos") / n_pos) / ((F.col("neg") + 0.5) / (n_neg + 1))
-    found = tallies.where((F.col("pos") >= max(min_docs, min_share * n_pos)) & (F.bit_count("mask") >= min_contexts) & (lift >= min_lift) & (F.length("term") >= 3)).orderBy(F.desc("pos"), "term", "kind").limit(most).collect()
+    found = tallies.where((F.col("pos") >= max(min_docs, min_share * n_pos)) & (F.bit_count("mask") >= min_contexts) & (lift >= min_lift) & (F.length("term") >= 3)).orderBy("term", "kind").collect()
     words = [r["term"] for r in found if r["kind"] == 0]
     # shorter stems match what longer ones and their words do
     stems = {r["term"] for r in found if r["kind"] == 1}
@@ -256,8 +258,8 @@ def learn_lexicon(rows: DataFrame, min_docs: int = 5, min_share: float = 0.005,
     return Lexicon([w for w in words if not any(w[:k] in stems for k in STEMS if len(w) > k)], sorted(stems))
 
 
-def clean_spellings(rows: DataFrame, lexicon: Lexicon, most: int = 50_000) -> frozenset[str]:
-    """Tokens near a term in labelled rows that aren't toxic."""
+def clean_spellings(rows: DataFrame, lexicon: Lexicon) -> frozenset[str]:
+    """Tokens near a term in labelled rows that aren't toxic; the number of labelled rows bounds them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -265,7 +267,7 @@ def clean_spellings(rows: DataFrame, lexicon: Lexicon, most: int = 50_000) -> fr
             near = {t for row, _, _, t in lexicon.hits(b.column("text")) if label[row] < 0.5 and t not in lexicon.words}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(near), pa.string())], names=["token"])
 
-    got = rows.where("label < 0.5").select("text", "label").mapInArrow(run, "token string").distinct().limit(most).collect()
+    got = rows.where("label < 0.5").select("text", "label").mapInArrow(run, "token string").distinct().collect()
     return frozenset(r["token"] for r in got)
 
 
