@@ -9,7 +9,9 @@ and stays, a group counts once whatever copies it holds, and a block of several
 whatever its own lines have beside them.
 
 Lines of one or two words are judged like longer ones. Null text stays null, and documents stay even if nothing is left of
-them. Repeated rows are one text when counted. Lines end at "\\n" only. Other columns are carried along.
+them; an empty table gives an empty one. Repeated rows are one text when counted. Ties of similarity go to the older
+template. Lines end at "\\n" only and have any length. Other columns are carried along whatever their names; an added
+column whose name is taken gets underscores.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .copies import copy_groups, sketches
-from .text import Words, _power, checkpointed, mix, pieces
+from .text import Words, _power, checkpointed, discard, mix, pieces
 
 LEADING = 3
 FIELD = np.uint64(0x5EED_F1E1D)
@@ -30,6 +32,8 @@ VARIABLE = np.zeros(256, bool)
 VARIABLE[list(b"0123456789@")] = True
 #: Hashes that are broadcast, at most (8 bytes each); beyond it tables are joined.
 BROADCAST = 1 << 20
+#: Distinct lines of a leaf that one task grows templates from, on average.
+PART_LINES = 256
 
 
 class Lines:
@@ -64,6 +68,14 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """`name`, with underscores appended while it is taken (in any case)."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def line_table(docs: DataFrame, leaves: np.ndarray | None, tokens: bool) -> DataFrame:
     """Lines as (leaf, line, body: hash of the text), once a text, and their token hashes; only those of `leaves` if given."""
     shared = docs.sparkSession.sparkContext.broadcast(leaves)
@@ -96,36 +108,85 @@ def sketch_table(docs: DataFrame) -> DataFrame:
     return docs.select("text", F.xxhash64("text").alias("body")).mapInArrow(run, "body long, sketch binary")
 
 
-def grow_templates(lines: DataFrame, similarity: float) -> DataFrame:
-    """(leaf, line, template) from distinct lines (leaf, line, n, tokens); frequent lines come first, ties by hash.
+class Templates:
+    """The templates of one leaf in rows of token hashes; 0 is a variable place."""
+
+    def __init__(self, width: int):
+        self.rows, self.n = np.zeros((4, width), np.int64), 0
 
-    A leaf's lines are streamed; only its templates are held.
+    def add(self, line: np.ndarray, similarity: float) -> int:
+        """The number of the most similar template, which takes the line in, or of a new one."""
+        if self.n:
+            share = (self.rows[: self.n] == line).mean(axis=1)
+            best = int(np.argmax(share))
+            if share[best] >= similarity:
+                self.rows[best] = np.where(self.rows[best] == line, line, 0)
+                return best
+        if self.n == len(self.rows):
+            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+        self.rows[self.n] = line
+        self.n += 1
+        return self.n - 1
+
+
+def grow_parts(lines: DataFrame, similarity: float) -> DataFrame:
+    """(leaf, part, line, template) from lines (leaf, part, line, n, tokens), and a row (leaf, part, template, n, tokens) a template.
+
+    Frequent lines come first, ties by hash. A part's lines are streamed; only its templates are held.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf, templates = None, np.zeros((0, 0), np.int64)
+        where, own, weight = None, Templates(0), []
+        out: list[tuple] = []
+
+        def close() -> None:
+            if where is not None:
+                out.extend((*where, None, k, weight[k], own.rows[k].copy()) for k in range(own.n))
+
+        def taken() -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            b = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 6, kinds, strict=True)], names=["leaf", "part", "line", "template", "n", "tokens"])
+            out.clear()
+            return b
+
         for b in batches:
-            out = []
-            for key, tokens in zip(b.column("leaf").to_pylist(), b.column("tokens").to_pylist(), strict=True):
-                line = np.array(tokens, np.int64)
-                if key != leaf:
-                    leaf, templates = key, np.zeros((0, len(line)), np.int64)
-                best = -1
-                if len(templates):
-                    share = (templates == line).mean(axis=1)
-                    best = int(np.argmax(share))
-                    if share[best] < similarity:
-                        best = -1
-                if best < 0:
-                    best = len(templates)
-                    templates = np.vstack([templates, line])
-                else:
-                    templates[best] = np.where(templates[best] == line, line, 0)
-                out.append(best)
-            yield pa.RecordBatch.from_arrays([b.column("leaf"), b.column("line"), pa.array(out, pa.int64())], names=["leaf", "line", "template"])
-
-    placed = lines.repartition("leaf").sortWithinPartitions("leaf", F.desc("n"), "line").select("leaf", "line", "tokens")
-    return placed.mapInArrow(run, "leaf long, line long, template long")
+            for leaf, part, line, n, tokens in zip(*(b.column(c).to_pylist() for c in ("leaf", "part", "line", "n", "tokens")), strict=True):
+                if (leaf, part) != where:
+                    close()
+                    where, own, weight = (leaf, part), Templates(len(tokens)), []
+                k = own.add(np.array(tokens, np.int64), similarity)
+                if k == len(weight):
+                    weight.append(0)
+                weight[k] += n
+                out.append((leaf, part, line, k, None, None))
+            yield taken()
+        close()
+        yield taken()
+
+    placed = lines.repartition("leaf", "part").sortWithinPartitions("leaf", "part", F.desc("n"), "line").select("leaf", "part", "line", "n", "tokens")
+    return placed.mapInArrow(run, "leaf long, part long, line long, template long, n long, tokens array<long>")
+
+
+def grow_templates(lines: DataFrame, similarity: float) -> DataFrame:
+    """(leaf, line, template) from distinct lines (leaf, line, n, tokens).
+
+    A leaf of many lines is dealt over parts of about PART_LINES by the lines' hashes; each part grows templates, and the
+    templates of all parts of a leaf, those that are equal taken together, then grow into those of the leaf.
+    """
+    sizes = lines.groupBy("leaf").agg(F.ceil(F.count("*") / PART_LINES).cast("long").alias("parts")).where("parts > 1")
+    sizes = checkpointed(sizes)
+    known = F.broadcast(sizes) if sizes.count() <= BROADCAST else sizes
+    dealt = lines.join(known, "leaf", "left").withColumn("part", F.coalesce(F.pmod("line", "parts"), F.lit(-1)))
+    first = checkpointed(grow_parts(dealt, similarity))
+    own = first.where("line is not null").select("leaf", "part", "line", "template")
+    if sizes.isEmpty():
+        return own.select("leaf", "line", "template")
+    tops = first.where("line is null and part >= 0").groupBy("leaf", "tokens").agg(F.sum("n").alias("n"), F.collect_list(F.struct("part", "template")).alias("of"))
+    tops = checkpointed(tops.withColumn("line", F.xxhash64("tokens")).withColumn("part", F.lit(-1).cast("long")))
+    whole = grow_parts(tops, similarity).where("line is not null").select("leaf", "line", F.col("template").alias("final"))
+    final = whole.join(tops.select("leaf", "line", F.explode("of").alias("o")), ["leaf", "line"]).select("leaf", F.col("o.part").alias("part"), F.col("o.template").alias("template"), "final")
+    split = own.where("part >= 0").join(final, ["leaf", "part", "template"]).select("leaf", "line", F.col("final").alias("template"))
+    return own.where("part < 0").select("leaf", "line", "template").union(split)
 
 
 def recurring(table: DataFrame, keys: list[str], min_contexts: int) -> DataFrame:
@@ -147,14 +208,17 @@ def recurring_lines(docs: DataFrame, similarity: float = 0.75, min_contexts: int
     groups = copy_groups(sketch_table(docs), alike)
     placed = full.select("leaf", "line", "body").join(groups, "body", "left").withColumn("origin", F.coalesce("origin", "body"))
     kept = checkpointed(placed.join(named, ["leaf", "line"]))
+    discard(leaves, full)
     wanted = checkpointed(recurring(kept, ["leaf", "template"], min_contexts).select("leaf", "template"))
     if wanted.count() <= BROADCAST:
         wanted = F.broadcast(wanted)
-    return checkpointed(kept.join(wanted, ["leaf", "template"], "left_semi").select("line").distinct())
+    gone = checkpointed(kept.join(wanted, ["leaf", "template"], "left_semi").select("line").distinct())
+    discard(kept)
+    return gone
 
 
-def drop_templates(docs: DataFrame, **options) -> DataFrame:
-    """docs with the lines of recurring templates taken out of `text`; n_lines and n_dropped (worded lines) are added."""
+def drop_templates(docs: DataFrame, counts: bool = True, **options) -> DataFrame:
+    """docs with the lines of recurring templates taken out of `text`; with `counts`, n_lines and n_dropped (worded lines) are added."""
     spark, names = docs.sparkSession, docs.columns
     gone = recurring_lines(docs.select(F.col("text").cast("string").alias("text")), **options)
     flat = [f"c{k}" for k in range(len(names))]
@@ -191,4 +255,5 @@ def drop_templates(docs: DataFrame, **options) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(total.astype(np.int64)), pa.array(dropped.astype(np.int64))], names=[*flat, "n_lines", "n_dropped"])
 
     done = rows.mapInArrow(run, f"{fields}, n_lines long, n_dropped long")
-    return done.select(*[F.col(f).alias(c) for c, f in zip(names, flat, strict=True)], *[c for c in ("n_lines", "n_dropped") if c not in names])
+    added = [F.col(c).alias(free_name(c, names)) for c in ("n_lines", "n_dropped")] if counts else []
+    return done.select(*[F.col(f).alias(c) for c, f in zip(names, flat, strict=True)], *added)
