@@ -4,27 +4,30 @@ Document rates r minimise the relative entropy to one copy each under one token
 0 <= r <= limit. The dual is convex with one multiplier a source, and its optimum tilts exponentially:
 r = min(limit, exp(multiplier * size / mean size)). Newton steps (kept inside a bracket) solve it over a table of
 (source, size, documents), which Spark aggregates again in each step; only one row a source comes to the driver.
-Rates become whole copies by systematic rounding along sizes in falling order, so a source misses its target by half
-its largest document at most.
+Rates become whole copies along sizes in falling order, where each size makes up for the words that larger ones are
+over or short, so a source misses its target by little more than half its smallest documents where it has small ones.
 
 Null text has size 0 and null source is a source of its own (last). Documents of size 0 are not taken. Equal documents
-share a rate; which of them get the odd copy follows from a hash of the id, so reruns agree.
+share a rate; which of them get the odd copy follows from a hash of the id, so reruns agree. Rows that repeat an id or a
+text count as often as they occur; an empty table gives an empty one; a text may have any length. Other columns are
+carried along in a struct, so their names can't clash.
 """
 
 from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .text import checkpointed
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rates are whole multiples of 1 / UNIT, so sums over them are exact.
-UNIT = 1 << 20
-#: Parts of the documents of one source and size, so that no window holds all copies of a hot document.
-PARTS = 64
+#: Documents a part, and the fewest parts, of the documents of one source and size: no window holds all of a hot size.
+PART_DOCS, PARTS = 20_000, 64
+#: Sources whose targets are broadcast, at most; beyond it they are joined.
+BROADCAST = 1 << 17
 
 
 def n_words(text: Column) -> Column:
@@ -94,12 +97,25 @@ def multipliers(table: DataFrame, stats: dict[str, tuple[float, float]], limit:
     return {k: done.get(k, s[0]) for k, s in state.items()}
 
 
+def whole_copies(table: pd.DataFrame, limit: int) -> pd.DataFrame:
+    """Copies of each size of one source (size, n, rate), larger sizes first; what is over or short goes to the next size."""
+    table = table.sort_values("size", ascending=False)
+    carried, copies = 0.0, []
+    for size, n, rate in zip(table["size"].tolist(), table["n"].tolist(), table["rate"].tolist(), strict=True):
+        wanted = carried + rate * n * size
+        copies.append(min(limit * n, max(0, math.floor(wanted / size + 0.5))) if size else 0)
+        carried = wanted - copies[-1] * size
+    out = table.rename(columns={"n": "all"}).assign(copies_all=copies)
+    return out[["key", "size", "all", "copies_all", "rate", "source_size", "target"]]
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), limit: int = 3, columns: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies and rate of every document; `columns` of docs are carried along in a struct `row`."""
     spark = docs.sparkSession
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("-"))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), *([F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")] if columns else []))
-    base = base.withColumn("key", key).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64(F.col("text").cast("string")).alias("body"), *([F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")] if columns else []))
+    n_parts = max(PARTS, docs.count() // PART_DOCS)
+    base = base.withColumn("key", key).withColumn("part", F.pmod(F.xxhash64("doc_id", "body"), F.lit(n_parts)))
     parts = checkpointed(base.groupBy("key", "source", "size", "part").agg(F.count("*").alias("n")))
     table = checkpointed(parts.groupBy("key", "size").agg(F.sum("n").alias("n")))
     whole = parts.groupBy("key", "source").agg(F.sum(F.col("size") * F.col("n")).alias("tokens"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("n")).collect()  # a row a source
@@ -107,14 +123,13 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), limit:
     stats = {r["key"]: (r["tokens"] / r["n"], target[r["source"]]) for r in whole if r["tokens"]}
     lam = multipliers(table, stats, limit)
     known = [(r["key"], r["tokens"], float(target[r["source"]]), max(r["tokens"] / max(r["n"], 1), 1.0), float(min(max(lam.get(r["key"], 0.0), -1e6), 1e6))) for r in whole]
-    known = F.broadcast(spark.createDataFrame(known, "key string, source_size long, target double, mean double, lam double"))
+    few = len(known) <= BROADCAST
+    known = spark.createDataFrame(known, "key string, source_size long, target double, mean double, lam double")
+    known = F.broadcast(known) if few else known
 
     rate = F.when(F.col("size") > 0, F.least(F.lit(float(limit)), F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(700.0))))).otherwise(0.0)
-    fixed = table.join(known, "key").withColumn("rate", rate).withColumn("units", F.rint(F.col("rate") * UNIT).cast("long") * F.col("n"))
-    falling = Window.partitionBy("key").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0)
-    cut = fixed.withColumn("upto", F.sum("units").over(falling))
-    copies = F.expr(f"((upto + {UNIT // 2}) div {UNIT}) - ((upto - units + {UNIT // 2}) div {UNIT})")
-    cut = cut.select("key", "size", F.col("n").alias("all"), copies.alias("copies_all"), "rate", "source_size", "target")
+    fixed = table.join(known, "key").withColumn("rate", rate)
+    cut = fixed.groupBy("key").applyInPandas(lambda t: whole_copies(t, limit), "key string, size long, all long, copies_all long, rate double, source_size long, target double")
 
     # the copies of one source and size go to its parts in turn, then to documents within a part
     along = Window.partitionBy("key", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
@@ -122,7 +137,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), limit:
     own = F.expr("((upto * copies_all) div all) - (((upto - n) * copies_all) div all)")
     shared = shared.select("key", "size", "part", F.col("n").alias("part_n"), own.alias("own"), "rate", "source_size", "target")
 
-    rank = F.row_number().over(Window.partitionBy("key", "size", "part").orderBy("doc_id"))
+    rank = F.row_number().over(Window.partitionBy("key", "size", "part").orderBy("doc_id", "body"))
     placed = base.withColumn("rank", rank).join(shared, ["key", "size", "part"])
     n_copies = F.expr("(own div part_n) + cast(rank <= own % part_n as long)")
     out = placed.withColumn("copies", n_copies).withColumn("taken", F.col("copies") * F.col("size"))
