@@ -3,17 +3,19 @@
 A window is `window` consecutive words of one document; each word covered by a window that also starts anywhere else goes.
 
 1. Anchors: of the 8-word runs in a window the first in a fixed order (frequent runs last) is its anchor, so equal windows
-   have equal anchors. A document's windows with one anchor in a row make a fragment. A shuffle by anchor keeps the
-   fragments whose anchor occurs again; frequent anchors are salted and always kept. Equal fragments are known to be
-   repeated at once, and one of them stands for all.
-2. Fragments that share an anchor with different ones are cut from the texts and go to shards by their anchor, so all
-   occurrences of a window meet in one shard of bounded mean size.
-3. Each shard builds an FM-index over its fragments, and one over their mirror images; backward search over the wavelet
-   matrices gives how far a match with a second occurrence reaches, and intervals of `window` words or more are reported.
-4. Intervals are joined to the documents by row, and the words outside them are kept.
-
-Words are compared as 64-bit hashes. Null text has no words; equal rows (same id and text) count as two documents with
-equal results; no column but doc_id and text is used.
+   have equal anchors. A window of frequent runs only takes the first runs of three orders together, so that no frequent
+   run gathers what has nothing else in common. A document's windows with one anchor in a row make a fragment. A shuffle
+   by anchor keeps the fragments whose anchor occurs again; frequent anchors are salted and always kept. Equal fragments of
+   a group are one content, marked if it stands for several.
+2. Contents are cut from the texts and go to shards by their anchor, so all occurrences of a window meet in one shard of
+   bounded mean size.
+3. Each shard builds an FM-index over its contents with a bit for the marked ones, and one over their mirror images;
+   contents are streamed past them, backward search over the wavelet matrices gives how far a match with a second
+   occurrence reaches, and intervals of `window` words or more are reported.
+4. Intervals are joined to the fragments by content and to the documents by row; the words outside them are kept.
+
+Words are compared as 64-bit hashes. Null text has no words; an empty table gives an empty one; texts may be of any length.
+Equal rows (same id and text) count as two documents with equal results; no column but doc_id and text is used.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .fmindex import repeated
-from .text import Words, _power, checkpointed, gram_hashes, joined, mix, pieces
+from .text import Words, _power, checkpointed, discard, gram_hashes, joined, mix, pieces
 
 WINDOW, GRAM = 35, 8
 #: One in so many documents is looked at to find frequent runs, of which at most FREQUENT go last in the order.
@@ -36,9 +38,11 @@ SAMPLE, FREQUENT = 16, 1 << 17
 SALT_DOCS, SALTS = 20_000, 32
 #: Mean words of a shard.
 SHARD_WORDS = 600_000
-#: Rows that are broadcast, at most; beyond it tables are shuffled.
-BROADCAST = 1 << 20
+#: Ids (8 bytes each) and bytes of intervals that are broadcast, at most; beyond it tables are shuffled.
+BROADCAST, BROADCAST_BYTES = 1 << 20, 64 << 20
 HOT = np.uint64(1 << 63)
+#: Orders beside the first whose minima make the anchor of a window of frequent runs.
+ORDERS = (0x51A7_0001, 0x51A7_0002)
 
 
 def frequent_grams(docs: DataFrame) -> np.ndarray:
@@ -57,21 +61,31 @@ def frequent_grams(docs: DataFrame) -> np.ndarray:
     return np.sort(got.g.to_numpy(np.int64)).view(np.uint64)
 
 
+def minima(value: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least of each run of `span` values and its place, the first of equal ones."""
+    low, place, size = value, np.arange(len(value)), 1
+    while size < span:
+        step = min(size, span - size)
+        right = low[step:] < low[:-step]
+        low, place = np.where(right, low[step:], low[:-step]), np.where(right, place[step:], place[:-step])
+        size += step
+    return low, place
+
+
 def window_anchors(words: Words, frequent: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     """Fragments: (row, first word, last window's first word, anchor value, places of the anchor) with words counted within rows."""
-    gram = gram_hashes(words.hashes(), GRAM) >> np.uint64(1)
+    plain = gram = gram_hashes(words.hashes(), GRAM) >> np.uint64(1)
     if len(frequent) and len(gram):
         at = np.minimum(np.searchsorted(frequent, gram), len(frequent) - 1)
         gram = np.where(frequent[at] == gram, gram | HOT, gram)
     span = window - GRAM + 1
     if len(gram) < span:
         return (np.zeros(0, np.int64),) * 5
-    low, place, size = gram, np.arange(len(gram)), 1
-    while size < span:  # minima of runs, doubling; the first place wins ties
-        step = min(size, span - size)
-        right = low[step:] < low[:-step]
-        low, place = np.where(right, low[step:], low[:-step]), np.where(right, place[step:], place[:-step])
-        size += step
+    low, place = minima(gram, span)
+    hot = low >= HOT
+    if hot.any():
+        for seed in ORDERS:
+            low = np.where(hot, mix(low ^ minima(mix(plain ^ np.uint64(seed)), span)[0]) | HOT, low)
     inside = words.row[: len(low)] == words.row[window - 1 : window - 1 + len(low)]
     at = np.flatnonzero(inside)
     if not len(at):
@@ -85,8 +99,8 @@ def window_anchors(words: Words, frequent: np.ndarray, window: int) -> tuple[np.
 
 
 def repeated_anchors(docs: DataFrame, frequent: np.ndarray, window: int) -> DataFrame:
-    """Fragments (row_key, anchor, first, more, known, index) whose anchor occurs more than once: `known` to be repeated as a
-    whole, or to `index`, or both where it stands for others."""
+    """Fragments (row_key, anchor, content, first, more, index, several) whose anchor occurs more than once; those with `index`
+    stand for their content, and `several` marks contents of more than one fragment."""
     salts = max(SALTS, docs.count() // SALT_DOCS)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -109,14 +123,12 @@ def repeated_anchors(docs: DataFrame, frequent: np.ndarray, window: int) -> Data
     def judge(t: pa.Table) -> pa.RecordBatch:
         anchor, salt, body, bounds = (t.column(c).to_numpy() for c in ("anchor", "salt", "body", "bounds"))
         group = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])))
-        part = group | np.concatenate(([True], body[1:] != body[:-1]))
-        g, p = np.cumsum(group) - 1, np.cumsum(part) - 1
-        known = np.bincount(p)[p] > 1
-        mixed = (np.bincount(g[part])[g] > 1) | (salt < 1 << 30)
-        index = part & (mixed | (bounds & 1 == 1) & ~known)
-        keep = pa.array(known | index)
-        cols = [t.column("row_key").combine_chunks(), t.column("anchor").combine_chunks(), t.column("bounds").combine_chunks(), pa.array(known), pa.array(index)]
-        return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols], names=["row_key", "anchor", "bounds", "known", "index"]).filter(keep)
+        index = group | np.concatenate(([True], body[1:] != body[:-1]))
+        g, p = np.cumsum(group) - 1, np.cumsum(index) - 1
+        several = np.bincount(p)[p] > 1
+        again = (np.bincount(g)[g] > 1) | (salt < 1 << 30) | (bounds & 1 == 1)
+        cols = [t.column(c).combine_chunks() for c in ("row_key", "anchor", "body", "bounds")] + [pa.array(index), pa.array(several)]
+        return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols], names=["row_key", "anchor", "content", "bounds", "index", "several"]).filter(pa.array(again))
 
     def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -134,43 +146,46 @@ def repeated_anchors(docs: DataFrame, frequent: np.ndarray, window: int) -> Data
             yield judge(held)
 
     rows = docs.select("row_key", "text").mapInArrow(cut, "anchor long, salt int, body long, row_key long, bounds long")
-    kept = rows.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "body", "row_key", "bounds").mapInArrow(twice, "row_key long, anchor long, bounds long, known boolean, index boolean")
-    return kept.select("row_key", "anchor", F.shiftright("bounds", 32).alias("first"), F.expr("shiftright(bounds, 1) & 2147483647").alias("more"), "known", "index")
+    kept = rows.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "body", "row_key", "bounds").mapInArrow(twice, "row_key long, anchor long, content long, bounds long, index boolean, several boolean")
+    return kept.select("row_key", "anchor", "content", F.shiftright("bounds", 32).alias("first"), F.expr("shiftright(bounds, 1) & 2147483647").alias("more"), "index", "several")
 
 
 def fragments(docs: DataFrame, found: DataFrame, shards: int, window: int) -> DataFrame:
-    """Fragments' texts by shard: shard, row_key, first, known, text (words joined by one space)."""
+    """Contents by shard: shard, anchor, content, several, text (words joined by one space)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             w = Words(b.column("text"))
             data = w.data.tobytes()
             out = []
-            for r, (key, parts) in enumerate(zip(b.column("row_key").to_pylist(), b.column("parts").to_pylist(), strict=True)):
+            for r, parts in enumerate(b.column("parts").to_pylist()):
                 for p in parts:
                     base = int(w.first[r]) + p["first"]
                     body = b" ".join(data[w.start[base] : w.end[base + p["more"] + window - 1]].split())
-                    out.append((p["anchor"] % shards, key, p["first"], p["known"], body))
+                    out.append((p["anchor"] % shards, p["anchor"], p["content"], p["several"], body))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["shard", "row_key", "first", "known", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["shard", "anchor", "content", "several", "text"])
 
-    own = found.groupBy("row_key").agg(F.collect_list(F.struct("anchor", "first", "more", "known")).alias("parts"))  # as many as a document has
+    own = found.groupBy("row_key").agg(F.collect_list(F.struct("anchor", "content", "first", "more", "several")).alias("parts"))  # as many as a document has
     texts = docs.select("row_key", "text")
     ids = checkpointed(found.select("row_key").distinct())
     if ids.count() <= BROADCAST:
         texts = texts.join(F.broadcast(ids), "row_key", "left_semi")
-    return texts.join(own, "row_key").mapInArrow(run, "shard long, row_key long, first long, known boolean, text binary")
+    return texts.join(own, "row_key").mapInArrow(run, "shard long, anchor long, content long, several boolean, text binary")
 
 
 def shard_repeats(frags: DataFrame, shards: int, window: int) -> DataFrame:
-    """(row_key, first, words) of repeated intervals."""
+    """(anchor, content, at, words) of repeated intervals of contents."""
 
     def search(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        w = Words(t.column("text").cast(pa.large_binary()))
-        key, first = t.column("row_key").to_pylist(), t.column("first").to_pylist()
-        out = [(key[p], first[p] + a, e - a) for p, a, e in repeated(w.hashes(), w.count, window, ~t.column("known").to_numpy(zero_copy_only=False))]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], [], []))], names=["row_key", "first", "words"])
+        t = pa.Table.from_batches(held).combine_chunks()
+        anchor, content, several = (t.column(c).to_numpy() for c in ("anchor", "content", "several"))
+        fresh = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]))))
+        several = np.logical_or.reduceat(several, fresh) | (np.diff(np.append(fresh, len(anchor))) > 1)  # salts and repeated rows meet here
+        w = Words(t.column("text").take(pa.array(fresh)).combine_chunks().cast(pa.large_binary()))
+        anchor, content = anchor[fresh].tolist(), content[fresh].tolist()
+        out = [(anchor[p], content[p], a, e - a) for p, a, e in repeated(w.hashes(), w.count, window, several)]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], [], [], []))], names=["anchor", "content", "at", "words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -188,8 +203,8 @@ def shard_repeats(frags: DataFrame, shards: int, window: int) -> DataFrame:
         if held:
             yield search(held)
 
-    placed = frags.repartition(shards, "shard").sortWithinPartitions("shard")
-    return placed.mapInArrow(run, "row_key long, first long, words long")
+    placed = frags.repartition(shards, "shard").sortWithinPartitions("shard", "anchor", "content")
+    return placed.mapInArrow(run, "anchor long, content long, at long, words long")
 
 
 def merged(intervals: DataFrame) -> DataFrame:
@@ -208,10 +223,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = True
     index = found.where("index")
     words = index.agg(F.sum(F.col("more") + window)).first()[0] or 0
     shards = max(1, -(-words // SHARD_WORDS))
-    known = found.where("known").select("row_key", "first", (F.col("more") + window).alias("words"))
-    intervals = checkpointed(merged(known.union(shard_repeats(fragments(docs, index, shards, window), shards, window))))
+    reported = checkpointed(shard_repeats(fragments(docs, index, shards, window), shards, window))
+    own = found.join(reported, ["anchor", "content"]).select("row_key", (F.col("first") + F.col("at")).alias("first"), "words")
+    intervals = checkpointed(merged(own))
+    discard(found, reported)
     gone = intervals.groupBy("row_key").agg(F.collect_list(F.struct("first", "words")).alias("gone"))
-    if intervals.count() <= BROADCAST:
+    size = intervals.agg(F.countDistinct("row_key").alias("rows"), F.count("*").alias("n")).first()
+    if 96 * size["rows"] + 16 * size["n"] <= BROADCAST_BYTES:
         gone = F.broadcast(gone)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -78,20 +78,26 @@ def test_substring_small_windows_and_repeated_rows(spark, none):
     assert got == sorted(brute.without_repeats(data, 12), key=repr)
 
 
-@given(st.lists(st.lists(st.integers(0, 3), max_size=30), min_size=1, max_size=6))
-@settings(max_examples=60, deadline=None)
-def test_fm_index_counts(parts):
+@given(st.lists(st.tuples(st.booleans(), st.lists(st.integers(0, 3), max_size=30)), min_size=1, max_size=6))
+@settings(max_examples=100, deadline=None)
+def test_fm_index_counts(marked_parts):
+    """Intervals and matching statistics against counted substrings; a marked sequence stands for two."""
+    parts, marked = [p for _, p in marked_parts], np.array([m for m, _ in marked_parts])
     values = np.array([v for p in parts for v in p], np.int64)
     sizes = np.array([len(p) for p in parts])
-    grams = {}
-    for p in parts:
-        for i in range(len(p) - 3):
-            grams.setdefault(tuple(p[i : i + 4]), []).append(1)
+    count = {}
+    for p, m in zip(parts, marked.tolist(), strict=True):
+        for i in range(len(p)):
+            for j in range(i + 1, len(p) + 1):
+                count[tuple(p[i:j])] = count.get(tuple(p[i:j]), 0) + 1 + m
     found = set()
-    for p, a, e in fmindex.repeated(values, sizes, 4, np.ones(len(parts), bool)):
+    for p, a, e in fmindex.repeated(values, sizes, 4, marked):
         found |= {(p, j) for j in range(a, e)}
-    want = {(k, j) for k, p in enumerate(parts) for i in range(len(p) - 3) if len(grams[tuple(p[i : i + 4])]) > 1 for j in range(i, i + 4)}
+    want = {(k, j) for k, p in enumerate(parts) for i in range(len(p) - 3) if count[tuple(p[i : i + 4])] > 1 for j in range(i, i + 4)}
     assert found == want
+    stats = fmindex.matching_statistics(fmindex.FMIndex(values, sizes, marked), np.append(values, 9), np.append(sizes, 1))
+    longest = [max((n for n in range(1, j + 1) if count[tuple(p[j - n : j])] > 1), default=0) for p in parts for j in range(1, len(p) + 1)]
+    assert stats.tolist() == [*longest, 0]
 
 
 PII_TEXT = st.text(alphabet="ab.@+-_%() 0123456789\n:/é", max_size=80)
