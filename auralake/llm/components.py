@@ -31,4 +31,6 @@ def components(links: DataFrame, most_rounds: int = 200) -> DataFrame:
         before = now
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+    out._table_path = edges._table_path  # so that it can be discarded
+    return out

@@ -12,12 +12,14 @@ h <= (1 - t) / (1 + t) * (|x| + |y|).
    replicated to just these.
 3. A region of few documents compares all of its pairs. In a larger one a document becomes pivot and is compared with
    all others. Regions of one pivot make its cell; the cell is closed when all of its documents are then in one component.
-   In an open cell the documents outside the largest component are joined, in blocks, with all documents of the cell.
+   In an open cell the documents outside the largest component are joined, in blocks, with all documents of the cell, which
+   are dealt over slices, so a task holds one block and streams one slice.
 4. Before texts are compared, the triangle inequality prunes pairs: counts of shingles in hash classes (64 or more, by
    size) are distances to fixed pivots, and the sum of their differences is at most h.
 
 Shingles are 64-bit hashes. Null or empty texts have no shingles, no links and their own id as component; a null id is
-returned with a null component. Ids are taken as unique; rows that repeat one are returned as often.
+returned with a null component. Ids are taken as unique; rows that repeat one are returned as often. An empty table gives
+an empty one, a text may have any length, and columns but doc_id and text are not used (`one_of_each` carries them along).
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .text import Words, checkpointed, gram_hashes, mix, pieces
+from .text import Words, checkpointed, discard, gram_hashes, mix, pieces
 
 SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -42,6 +44,8 @@ SAMPLE, FREQUENT = 16, 1 << 17
 SMALL = 12
 #: Outsiders of a cell in a block, and documents that are compared with a block at once.
 BLOCK, CHUNK = 1000, 256
+#: Documents of a cell that one task streams past a block, on average.
+SLICE = 1000
 #: Shingles of a block in so many of its documents are compared by a matrix product, rarer ones by an index.
 DENSE = 16
 SALTS = 32
@@ -139,7 +143,7 @@ def windows(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 
 def regions(rows: DataFrame) -> DataFrame:
-    """Pairs of small regions (a, b), and of large or salted ones each document with its pivot (a pivot, b document, star true; region of salted ones).
+    """Pairs of small regions (a, b), and of large or salted ones each document with its pivot (a pivot, b document, star true; region of salted ones); `fits` if the sizes of a and b can link.
 
     rows: region, salt, node, n. Regions arrive sorted and are streamed: a large one keeps its pivot only.
     """
@@ -155,11 +159,12 @@ def regions(rows: DataFrame) -> DataFrame:
                 for i, (x, nx) in enumerate(held):
                     for y, ny in held[i + 1 :]:
                         if x != y and 100 * min(nx, ny) >= PERCENT * max(nx, ny):
-                            out.append((min(x, y), max(x, y), False, None))
+                            out.append((min(x, y), max(x, y), False, None, True))
 
         def taken() -> pa.RecordBatch:
-            cols = zip(*out, strict=True) if out else ([], [], [], [])
-            b = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.int64()), strict=True)], names=["a", "b", "star", "region"])
+            cols = zip(*out, strict=True) if out else ([], [], [], [], [])
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_())
+            b = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["a", "b", "star", "region", "fits"])
             out.clear()
             return b
 
@@ -178,23 +183,23 @@ def regions(rows: DataFrame) -> DataFrame:
                 if here != region:
                     close()
                     region, held, large = here, [], here[1] >= 0
-                    pivot = int(node[a])
+                    pivot, size = int(node[a]), int(n[a])
                 own = here[0] if here[1] >= 0 else None
                 for x, nx in zip(node[a:b].tolist(), n[a:b].tolist(), strict=True):
                     if large:
-                        out.append((pivot, x, True, own))
+                        out.append((pivot, x, True, own, 100 * min(nx, size) >= PERCENT * max(nx, size)))
                         continue
                     held.append((x, nx))
                     if len(held) > SMALL:
                         large = True
-                        out += [(pivot, y, True, own) for y, _ in held]
+                        out += [(pivot, y, True, own, 100 * min(ny, size) >= PERCENT * max(ny, size)) for y, ny in held]
                 if len(out) > 20_000:
                     yield taken()
         close()
         yield taken()
 
     placed = rows.repartition("region", "salt").sortWithinPartitions("region", "salt", F.xxhash64("node"), "node")
-    return placed.mapInArrow(run, "a long, b long, star boolean, region long")
+    return placed.mapInArrow(run, "a long, b long, star boolean, region long, fits boolean")
 
 
 def close_enough(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -244,7 +249,9 @@ def verified(pairs: DataFrame, docs: DataFrame, per_part: int = 2000) -> DataFra
     texts = checkpointed(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"))
     centre = parts.join(texts, parts.a == texts.doc_id).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
     other = pairs.join(parts, "a").join(texts, F.col("b") == texts.doc_id).select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b", "text")
-    return centre.union(other).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b")).select("a", "b", "text").mapInArrow(run, "a long, b long").distinct()
+    linked = checkpointed(centre.union(other).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b")).select("a", "b", "text").mapInArrow(run, "a long, b long").distinct())
+    discard(texts)
+    return linked
 
 
 class Block:
@@ -288,7 +295,7 @@ def outside_links(members: DataFrame, docs: DataFrame) -> DataFrame:
     """Links between the outsiders of open cells and any document of the cell, for each outsider one a component and chunk at least.
 
     members: cell, node, n, component, outer. Outsiders are blocked by size, and a block meets the documents of its cell whose
-    sizes can link with one of its own; it is held and they are streamed past it.
+    sizes can link with one of its own; it is held and they are streamed past it, in slices that each have a task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,11 +317,11 @@ def outside_links(members: DataFrame, docs: DataFrame) -> DataFrame:
             todo.clear()
 
         for b in pieces(batches):
-            here = zip(*(b.column(c).to_pylist() for c in ("cell", "block", "held", "node", "component")), shingle_sets(b.column("text")), strict=True)
-            for cell, number, held, node, part, s in here:
-                if (cell, number) != where:
+            here = zip(*(b.column(c).to_pylist() for c in ("cell", "block", "slice", "held", "node", "component")), shingle_sets(b.column("text")), strict=True)
+            for cell, number, piece, held, node, part, s in here:
+                if (cell, number, piece) != where:
                     compare()
-                    where, block, nodes, parts, sets = (cell, number), None, [], [], []
+                    where, block, nodes, parts, sets = (cell, number, piece), None, [], [], []
                 if held:
                     nodes.append(node)
                     parts.append(part)
@@ -340,12 +347,17 @@ def outside_links(members: DataFrame, docs: DataFrame) -> DataFrame:
     outer = members.where("outer").withColumn("band", band)
     bands = outer.groupBy("cell", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("n").alias("least"), F.max("n").alias("most"))
     block = lambda number: F.concat_ws(":", "band", number).alias("block")
-    own = outer.join(bands.select("cell", "band", "blocks"), ["cell", "band"]).select("cell", block(F.pmod(F.xxhash64("node"), F.col("blocks"))), F.lit(True).alias("held"), "node", "component")
+    slices = members.groupBy("cell").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+    own = outer.join(bands.select("cell", "band", "blocks"), ["cell", "band"]).join(slices, "cell").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    own = own.select("cell", block(F.pmod(F.xxhash64("node"), F.col("blocks"))), "slice", F.lit(True).alias("held"), "node", "component")
     fits = (100 * F.col("n") >= PERCENT * F.col("least")) & (PERCENT * F.col("n") <= 100 * F.col("most"))
-    every = members.join(bands, "cell").where(fits).select("cell", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("number"), "node", "component").select("cell", block("number"), F.lit(False).alias("held"), "node", "component")
+    every = members.join(slices, "cell").withColumn("slice", F.pmod(F.xxhash64("node", F.lit(1)), F.col("slices")).cast("int")).join(bands, "cell").where(fits)
+    every = every.select("cell", "slice", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("number"), "node", "component").select("cell", block("number"), "slice", F.lit(False).alias("held"), "node", "component")
     rows = own.union(every).join(texts, "node")
-    placed = rows.repartition("cell", "block").sortWithinPartitions("cell", "block", F.desc("held"), "node").select("cell", "block", "held", "node", "component", "text")
-    return placed.mapInArrow(run, "a long, b long").distinct()
+    placed = rows.repartition("cell", "block", "slice").sortWithinPartitions("cell", "block", "slice", F.desc("held"), "node").select("cell", "block", "slice", "held", "node", "component", "text")
+    linked = checkpointed(placed.mapInArrow(run, "a long, b long").distinct())
+    discard(texts)
+    return linked
 
 
 def linked_classes(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -357,21 +369,24 @@ def linked_classes(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) ->
     star = found.where("star")
     tops = star.where("region is not null and a = b").groupBy("region").agg(F.min("a").alias("top"))  # frequent regions only
     salted = star.where("region is not null").join(F.broadcast(tops), "region")
-    pairs = found.select("a", "b").union(salted.select("a", F.col("top").alias("b")).distinct())
+    pairs = found.where("fits").select("a", "b").union(salted.select("a", F.col("top").alias("b")).distinct())
     pairs = pairs.where("a != b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"))
     links, parts = joined(close_enough(pairs, classes), docs, links, parts)
 
     cells = star.where("region is null").select(F.col("a").alias("cell"), F.col("b").alias("node")).union(salted.select(F.col("top").alias("cell"), F.col("b").alias("node"))).distinct()
     cells = checkpointed(cells.join(parts, "node", "left").select("cell", "node", F.coalesce("component", "node").alias("component")))
+    discard(found)
     shares = cells.groupBy("cell", "component").agg(F.count("*").alias("k"))
     opened = shares.groupBy("cell").agg(F.max(F.struct("k", "component")).alias("most"), F.sum("k").alias("m")).where("m > most.k")
     opened = opened.select("cell", F.col("most.component").alias("main"))
     sized = cells.join(opened, "cell").join(classes.select("node", "n"), "node")
     members = checkpointed(sized.select("cell", "node", "n", "component", (F.col("component") != F.col("main")).alias("outer")))
+    discard(cells)
     if not members.isEmpty():
-        new = checkpointed(outside_links(members, docs))
+        new = outside_links(members, docs)
         if not new.isEmpty():
-            parts = checkpointed(components(links.union(new)))
+            parts = components(links.union(new))
+    discard(members)
     return parts
 
 
@@ -397,12 +412,14 @@ def joined(pairs: DataFrame, docs: DataFrame, links: DataFrame, parts: DataFrame
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
     for todo in (best, pairs.select("a", "b")):
         todo = checkpointed(between(todo, parts))
-        if todo.isEmpty():
-            continue
-        new = checkpointed(verified(todo, docs))
-        if not new.isEmpty():
-            links = checkpointed(links.union(new))
-            parts = checkpointed(components(links))
+        if not todo.isEmpty():
+            new = verified(todo, docs)
+            if not new.isEmpty():
+                links = links.union(new)
+                last, parts = parts, components(links)
+                discard(last)
+        discard(todo)
+    discard(pairs)
     return links, parts
 
 
