@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jaccard, lines, media, mixing, packing, pii, quality, rules, substring, toxicity
+from .oracle import ORACLE  # noqa: F401
 from .text import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -54,4 +55,3 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_personal_data, op3_substring_dedup, op4_quality_classifier, op5_source_mixing, op6_packing, op7_quality_rules, op8_media_columns, op9_jaccard_join, op10_line_dedup)}
-ORACLE: dict[str, str] = {}
