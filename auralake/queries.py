@@ -567,3 +567,5 @@ def audio_metrics(spark, sf_dir):
 def audio_scorecard(spark, sf_dir):
     f = audio.metric_facts(audio_rows(spark, sf_dir)).withColumn("source_key", F.col("path")).withColumn("segment_index", F.lit(1)).where("value is not null")
     return scorecard.rollup(f)
+
+from . import report_queries  # noqa: E402, F401  registers its queries

@@ -41,8 +41,8 @@ FACTS_SQL = " union all ".join(_metric_select(n, *m, pos) for pos, (n, m) in enu
 
 def with_views(sql: str, *names: str) -> str:
     """A query for comparison engines with the named views as common table expressions."""
-    known = {"results": RESULTS_SQL, "facts": FACTS_SQL, "history": HISTORY_SQL, "records": RECORDS_SQL, "cases": CASES_SQL}
-    order = [n for n in known if n in names or (n == "results" and "facts" in names)]
+    known = {"results": RESULTS_SQL, "facts": FACTS_SQL, "reports": REPORTS_SQL, "history": HISTORY_SQL, "records": RECORDS_SQL, "cases": CASES_SQL}
+    order = [n for n in known if n in names or (n == "results" and {"facts", "reports"} & set(names))]
     return "with " + ", ".join(f"{n} as ({known[n]})" for n in order) + " " + sql
 
 
@@ -112,3 +112,20 @@ def waveforms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WAVE_SQL = "select vec_id, label, list_transform(embedding, lambda x: cast(x as double) * (label + 1) / 8) as samples from embeddings"
+
+
+#: The feature values of report rows: rounded to 4 digits; a third segment holds a second, later SNR.
+REPORTS_SQL = """
+select * replace (round(case when segment_index = 3 then snr + 20 else snr end, 4) as snr, round(clip, 4) as clip, round(peak, 4) as peak, round(lufs, 4) as lufs, round(mos, 4) as mos, round(centroid, 4) as centroid)
+from results
+"""
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report rows whose metrics are an array, from line items; a third segment has `SNR` after `Estimated SNR`."""
+    metric = lambda name, value, group, unit: F.struct(F.lit(name).alias("name"), F.lit(group).alias("grp"), value.cast("double").alias("value"), F.lit(unit).alias("unit"), F.col("confidence"))
+    own = [metric(n, F.col(c), g, u) for n, (c, g, u, *_) in METRICS.items()]
+    later = F.when(F.col("segment_index") == 3, metric("SNR", F.col("snr") + 20, "noise", "dB"))
+    r = results(spark, sf_dir).withColumn("metrics", F.array_compact(F.array(*own, later)))
+    bounds = {"segment_start_s": (F.col("segment_index") - 1).cast("double"), "segment_end_s": F.col("segment_index").cast("double"), "sample_rate": F.lit(16000), "source_file": F.col("source_key")}
+    return r.withColumns(bounds).select("file", "source_file", "segment_index", "segment_start_s", "segment_end_s", "duration_s", "sample_rate", "content_type", "error", "metrics", "tie", "shipped")
