@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from ..constants import DIRECTION
 from .features import constant_map, tolerance
+from .ranking import exact_percentiles, with_border
 
 
 def profile(features: DataFrame) -> DataFrame:
     """feature, mean, p05 and p95 (linear interpolation) and the number of values."""
-    return features.groupBy("feature").agg(F.avg("value").alias("mean"), F.percentile("value", 0.05).alias("p05"), F.percentile("value", 0.95).alias("p95"), F.count("*").alias("n"))
+    shares = exact_percentiles(features, ["feature"], "value", {"p05": 0.05, "p95": 0.95})
+    return features.groupBy("feature").agg(F.avg("value").alias("mean"), F.count("*").alias("n")).join(shares, "feature").select("feature", "mean", "p05", "p95", "n")
 
 
 def compare(features: DataFrame, base: DataFrame) -> DataFrame:
@@ -46,24 +48,30 @@ def sequential_drift(features: DataFrame, series: str, order: list[str]) -> Data
 def rolling(history: DataFrame, size: int = 20, include_current: bool = True) -> DataFrame:
     """Count, mean, population deviation, least and most of each metric's last `size` values; without the current one for tests against it."""
     frame = (-(size - 1), 0) if include_current else (-size, -1)
-    w = Window.partitionBy("metric").orderBy("ts", "tie").rowsBetween(*frame)
+    w = Window.partitionBy("_part", "metric").orderBy("ts", "tie").rowsBetween(*frame)
     v = F.col("value")
-    return history.select("*", F.count(v).over(w).alias("n"), F.avg(v).over(w).alias("mean"), F.stddev_pop(v).over(w).alias("stdev"), F.min(v).over(w).alias("least"), F.max(v).over(w).alias("most"))
+    placed = with_border(history, "metric", ["ts", "tie"], size)
+    out = placed.select("*", F.count(v).over(w).alias("n"), F.avg(v).over(w).alias("mean"), F.stddev_pop(v).over(w).alias("stdev"), F.min(v).over(w).alias("least"), F.max(v).over(w).alias("most"))
+    return out.where("not _carried").drop("_part", "_carried")
 
 
 def zscore_drift(history: DataFrame, size: int = 20, threshold: float = 3.0, min_samples: int = 5) -> DataFrame:
-    """Each value against the window before it: insufficient_history, drift or ok; no z-score where the window has no spread."""
+    """Each value against the window before it: insufficient_history, drift or ok, and its z-score to 6 digits; over a window without spread that is 0 or infinite."""
     r = rolling(history, size, include_current=False)
-    flat = F.col("stdev") == 0
-    z = F.when((F.col("n") >= min_samples) & ~flat, (F.col("value") - F.col("mean")) / F.nullif(F.col("stdev"), F.lit(0.0)))
-    out = F.when(flat, F.col("value") != F.col("mean")).otherwise(F.abs(z) > threshold)
-    return r.withColumn("zscore", z).withColumn("status", F.when(F.col("n") < min_samples, "insufficient_history").when(out, "drift").otherwise("ok"))
+    away = F.col("value") - F.col("mean")
+    endless = F.when(away > 0, float("inf")).when(away < 0, float("-inf")).otherwise(0.0)
+    z = F.when(F.col("stdev") == 0, endless).otherwise(away / F.nullif(F.col("stdev"), F.lit(0.0)))
+    ready = F.col("n") >= min_samples
+    return r.withColumn("zscore", F.when(ready, F.when(F.abs(z) < float("inf"), F.round(z, 6)).otherwise(z))).withColumn("status", F.when(~ready, "insufficient_history").when(F.abs(z) > threshold, "drift").otherwise("ok"))
 
 
 def bounded_history(history: DataFrame, most: int = 1000) -> DataFrame:
-    """The last `most` values of each metric."""
-    w = Window.partitionBy("metric").orderBy(F.desc("ts"), F.desc("tie"))
-    return history.withColumn("age", F.row_number().over(w)).where(F.col("age") <= most)
+    """The last `most` values of each metric: the last of each range partition, then of those."""
+    parts = int(history.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = history.repartitionByRange(parts, "metric", "ts", "tie").withColumn("_part", F.spark_partition_id())
+    late = [F.desc("ts"), F.desc("tie")]
+    some = placed.withColumn("age", F.row_number().over(Window.partitionBy("_part", "metric").orderBy(*late))).where(F.col("age") <= most)
+    return some.withColumn("age", F.row_number().over(Window.partitionBy("metric").orderBy(*late))).where(F.col("age") <= most).drop("_part")
 
 
 #: Chunks of time that a metric's events are ordered in, as a multiple of the cooldown.

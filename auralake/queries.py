@@ -133,17 +133,41 @@ def rule_unmatched(spark, sf_dir):
 SOURCE_SQL = "sources as (select grp, name, source_key, avg(value) as value, bool_or(warning is not null) as warned, max(ref_lo) as ref_lo, max(ref_hi) as ref_hi from facts group by grp, name, source_key)"
 
 
+CATEGORY_SQL = """more as (select grp, name, source_key, segment_index, value, warning, ref_lo, ref_hi, unit, null::varchar as category from facts
+union all select 'content', 'Detected Content', source_key, segment_index, null::double, case when content_type = 'silence' then 'quiet' end, null::double, null::double, '', content_type from results
+union all select 'content', 'Odd', source_key, segment_index, case when segment_index > 2 then snr end, null, case when segment_index > 1 then 10.0 end, case when segment_index > 1 then 40.0 end, 'dB', case when segment_index = 1 then content_type end from results),
+cats as (select grp, name, source_key, arg_max(category, (n, category)) as category from (select grp, name, source_key, category, count(*) as n from more where category is not null group by all) group by all),
+src as (select m.*, category from (select grp, name, source_key, avg(value) as value, bool_or(warning is not null) as warned, arg_min(ref_lo, segment_index) filter (where ref_lo is not null) as ref_lo, arg_min(ref_hi, segment_index) filter (where ref_lo is not null) as ref_hi, max(unit) as unit from more group by all) m left join cats using (grp, name, source_key)),
+dom as (select grp, name, arg_max(category, (n, category)) as dominant_category, max(n) as dominant_category_count from (select grp, name, category, count(*) as n from src where category is not null group by all) group by all)"""
+
+
+def mixed_facts(spark, sf_dir):
+    """Facts with a categorical metric and one that is a number in some segments and a category in others."""
+    keep = ["grp", "name", "source_key", "segment_index", "value", "warning", "ref_lo", "ref_hi", "unit", "category"]
+    r, none = views.results(spark, sf_dir), F.lit(None)
+    rows = views.facts(spark, sf_dir).withColumn("category", none.cast("string")).select(*keep)
+    content = r.select(F.lit("content"), F.lit("Detected Content"), "source_key", "segment_index", none.cast("double"), F.when(F.col("content_type") == "silence", "quiet"), none.cast("double"), none.cast("double"), F.lit(""), "content_type")
+    late, bound = F.col("segment_index") > 2, F.col("segment_index") > 1
+    odd = r.select(F.lit("content"), F.lit("Odd"), "source_key", "segment_index", F.when(late, F.col("snr").cast("double")), none.cast("string"), F.when(bound, 10.0), F.when(bound, 40.0), F.lit("dB"), F.when(F.col("segment_index") == 1, F.col("content_type")))
+    return rows.union(content).union(odd)
+
+
 @query(
-    f"""select * from (with {SOURCE_SQL} select grp, name, (select count(distinct source_key) from facts) as source_count, count(value) as measured_count, count(*) filter (where warned) as warning_count,
+    f"""select * from (with {CATEGORY_SQL} select grp, name, max(unit) as unit, case when count(value) > 0 and count(category) > 0 then 'mixed' when count(value) > 0 then 'numeric' when count(category) > 0 then 'categorical' else 'missing' end as value_kind,
+    (select count(distinct source_key) from more) as source_count, greatest(count(value), count(category)) as measured_count, (select count(distinct source_key) from more) - greatest(count(value), count(category)) as missing_count, count(*) filter (where warned) as warning_count,
     case when count(ref_lo) > 0 then count(*) filter (where round(value, 9) between ref_lo and ref_hi) end as in_range_count, case when count(ref_lo) > 0 then count(*) filter (where round(value, 9) not between ref_lo and ref_hi) end as out_of_range_count,
-    round(min(value), 6) as min_value, arg_min(source_key, (round(value, 9), source_key)) as min_file, round(max(value), 6) as max_value, arg_min(source_key, (-round(value, 9), source_key)) as max_file,
-    round(avg(value), 6) as mean, round(quantile_cont(value, 0.5), 6) as median, round(quantile_cont(value, 0.05), 6) as p05, round(quantile_cont(value, 0.95), 6) as p95 from sources group by grp, name)""",
-    "facts",
-)
+    round(min(value), 6) as min_value, arg_min(source_key, (round(value, 9), source_key)) filter (where value is not null) as min_file, round(max(value), 6) as max_value, arg_min(source_key, (-round(value, 9), source_key)) filter (where value is not null) as max_file,
+    round(avg(value), 6) as mean, round(quantile_cont(value, 0.5), 6) as median, round(quantile_cont(value, 0.05), 6) as p05, round(quantile_cont(value, 0.95), 6) as p95, any_value(dominant_category) as dominant_category, any_value(dominant_category_count) as dominant_category_count
+    from src left join dom using (grp, name) group by grp, name)""",
+    "results", "facts",
+)
 def scorecard_rollup(spark, sf_dir):
-    facts = views.facts(spark, sf_dir)
-    r = scorecard.rollup(facts, digits=9)
-    return rounded(r, "min_value", "max_value", "mean", "median", "p05", "p95").drop("missing_count")
+    return scorecard.rollup(mixed_facts(spark, sf_dir), digits=9)
+
+
+@query(f"select grp, name, category, n, rank from (with {CATEGORY_SQL} select *, row_number() over (partition by grp, name order by n desc, category) as rank from (select grp, name, category, count(*) as n from src where category is not null group by all)) where rank <= 3", "results", "facts")
+def scorecard_categories(spark, sf_dir):
+    return scorecard.category_counts(scorecard.by_source(mixed_facts(spark, sf_dir))).where("rank <= 3").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import views
-from .operators import enrich
+from .operators import enrich, scorecard
 from .queries import CUT, STEP_SQL, SUGGESTIONS, TOLERANCE_SQL, query
 
 RULES = {
@@ -128,3 +128,16 @@ def report_heatmap(spark, sf_dir):
     e = enrich.enrich(views.reports(spark, sf_dir).withColumn("segment_start_s", F.col("file")), rules=RULES, dataset_audit=False, ties=("tie",))
     cell = lambda c: F.concat_ws(":", c["segment_index"], c["status"], F.array_join(c["labels"], "+"))
     return enrich.heatmaps(e).select("source_key", F.array_join(F.transform("segment_heatmap", cell), ",").alias("cells"))
+
+
+@query(
+    f"""select kind, key, count(*) as n from (with {COMPARED}, {DRIFTED}, {SIGNATURE.replace(FEATS + ", ", "").replace("from rf", f"from rf where shipped >= timestamp '{CUT}'")}, d as (select signature from sg group by signature having count(distinct source_key) > 1),
+    s as (select r.*, {NAMES} as names, based.status, drift, {BLOCKED} as blocked, signature in (select signature from d) as dup from reports r join based on based.file = r.file and based.tie = r.tie join dr on dr.file = r.file and dr.tie = r.tie join sg on sg.file = r.file and sg.tie = r.tie)
+    select 'defect_label' as kind, unnest(names) as key from s union all select 'drift_status', drift from s
+    union all select 'ci_check', unnest(case when centroid > 9000 then ['audio_quality_gate', 'baseline_regression_gate', 'custom_insight_rules_gate'] else ['audio_quality_gate', 'baseline_regression_gate'] end) from s
+    union all select 'ci_status', unnest(list_concat([case when blocked then 'fail' else 'pass' end, case when status = 'regressed' then 'fail' else 'pass' end], case when centroid > 9000 then ['fail'] else [] end)) from s
+    union all select 'dataset_issue', 'duplicate_quality_fingerprint' from s where dup union all select 'dataset_issue', 'too_short_for_review' from s where duration_s > 0 and duration_s < 0.25 union all select 'dataset_issue', 'unreadable_audio' from s where error is not null) group by all""",
+    "reports",
+)
+def scorecard_insights(spark, sf_dir):
+    return scorecard.insight_counts(_enriched(spark, sf_dir)).where("kind != 'label_severity'")
