@@ -52,15 +52,46 @@ def remediation(records: DataFrame, imbalance_ratio: float = 0.6) -> DataFrame:
     ok = records.where("error is null")
     speakers = ok.where("speaker is not null").groupBy("speaker").agg(F.count("*").alias("n"))
     one = lambda df, priority, action, items: df.agg(items.cast("long").alias("items")).select(F.lit(priority).alias("priority"), F.lit(action).alias("action"), "items")
-    mismatch = ok.where("declared is not null and content_type is not null and declared != content_type").select(F.lit(1).alias("x"))
+    mismatch = ok.where("declared is not null and content_type is not null and content_type != 'unknown' and declared != content_type").select(F.lit(1).alias("x"))
+    labelled = ok.select(F.size("labels").alias("k")).where("k > 0") if "labels" in records.columns else ok.select(F.lit(0).alias("k")).where(F.lit(False))
     plan = [
         one(near_duplicates(records), 1, "deduplicate", F.count("*")),
         one(split_leakage(records), 1, "remove_split_leakage", F.count("*")),
         one(records.where("error is not null"), 1, "fix_or_remove_unreadable", F.count("*")),
         one(speakers, 2, "rebalance_speakers", F.when(F.max("n") > F.greatest(F.lit(1), F.sum("n") * imbalance_ratio), F.count("*"))),
         one(mismatch.union(label_conflicts(records).select(F.lit(1))), 2, "review_content_labels", F.count("*")),
+        one(labelled, 3, "repair_or_remove_quality_outliers", F.sum("k")),
     ]
     out = plan[0]
     for p in plan[1:]:
         out = out.union(p)
-    return out.where("items > 0")
+    return out.where("items > 0").orderBy("priority", "action")
+
+
+def members(records: DataFrame, source: str = "file") -> DataFrame:
+    """signature, file and whether it is the one to keep (the smallest), of near-duplicate groups: a row a member."""
+    groups = near_duplicates(records, source).select("signature", "kept")
+    ok = records.where("error is null and signature is not null")
+    return ok.join(groups, "signature").select("signature", "file", (F.col("file") == F.col("kept")).alias("keep"))
+
+
+def leaking_files(records: DataFrame) -> DataFrame:
+    """kind, key and file of all records in duplicate groups or of speakers that are found in more than one split."""
+    found = split_leakage(records).select("kind", "key")
+    ok = records.where("error is null")
+    each = ok.select("file", F.explode(F.array(F.struct(F.lit("duplicate").alias("kind"), F.col("signature").alias("key")), F.struct(F.lit("speaker").alias("kind"), F.col("speaker").alias("key")))).alias("e")).select("file", "e.*")
+    with_split = each.where((F.col("kind") == "duplicate") | split_of(F.col("file")).isNotNull())
+    return with_split.join(found, ["kind", "key"], "left_semi")
+
+
+def label_distribution(records: DataFrame) -> DataFrame:
+    """key and count of defect labels (array `labels` of ids) of readable records."""
+    return records.where("error is null").select(F.explode("labels").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+
+
+def coverage(records: DataFrame) -> DataFrame:
+    """One row: files, failed files, distinct speakers, content types and splits, and what the audit can't judge."""
+    ok = F.col("error").isNull()
+    when = lambda c: F.when(ok, c if isinstance(c, Column) else F.col(c))
+    warnings = F.array_compact(F.array(F.when(F.count(when("signature")) == 0, "no fingerprints: near-duplicates were not checked"), F.when(F.count(when("speaker")) == 0, "no speakers: speaker leakage and balance were not checked")))
+    return records.agg(F.count("*").alias("file_count"), F.count_if(~ok).alias("failed_files"), F.countDistinct(when("speaker")).alias("speakers"), F.countDistinct(when(F.coalesce("content_type", F.lit("unknown")))).alias("content_types"), F.countDistinct(when(F.coalesce(split_of(F.col("file")), F.lit("unassigned")))).alias("splits"), F.array_join(warnings, "; ").alias("warnings"))

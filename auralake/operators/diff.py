@@ -13,9 +13,9 @@ def last_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def close(a: Column, b: Column) -> Column:
-    """Equal up to a relative 1e-9 or an absolute 1e-12; nulls are equal to each other."""
+    """Equal up to a relative 1e-9 or an absolute 1e-12; nulls are equal to each other, and so are NaNs."""
     near = F.abs(a - b) <= F.greatest(1e-9 * F.greatest(F.abs(a), F.abs(b)), F.lit(1e-12))
-    return F.coalesce(near, a.isNull() & b.isNull())
+    return F.coalesce(near | (F.isnan(a) & F.isnan(b)), a.isNull() & b.isNull())
 
 
 def classify(before: Column, after: Column, warned: Column, warns: Column, higher: Column, low: Column, high: Column) -> Column:
@@ -65,8 +65,9 @@ def summary(changes: DataFrame) -> DataFrame:
     return changes.agg(F.count_if(is_file & (c == "added")).alias("files_added"), F.count_if(is_file & (c == "removed")).alias("files_removed"), F.count_if(c == "regression").alias("regressions"), F.count_if(c == "improvement").alias("improvements"), F.count("*").alias("changes"))
 
 
-LOWER = "peak|clipp|noise floor|distortion|jitter|shimmer"
-HIGHER = "snr|mos|stoi|pesq|hnr"
+# name parts that tell which way is better where the metric doesn't (fixed values)
+LOWER = "peak|clipping|clipped|noise floor|jitter|shimmer|roughness|dropout"
+HIGHER = "snr|mos|pesq|stoi|si-sdr|hnr|harmonic-to-noise"
 
 
 def evaluate_repair(before: DataFrame, after: DataFrame, targets: dict[str, float], tolerance: float = 1e-6) -> DataFrame:
@@ -88,19 +89,45 @@ def evaluate_repair(before: DataFrame, after: DataFrame, targets: dict[str, floa
 
 
 def budget(baseline: DataFrame, current: DataFrame, max_regression: float = 0.1, higher_is_better: tuple[str, ...] = ()) -> DataFrame:
-    """name, regression (share of the baseline; null for a worse value over a zero baseline), within and whether the metric is missing."""
+    """name, regression (share of the baseline; infinite for a worse value over a zero baseline), within and whether the metric is missing."""
     j = baseline.select("name", F.col("value").alias("old")).join(current.select("name", F.col("value").alias("new")), "name", "left")
     change = F.when(F.col("name").isin(*higher_is_better), F.col("old") - F.col("new")).otherwise(F.col("new") - F.col("old")) if higher_is_better else F.col("new") - F.col("old")
-    share = F.when(F.col("old") == 0, F.when(change <= 0, 0.0)).otherwise(change / F.abs(F.nullif(F.col("old"), F.lit(0.0))))
+    share = F.when(F.col("old") == 0, F.when(change <= 0, 0.0).when(change > 0, float("inf"))).otherwise(change / F.abs(F.nullif(F.col("old"), F.lit(0.0))))
     return j.select("name", share.alias("regression"), F.coalesce(share <= max_regression, F.lit(False)).alias("within_budget"), F.col("new").isNull().alias("missing"))
 
 
-def repair_plan(labels: Column) -> Column:
-    """Filters for labels, in a fixed order; anull where nothing needs repair."""
+def repair_plan(labels: Column, sample_rate: Column | None = None, lufs: float = -16.0, true_peak: float = -1.5) -> Column:
+    """array<struct<filter, reason>> for labels, in a fixed order; a plain copy where nothing needs repair."""
     has = lambda *ids: F.exists(labels, lambda x: x["id"].isin(*ids))
+    step = lambda name, reason: F.struct((name if isinstance(name, Column) else F.lit(name)).alias("filter"), F.lit(reason).alias("reason"))
     loud = has("under_loud", "over_loud")
-    plan = F.array_compact(F.array(F.when(has("hard_clipping"), "adeclip"), F.when(has("noisy_floor"), "afftdn"), F.when(has("clipping_risk", "hard_clipping"), "alimiter"), F.when(loud, "loudnorm"), F.when(loud, "aresample")))
-    return F.when(F.size(plan) == 0, F.array(F.lit("anull"))).otherwise(plan)
+    steps = [
+        F.when(has("hard_clipping"), step("adeclip", "reconstruct clipped samples")),
+        F.when(has("noisy_floor"), step("afftdn=nf=-25", "reduce broadband noise")),
+        F.when(has("clipping_risk", "hard_clipping"), step(f"alimiter=limit={min(1.0, max(0.0625, 10 ** (true_peak / 20))):.3f}:level=disabled", "restore true-peak headroom")),
+        F.when(loud, step(f"loudnorm=I={lufs:g}:TP={true_peak:g}:LRA=11", f"normalize program loudness to {lufs:g} LUFS")),
+    ]
+    if sample_rate is not None:
+        steps.append(F.when(loud & (sample_rate > 0), step(F.concat(F.lit("aresample="), sample_rate.cast("int").cast("string")), "restore the original sample rate after loudnorm")))
+    plan = F.array_compact(F.array(*steps))
+    return F.when(F.size(plan) == 0, F.array(step("anull", "no repair recommended; create a review copy"))).otherwise(plan)
+
+
+def repair_accepted(evaluated: DataFrame) -> DataFrame:
+    """file, numbers of each verdict, and accepted: no metric got worse."""
+    n = lambda v: F.count_if(F.col("verdict") == v)
+    return evaluated.groupBy("file").agg(n("improvement").alias("improvements"), n("regression").alias("regressions"), n("neutral").alias("neutral"), n("missing_after").alias("missing_after"), (n("regression") == 0).alias("accepted"))
+
+
+def within_budget(judged: DataFrame, allow_missing: bool = False) -> DataFrame:
+    """One row: whether every metric is within budget (missing ones fail unless allowed) and the names that aren't, sorted."""
+    bad = F.when(F.col("missing"), F.lit(not allow_missing)).otherwise(~F.col("within_budget"))
+    return judged.agg(F.every(~bad).alias("passed"), F.sort_array(F.collect_list(F.when(bad, F.col("name")))).alias("failed"))  # a row a metric
+
+
+def ordered(changes: DataFrame) -> DataFrame:
+    """Changes by file, a file's own rows before its metrics, then by group and name."""
+    return changes.orderBy("file", F.col("grp") != "meta", "grp", "name")
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

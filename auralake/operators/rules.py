@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .enrich import load_rule_file
+
 
 def normal(name: Column) -> Column:
     """Names match without regard to case and runs of white space."""
@@ -17,9 +19,15 @@ def violated(value: Column) -> Column:
     return F.when(value.isNull(), F.col("require_present")).otherwise((F.col("equals").isNotNull() & (value != F.col("equals"))) | outside)
 
 
-def default_message() -> Column:
-    low, high = F.concat(F.lit(">= "), F.col("low").cast("string")), F.concat(F.lit("<= "), F.col("high").cast("string"))
-    return F.concat(F.col("metric"), F.lit(" should be "), F.concat_ws(" and ", low, high))
+def general(value: Column) -> Column:
+    """A number without trailing zeros, as `%g` prints magnitudes from 1e-4 to 1e6 of six digits or fewer."""
+    return F.regexp_replace(F.regexp_replace(F.round(value, 6).cast("decimal(28,6)").cast("string"), "0+$", ""), r"\.$", "")
+
+
+def default_message(name: str = "name") -> Column:
+    """What the metric (column `name`) should be by its rule, or that it violated a rule without bounds."""
+    bounds = F.concat_ws(" and ", F.concat(F.lit(">= "), general(F.col("low"))), F.concat(F.lit("<= "), general(F.col("high"))), F.concat(F.lit("== "), F.col("equals").cast("string")))
+    return F.when(bounds == "", F.concat(F.col(name), F.lit(" violated threshold rule"))).otherwise(F.concat(F.col(name), F.lit(" should be "), bounds))
 
 
 def matches(facts: DataFrame, rules: DataFrame) -> DataFrame:
@@ -45,14 +53,46 @@ def required_missing(results: DataFrame, facts: DataFrame, rules: DataFrame) ->
 
 
 def unmatched(facts: DataFrame, rules: DataFrame, behavior: str = "violation") -> DataFrame:
-    """Rules that match no fact at all, as violations of the file `*`; with "error" they raise."""
+    """Rules that match no fact at all, as rows of the file `*` with `kind` violation or note; "ignore" gives none, "error" raises."""
     if behavior not in {"ignore", "note", "violation", "error"}:
         raise ValueError("behavior must be ignore, note, violation or error")
     left = rules.join(matches(facts, rules).select("rule_id").distinct(), "rule_id", "left_anti")
     if behavior == "error" and (names := sorted({r["metric"] for r in left.collect()})):  # a row a rule at most
         raise ValueError(f"rules name unknown metrics: {', '.join(names)}")
     rows = left.select(F.lit("*").alias("file"), "rule_id", "metric", F.coalesce("grp", F.lit("")).alias("grp"), F.concat(F.lit("Rule metric did not match any analyzed metric: "), "metric").alias("message"))
-    return rows if behavior == "violation" else rows.limit(0)
+    return rows.withColumn("kind", F.lit(behavior)) if behavior != "ignore" else rows.withColumn("kind", F.lit(None).cast("string")).where(F.lit(False))
+
+
+def apply_rules(results: DataFrame, facts: DataFrame, rules: DataFrame, unmatched_behavior: str = "violation") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """facts with warnings, all violations (file, rule_id, metric, grp, actual, message), and per file a note and a diagnostic with their number."""
+    found = violations(facts, rules)
+    none = F.lit(None).cast("double").alias("actual")
+    missing = required_missing(results, facts, rules).select("file", "rule_id", "metric", "grp", none, "message")
+    never = unmatched(facts, rules, unmatched_behavior).where("kind = 'violation'").select("file", "rule_id", "metric", "grp", none, "message")
+    every = found.union(missing).union(never)
+    counts = every.where("file != '*'").groupBy("file").agg(F.count("*").alias("n"))
+    text = F.concat(F.lit("threshold rules: "), "n", F.lit(" violation(s)"))
+    diagnostic = F.struct(F.lit("threshold_rule_violation").alias("code"), F.lit("warn").alias("severity"), F.lit("rules").alias("source"), text.alias("message"), F.col("n").alias("count"))
+    return add_warnings(facts, found), every, counts.select("file", "n", text.alias("note"), diagnostic.alias("diagnostic"))
+
+
+RULE_KEYS = {"metric": str, "group": str, "min": (int, float), "max": (int, float), "equals": (int, float), "require_present": bool, "message": str}
+
+
+def load_threshold_rules(path: str) -> list[tuple]:
+    """Rules of a .json or .toml file (a list, or an object with `rules`) as tuples for plans.presets.rules_table; a ValueError names what is wrong."""
+    payload = load_rule_file(path)
+    rules = payload.get("rules") if isinstance(payload, dict) else payload
+    if not isinstance(rules, list):
+        raise ValueError(f"{path}: expected a list of rules or an object with 'rules'")
+    for k, r in enumerate(rules):
+        if not isinstance(r, dict) or not isinstance(r.get("metric"), str) or not r["metric"].strip():
+            raise ValueError(f"{path}: rules[{k}] needs a metric")
+        for key, value in r.items():
+            if key not in RULE_KEYS or value is not None and (not isinstance(value, RULE_KEYS[key]) or isinstance(value, bool) and key in ("min", "max", "equals")):
+                raise ValueError(f"{path}: rules[{k}].{key} is unknown or of a wrong type")
+    number = lambda x: None if x is None else float(x)
+    return [(r["metric"], r.get("group"), number(r.get("min")), number(r.get("max")), number(r.get("equals")), bool(r.get("require_present", False)), r.get("message")) for r in rules]
 
 
 def lint(rules: DataFrame, groups: tuple[str, ...]) -> DataFrame:

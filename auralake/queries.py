@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import views
 from .constants import DIRECTION, FEATURES, SUGGESTIONS
 from .functions import audio, signal
-from .operators import audit, baseline, calibration, diff, features, governance, insights, rules, scorecard, sinks
+from .operators import audit, baseline, calibration, diff, features, governance, insights, reports, rules, scorecard, sinks
 from .plans.presets import preset_rules, rules_table
 from .streaming import watch
 from .views import METRICS, WAVE_SQL, with_views
@@ -95,10 +95,19 @@ def group_health(spark, sf_dir):
     return scorecard.group_health(views.facts(spark, sf_dir), "file", "tie").select("file", "tie", "grp", "metric_count", "warning_count", "missing_count", "diagnostic_count", "status")
 
 
-@query("select content_type, grp, content_type = 'speech' or grp not in ('speech', 'prosody', 'speaker', 'perceptual') as kept, count(*) as n from facts group by all", "facts")
+@query(
+    """select content, grp, name, count(*) as n from (select *, case when segment_index = 4 then 'mixed' else content_type end as content, (content_type = 'speech' and segment_index <> 4) or (segment_index = 4 and tie / 110000 >= 0.2) as ok from results r,
+    (values ('speech', 'Speaking Rate'), ('perceptual', 'PESQ (ITU-T P.862)'), ('perceptual', 'DNSMOS OVRL'), ('noise', 'Estimated SNR')) m(grp, name)) where ok or (grp <> 'speech' and name <> 'PESQ (ITU-T P.862)') group by all
+    union all select content, 'diagnostics', 'metric_group_skipped', 3 * count(*) from (select case when segment_index = 4 then 'mixed' else content_type end as content from results where not ((content_type = 'speech' and segment_index <> 4) or (segment_index = 4 and tie / 110000 >= 0.2))) group by all""",
+    "results",
+)
 def speech_gate(spark, sf_dir):
-    gate = (F.col("content_type") == "speech") | ~F.col("grp").isin("speech", "prosody", "speaker", "perceptual")
-    return views.facts(spark, sf_dir).groupBy("content_type", "grp", gate.alias("kept")).agg(F.count("*").alias("n"))
+    metric = lambda g, n: F.struct(F.lit(n).alias("name"), F.lit(g).alias("grp"))
+    r = views.results(spark, sf_dir).withColumns({"content_type": F.when(F.col("segment_index") == 4, "mixed").otherwise(F.col("content_type")), "speech_fraction": F.col("tie") / 110000})
+    none = F.array().cast("array<struct<code: string, severity: string, source: string, message: string, grp: string, metric: string, count: int, context: map<string, string>>>")
+    r = r.withColumns({"metrics": F.array(metric("speech", "Speaking Rate"), metric("perceptual", "PESQ (ITU-T P.862)"), metric("perceptual", "DNSMOS OVRL"), metric("noise", "Estimated SNR")), "notes": F.array().cast("array<string>"), "diagnostics": none})
+    told = F.transform("diagnostics", lambda d: F.struct(d["code"].alias("name"), F.lit("diagnostics").alias("grp")))
+    return reports.speech_gate(r).select(F.col("content_type").alias("content"), F.inline(F.concat("metrics", told))).groupBy("content", "grp", "name").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -108,7 +117,7 @@ def speech_gate(spark, sf_dir):
 )
 def rule_violations(spark, sf_dir):
     f = rules.matches(views.facts(spark, sf_dir), preset_rules(spark, "podcast")).where(rules.violated(F.col("value")))
-    return f.select("file", "tie", "rule_id", F.col("name").alias("metric"), F.col("value").alias("actual"), F.coalesce("message", rules.default_message()).alias("message"))
+    return f.select("file", "tie", "rule_id", F.col("name").alias("metric"), F.col("value").alias("actual"), F.coalesce("message", rules.default_message("name")).alias("message"))
 
 
 REQUIRED = [("Estimated SNR", None, None, None, None, True, None), ("noise  FLOOR", "noise", None, None, None, True, "noise floor is needed"), ("true peak", None, None, -1.0, None, False, None)]
@@ -127,7 +136,7 @@ def rule_violation_notes(spark, sf_dir):
 
 @query("select '*' as file, 2 as rule_id, 'Active Speech Level (ASL)' as metric, 'speech' as grp, 'Rule metric did not match any analyzed metric: Active Speech Level (ASL)' as message from (select count(*) from results)", "results")
 def rule_unmatched(spark, sf_dir):
-    return rules.unmatched(views.facts(spark, sf_dir), preset_rules(spark, "podcast"))
+    return rules.unmatched(views.facts(spark, sf_dir), preset_rules(spark, "podcast")).drop("kind")
 
 
 SOURCE_SQL = "sources as (select grp, name, source_key, avg(value) as value, bool_or(warning is not null) as warned, max(ref_lo) as ref_lo, max(ref_hi) as ref_hi from facts group by grp, name, source_key)"
@@ -330,11 +339,14 @@ def perf_budget(spark, sf_dir):
 
 
 @query(
-    """select file, tie, step from (select file, tie, unnest(case when len(p) = 0 then ['anull'] else p end) as step from (select file, tie, list_filter([case when clip > 0.005 then 'adeclip' end, case when snr < 15 then 'afftdn' end, case when peak > -1 or clip > 0.005 then 'alimiter' end, case when lufs < -23 or lufs > -10 then 'loudnorm' end, case when lufs < -23 or lufs > -10 then 'aresample' end], lambda x: x is not null) as p from results))""",
+    """select file, tie, step from (select file, tie, unnest(case when len(p) = 0 then ['anull|no repair recommended; create a review copy'] else p end) as step from (select file, tie, list_filter([case when clip > 0.005 then 'adeclip|reconstruct clipped samples' end, case when snr < 15 then 'afftdn=nf=-25|reduce broadband noise' end,
+    case when peak > -1 or clip > 0.005 then 'alimiter=limit=0.841:level=disabled|restore true-peak headroom' end, case when lufs < -23 or lufs > -10 then 'loudnorm=I=-16:TP=-1.5:LRA=11|normalize program loudness to -16 LUFS' end,
+    case when lufs < -23 or lufs > -10 then 'aresample=16000|restore the original sample rate after loudnorm' end], lambda x: x is not null) as p from results))""",
     "results",
 )
 def repair_plan(spark, sf_dir):
-    return labelled(spark, sf_dir).select("file", "tie", F.explode(diff.repair_plan(F.col("labels"))).alias("step"))
+    steps = labelled(spark, sf_dir).select("file", "tie", F.explode(diff.repair_plan(F.col("labels"), F.lit(16000))).alias("s"))
+    return steps.select("file", "tie", F.concat_ws("|", "s.filter", "s.reason").alias("step"))
 
 
 @query(
@@ -357,12 +369,12 @@ def rolling_window(spark, sf_dir):
 
 
 @query(
-    """select metric, tie, value, case when n < 5 then 'insufficient_history' when case when sd = 0 then value <> m else abs((value - m) / sd) > 3 end then 'drift' else 'ok' end as status
+    """select metric, tie, value, case when n < 5 then 'insufficient_history' when case when sd = 0 then value <> m else abs((value - m) / sd) > 3 end then 'drift' else 'ok' end as status, round(case when n >= 5 then case when sd = 0 then case when value > m then 'inf'::double when value < m then '-inf'::double else 0 end else (value - m) / sd end end, 3) as zscore
     from (select *, count(value) over w as n, avg(value) over w as m, stddev_pop(value) over w as sd from history window w as (partition by metric order by ts, tie rows between 20 preceding and 1 preceding))""",
     "history",
 )
 def zscore_drift(spark, sf_dir):
-    return baseline.zscore_drift(views.history(spark, sf_dir)).select("metric", "tie", "value", "status")
+    return baseline.zscore_drift(views.history(spark, sf_dir)).select("metric", "tie", "value", "status", F.round("zscore", 3).alias("zscore"))
 
 
 @query("select metric, tie, value, age from (select *, row_number() over (partition by metric order by ts desc, tie desc) as age from history) where age <= 1000", "history")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import views
-from .operators import enrich, scorecard
-from .queries import CUT, STEP_SQL, SUGGESTIONS, TOLERANCE_SQL, query
+from .operators import audit, calibration, diff, enrich, reports, rules, scorecard
+from .plans.presets import preset_rules, rules_table
+from .queries import CUT, DUP_SQL, SPLIT_SQL, STEP_SQL, TOLERANCE_SQL, labelled, query, report_diff, side
 
 RULES = {
     "labels": [
@@ -141,3 +142,210 @@ def report_heatmap(spark, sf_dir):
 )
 def scorecard_insights(spark, sf_dir):
     return scorecard.insight_counts(_enriched(spark, sf_dir)).where("kind != 'label_severity'")
+
+
+def _full_rows(spark, sf_dir):
+    """Report rows whose metrics have warnings, calibration notes, nulls and NaN, with diagnostics."""
+    seg, tie = F.col("segment_index"), F.col("tie")
+    metric = lambda n, g, v, c, w=None, note=None: F.struct(F.lit(n).alias("name"), F.lit(g).alias("grp"), v.cast("double").alias("value"), F.lit("dB").alias("unit"), F.lit(c).cast("string").alias("confidence"), (w if w is not None else F.lit(None)).cast("string").alias("warning"), F.lit(note).cast("string").alias("calibration_note"))
+    metrics = F.array(
+        metric("SNR", "noise", F.col("snr"), "measured", F.when(F.col("snr") < 15, "SNR is low")), metric("Floor", "noise", F.when(seg < 3, F.col("lufs")), "proxy", None, "Scaled by hand."),
+        metric("MOS", "perceptual", F.when(seg == 2, F.lit(float("nan"))).otherwise(F.col("mos")), "model", None, "Scaled by hand."), metric("Rate", "speech", F.lit(None).cast("double"), None),
+    )
+    told = lambda code, sev, g, k: F.struct(F.lit(code).alias("code"), F.lit(sev).alias("severity"), F.lit("check").alias("source"), F.lit("told").alias("message"), F.lit(g).cast("string").alias("grp"), F.lit(None).cast("string").alias("metric"), F.lit(1).alias("count"), F.create_map(F.lit("last"), F.lit(k)).alias("context"))
+    diagnostics = F.array_compact(F.array(told("slow", "warn", "perceptual", "a"), F.when(seg > 1, told("slow", "warn", "perceptual", "b")), F.when(seg == 4, told("broken", "error", "noise", "c")), told("group_skipped", "info", "prosody", "d"), told("general", "info", None, "e")))
+    return views.results(spark, sf_dir).withColumns({"metrics": metrics, "diagnostics": diagnostics}).withColumn("metrics", reports.without_nan(F.col("metrics")))
+
+
+@query("select file, tie, unnest(['noise', 'perceptual', 'speech']) as grp, unnest(['SNR+Floor', 'MOS', 'Rate']) as names from results", "results")
+def group_projection(spark, sf_dir):
+    r = _full_rows(spark, sf_dir).select("file", "tie", F.inline(reports.metrics_by_group(F.col("metrics"))))
+    return r.select("file", "tie", "grp", F.array_join(F.transform("metrics", lambda m: m["name"]), "+").alias("names"))
+
+
+@query("select file, tie, case when segment_index = 2 then 'N/A dB' else printf('%.4f', mos) || ' dB' end as mos, cast(segment_index as varchar) as segment, case when segment_index = 2 then 'Unavailable: value is undefined (NaN) for this input' end as warning from results", "results")
+def formatted_values(spark, sf_dir):
+    m = F.filter("metrics", lambda m: m["name"] == "MOS")[0]
+    r = _full_rows(spark, sf_dir)
+    return r.select("file", "tie", reports.value_text(m["value"], unit=m["unit"]).alias("mos"), reports.value_text(F.col("segment_index").cast("double"), True).alias("segment"), m["warning"].alias("warning"))
+
+
+@query(
+    """select file, tie, grp, status, metrics, diagnostics from (select file, tie, unnest(['noise', 'perceptual', 'prosody', 'speech']) as grp,
+    unnest([case when segment_index = 4 then 'error' when snr < 15 then 'warn' when segment_index >= 3 then 'partial' else 'ok' end, 'warn', 'skipped', 'missing']) as status, unnest([2, 1, 0, 1]) as metrics,
+    unnest([case when segment_index = 4 then 1 else 0 end, case when segment_index > 1 then 2 else 1 end, 1, 0]) as diagnostics from results)""",
+    "results",
+)
+def health_overlay(spark, sf_dir):
+    h = _full_rows(spark, sf_dir).select("file", "tie", F.inline(reports.group_health(F.col("metrics"), F.col("diagnostics"))))
+    return h.select("file", "tie", "grp", "status", F.col("metric_count").alias("metrics"), F.col("diagnostic_count").alias("diagnostics"))
+
+
+NOTES_SQL = ", ".join(f"'{n}'" for n in (reports.CONFIDENCE_NOTES["proxy"], reports.CONFIDENCE_NOTES["model"]))
+
+
+@query(f"select file, tie, array_to_string(list_concat([{NOTES_SQL}], case when error is null then ['{reports.MISSING_NOTE}'] else [] end, ['Calibration: Scaled by hand.']), '|') as notes from results", "results")
+def confidence_notes(spark, sf_dir):
+    return _full_rows(spark, sf_dir).select("file", "tie", F.array_join(reports.confidence_notes(F.col("metrics"), F.col("error")), "|").alias("notes"))
+
+
+@query("select file, tie, unnest(list_filter(['slow', case when segment_index = 4 then 'broken' end, 'group_skipped', 'general'], lambda x: x is not null)) as code, unnest(list_filter([case when segment_index > 1 then '2b' else '1a' end, case when segment_index = 4 then '1c' end, '1d', '1e'], lambda x: x is not null)) as told from results", "results")
+def merged_diagnostics(spark, sf_dir):
+    d = _full_rows(spark, sf_dir).select("file", "tie", F.inline(reports.merged_diagnostics(F.col("diagnostics"))))
+    return d.select("file", "tie", "code", F.concat(F.col("count").cast("string"), F.col("context")["last"]).alias("told"))
+
+
+@query("select l.doc_id, coalesce(case when l.doc_id % 3 = 0 then 'doc ' || l.doc_id end, file) as file from records r join labels l on l.doc_id = r.doc_id", "records")
+def relabelled_paths(spark, sf_dir):
+    r, labels = views.records(spark, sf_dir), views.table(spark, sf_dir, "labels")
+    names = r.where("doc_id % 3 = 0").select(F.regexp_replace("file", "/", "\\\\").alias("path"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("label"))
+    return reports.relabelled(r.join(labels.select("doc_id"), "doc_id"), names).select("doc_id", "file")
+
+
+@query("select file, tie, snr, 2 + case when segment_index < 3 then 1 else 0 end - case when segment_index = 2 then 1 else 0 end as present from results", "results")
+def json_round_trip(spark, sf_dir):
+    r = _full_rows(spark, sf_dir).select("file", "tie", "snr", "metrics")
+    back = reports.from_rows_of_json(reports.to_rows_of_json(r), r.schema)
+    return back.select("file", "tie", "snr", F.size(F.filter("metrics", lambda m: m["value"].isNotNull())).alias("present"))
+
+
+@query("select grp, name, count(*) as n from facts where error is null and value is not null and name in ('Estimated SNR', 'True Peak') group by all", "facts")
+def recordable_facts(spark, sf_dir):
+    return reports.recordable(views.facts(spark, sf_dir), ("Estimated SNR", "True Peak")).groupBy("grp", "name").agg(F.count("*").alias("n"))
+
+
+ANNOTATED = """ann as (select r.doc_id, file, source_key, list_filter([case when l.quality = 0 then 'low' end, case when l.toxic = 1 then 'toxic' end, 'any'], lambda x: x is not null) as expected,
+list_filter([case when r.doc_id % 4 = 0 then 'low' end, case when r.doc_id % 6 = 0 then 'toxic' end, case when r.doc_id % 5 > 0 then 'any' end], lambda x: x is not null) as predicted from (select *, 'rec' || doc_id as source_key from records) r join labels l on l.doc_id = r.doc_id)"""
+
+
+def _annotated(spark, sf_dir):
+    """Records with predicted labels, and expected labels by path for even ids, else by source."""
+    r = views.records(spark, sf_dir).withColumn("source_file", F.concat(F.lit("rec"), F.col("doc_id").cast("string")))
+    own = F.array_compact(F.array(F.when(F.col("doc_id") % 4 == 0, "low"), F.when(F.col("doc_id") % 6 == 0, "toxic"), F.when(F.col("doc_id") % 5 > 0, "any")))
+    known = r.join(views.table(spark, sf_dir, "labels"), "doc_id")
+    path = F.when(F.col("doc_id") % 2 == 0, F.col("file")).otherwise(F.col("source_file"))
+    want = known.select(path.alias("path"), F.array_compact(F.array(F.when(F.col("quality") == 0, "low"), F.when(F.col("toxic") == 1, "toxic"), F.lit("any"))).alias("expected"))
+    return r.withColumn("labels", own), want
+
+
+@query(f"select file as case_id, array_to_string(expected, ',') as expected, array_to_string(predicted, ',') as predicted from (with {ANNOTATED} select * from ann)", "records")
+def expected_label_cases(spark, sf_dir):
+    c = calibration.cases_from_labels(*_annotated(spark, sf_dir))
+    return c.select("case_id", F.array_join("expected", ",").alias("expected"), F.array_join("predicted", ",").alias("predicted"))
+
+
+@query(f"select label, count(*) filter (where list_contains(expected, label) and list_contains(predicted, label)) as tp, count(*) filter (where not list_contains(expected, label) and list_contains(predicted, label)) as fp, count(*) filter (where list_contains(expected, label) and not list_contains(predicted, label)) as fn from (with {ANNOTATED} select * from ann), (values ('low'), ('toxic'), ('any'), ('never')) t(label) group by label", "records")
+def label_set_calibration(spark, sf_dir):
+    cases = calibration.set_cases(calibration.cases_from_labels(*_annotated(spark, sf_dir)))
+    names = spark.createDataFrame([("low",), ("toxic",), ("any",), ("never",)], "label string")
+    return calibration.per_label(cases, names).select("label", "tp", "fp", "fn")
+
+
+@query("select file, case when doc_id % 2 = 0 then speaker end as mapped from records", "records")
+def speaker_mapping(spark, sf_dir):
+    r = views.records(spark, sf_dir).withColumn("source_file", F.lit(None).cast("string"))
+    names = r.where("doc_id % 2 = 0").select(F.col("file").alias("path"), F.col("speaker").alias("mapped"))
+    return reports.joined_by_path(r, names, "mapped").select("file", "mapped")
+
+
+VARIANT_SQL = "v as (select l_orderkey as key, l_linenumber as variant, max(l_quantity) as quantity, max(case when l_linenumber <> 3 or l_orderkey % 2 = 0 then l_tax end) as tax from lineitem group by all)"
+
+
+def _variants(spark, sf_dir):
+    l = views.table(spark, sf_dir, "lineitem")  # noqa: E741
+    tax = F.when((F.col("l_linenumber") != 3) | (F.col("l_orderkey") % 2 == 0), F.col("l_tax"))
+    entry = lambda n, c: F.struct(F.lit(n).alias("name"), c.cast("double").alias("value"))
+    return l.select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("variant"), F.inline(F.array(entry("quantity", F.col("l_quantity")), entry("tax", tax))))
+
+
+@query(f"select key, name, spread, consistent from (with {VARIANT_SQL} select key, 'quantity' as name, round(max(quantity) - min(quantity), 6) as spread, max(quantity) - min(quantity) <= 20 + 1e-12 as consistent from v group by key union all select key, 'tax', round(max(tax) - min(tax), 6), coalesce(max(tax) - min(tax) <= 0.05 + 1e-12 and count(tax) = count(*), false) from v group by key)")
+def variant_metrics(spark, sf_dir):
+    v = _variants(spark, sf_dir)
+    m = calibration.variant_metrics(v, v.select("key", "variant").distinct(), {"quantity": 20.0, "tax": 0.05})
+    return m.select("key", "name", F.round("spread", 6).alias("spread"), "consistent")
+
+
+VARIANT_SQL2 = "select v.key, v.variant, round(v.quantity - b.quantity, 6) as deviation, coalesce(abs(v.quantity - b.quantity) <= 10 + 1e-12, false) as within_tolerance from v left join v b on b.key = v.key and b.variant = 2"
+
+
+@query(f"with {VARIANT_SQL} {VARIANT_SQL2}")
+def variant_deviations(spark, sf_dir):
+    v = _variants(spark, sf_dir).where("name = 'quantity'").groupBy("key", "variant").agg(F.max("value").alias("value"))
+    return calibration.deviations(v, "key", 2, 10.0)
+
+
+@query(f"select r.signature, r.file, r.file = kept as keep from records r join (with {DUP_SQL} select dups.signature, min(file) as kept from dups join records using (signature) where error is null group by all) d on d.signature = r.signature where error is null", "records")
+def duplicate_members(spark, sf_dir):
+    return audit.members(views.records(spark, sf_dir))
+
+
+@query(f"select 'duplicate' as kind, signature as key, file from records where error is null and signature in (with {DUP_SQL} select signature from dups where contains(splits, ',')) union all select 'speaker', speaker, file from records where error is null and {SPLIT_SQL} is not null and speaker in (select speaker from records where error is null group by speaker having count(distinct {SPLIT_SQL}) > 1)", "records")
+def leaking_files(spark, sf_dir):
+    return audit.leaking_files(views.records(spark, sf_dir))
+
+
+@query(f"select count(*) as file_count, count(error) as failed_files, count(distinct case when error is null then speaker end) as speakers, count(distinct case when error is null then coalesce(content_type, 'unknown') end) as content_types, count(distinct case when error is null then coalesce({SPLIT_SQL}, 'unassigned') end) as splits, '' as warnings from records", "records")
+def dataset_coverage(spark, sf_dir):
+    return audit.coverage(views.records(spark, sf_dir))
+
+
+@query("select unnest(['low', 'toxic', 'any']) as key, unnest([count(*) filter (where doc_id % 4 = 0), count(*) filter (where doc_id % 6 = 0), count(*) filter (where doc_id % 5 > 0)]) as n from records where error is null", "records")
+def label_distribution(spark, sf_dir):
+    return audit.label_distribution(_annotated(spark, sf_dir)[0])
+
+
+CELL_SQL = "select c_nationkey * 1000 + c_custkey % 3 as cell, c_acctbal::double as v from customer"
+
+
+@query(f"select cell, count(*) as n, round(avg(v) - any_value(t) * stddev_samp(v) / sqrt(count(*)), 2) as low from ({CELL_SQL}) join (select cell, count(*) as c from ({CELL_SQL}) group by 1) using (cell) join (values (2, 12.706204736174698), (3, 4.302652729749464), (4, 3.1824463052837078), (5, 2.7764451051977987), (6, 2.570581835636314)) q(c2, t) on c2 = c group by 1")
+def student_interval(spark, sf_dir):
+    c = views.table(spark, sf_dir, "customer").select((F.col("c_nationkey") * 1000 + F.col("c_custkey") % 3).alias("cell"), F.col("c_acctbal").cast("double").alias("value"))
+    return calibration.mean_interval(c, "value", "cell", method="t").where("n between 2 and 6").select("cell", "n", F.round("low", 2).alias("low"))
+
+
+@query()
+def proxy_bootstrap(spark, sf_dir):
+    r = views.results(spark, sf_dir).select("source_key", F.col("mos").alias("proxy"), (F.col("snr") / 12).alias("reference"))
+    return calibration.bootstrap_interval(r, "proxy", "reference", "source_key", rounds=200)
+
+
+@query(
+    """select name, message, count(*) as n from (select 'Estimated SNR' as name, case when snr < 20.5 or snr > 40 then 'Estimated SNR should be >= 20.5 and <= 40' end as message from results
+    union all select 'True Peak', case when peak > -1.25 then 'True Peak should be <= -1.25' end from results union all select 'Clipping Ratio', case when clip <> 0 then 'Clipping Ratio should be == 0.0' end from results) where message is not null group by all""",
+    "results",
+)
+def rule_messages(spark, sf_dir):
+    own = rules_table(spark, [("estimated  snr", "noise", 20.5, 40.0, None), ("True Peak", None, None, -1.25, None), ("Clipping Ratio", None, None, None, 0.0, False, None)])
+    return rules.violations(views.facts(spark, sf_dir), own).groupBy(F.col("metric").alias("name"), "message").agg(F.count("*").alias("n"))
+
+
+@query("select file, n, 'threshold rules: ' || n || ' violation(s)' as note from (select file, count(*) filter (where lufs < -18 or lufs > -14) + count(*) filter (where peak > -1) as n from results group by file) where n > 0", "results")
+def rules_applied(spark, sf_dir):
+    r, f = views.results(spark, sf_dir), views.facts(spark, sf_dir)
+    return rules.apply_rules(r, f, preset_rules(spark, "podcast"), "note")[2].select("file", "n", F.col("diagnostic.message").alias("note"))
+
+
+@query("select file, count(*) filter (where verdict = 'regression') as regressions, count(*) filter (where verdict = 'missing_after') as missing_after, count(*) filter (where verdict = 'regression') = 0 as accepted from (select b.source_key as file, case when a.snr is null then 'missing_after' when a.snr - b.snr < -1e-6 then 'regression' end as verdict from (select source_key, arg_max(snr, tie) as snr from results where segment_index = 1 group by 1) b join (select source_key, arg_max(case when tie > 30000 then snr end, tie) as snr, 1 as x from results where segment_index = 2 group by 1) a using (source_key)) group by file", "results")
+def repair_verdicts(spark, sf_dir):
+    b, a = (side(spark, sf_dir, k).where("name = 'Estimated SNR'") for k in (1, 2))
+    gone = views.results(spark, sf_dir).where("segment_index = 2").groupBy(F.col("source_key").alias("file")).agg(F.max("tie").alias("t"))
+    a = a.join(gone, "file").withColumn("name", F.when(F.col("t") > 30000, F.col("name")).otherwise("Other"))
+    return diff.repair_accepted(diff.evaluate_repair(b, a, {})).select("file", "regressions", "missing_after", "accepted")
+
+
+@query(f"select name, within_budget, missing, case when isinf(regression) then 'inf' else cast(round(regression, 4) as varchar) end as regression from (select name, new is null as missing, case when old = 0 then case when new > 0 then 'inf'::double when new <= 0 then 0 end else (new - old) / abs(old) end as regression, coalesce(case when old = 0 then new <= 0 else (new - old) / abs(old) <= 0.1 end, false) as within_budget from (select 'm' || p_partkey % 50 as name, sum(case when p_partkey % 50 < 25 then p_size else 0 end)::double as old, case when min(p_partkey % 50) % 7 > 0 then sum(p_size) * 1.05 end as new from part group by 1))")
+def budget_zero(spark, sf_dir):
+    n = F.col("p_partkey") % 50
+    p = views.table(spark, sf_dir, "part").groupBy(n.alias("k")).agg(F.sum(F.when(n < 25, F.col("p_size")).otherwise(0)).cast("double").alias("old"), (F.sum("p_size") * 1.05).cast("double").alias("new")).withColumn("name", F.concat(F.lit("m"), F.col("k").cast("string")))
+    j = diff.budget(p.select("name", F.col("old").alias("value")), p.where("k % 7 > 0").select("name", F.col("new").alias("value")), 0.1)
+    text = F.when(F.col("regression") == float("inf"), "inf").otherwise(F.round("regression", 4).cast("string"))
+    return j.select("name", "within_budget", "missing", text.alias("regression"))
+
+
+@query(f"select file, segment_index, 'rec' || regexp_extract(source_key, '[0-9]+') || '_segment_000' || segment_index || '.wav' as name, greatest(segment_index - 1.25, 0)::double as start_s, least(segment_index + 0.25, max(segment_index) over (partition by source_key))::double as end_s from (select *, len({NAMES}) as k from reports) where error is null and k > 0", "reports")
+def labelled_snippets(spark, sf_dir):
+    r = views.reports(spark, sf_dir).withColumn("features", enrich.feature_array(F.col("metrics"), F.col("duration_s"), F.col("sample_rate")))
+    r = enrich.checkpointed(r)
+    custom = enrich.custom_labels(F.col("features"), RULES)[0]
+    r = r.withColumn("defect_labels", F.concat(enrich.defect_labels(F.col("features"), F.col("metrics"), F.col("content_type"), F.col("duration_s")), custom))
+    return reports.snippet_segments(enrich.checkpointed(r))
