@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once, however often f uses it."""
+    return F.transform(F.array(x), f)[0]
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
 
@@ -15,7 +22,7 @@ def mean(x: Column) -> Column:
 
 
 def centred(x: Column) -> Column:
-    return F.transform(x, lambda v: v - mean(x))
+    return bound(x, lambda a: bound(mean(a), lambda m: F.transform(a, lambda v: v - m)))
 
 
 def dot(x: Column, y: Column) -> Column:
@@ -68,25 +75,33 @@ def frame_energy(x: Column, size: int, hop: int) -> Column:
 
 def autocorrelation(x: Column, lag: int) -> Column:
     """Mean-removed, as a share of lag 0."""
-    c = centred(x)
     n = F.size(x)
-    return F.try_divide(dot(F.slice(c, F.lit(1), n - lag), F.slice(c, F.lit(lag + 1), n - lag)), dot(c, c))
+    return bound(centred(x), lambda c: F.try_divide(dot(F.slice(c, F.lit(1), n - lag), F.slice(c, F.lit(lag + 1), n - lag)), dot(c, c)))
 
 
 def gated_lufs(blocks: Column, absolute: float = -70.0, relative: float = -10.0) -> Column:
     """Integrated loudness of block energies: an absolute gate, then one relative to the mean of what passes."""
     loud = F.filter(blocks, lambda z: (z > 0) & (lufs(z) > absolute))
-    gate = lufs(mean(loud)) + relative
-    return lufs(mean(F.filter(loud, lambda z: lufs(z) > gate)))
+
+    def own(a: Column) -> Column:
+        return bound(lufs(mean(a)) + relative, lambda gate: bound(F.filter(a, lambda z: lufs(z) > gate), lambda kept: lufs(mean(kept))))
+
+    return bound(loud, own)
 
 
 def si_sdr(reference: Column, estimate: Column) -> Column:
     """Scale-invariant distortion ratio in dB of mean-removed signals."""
-    r, e = (centred(x) for x in (reference, estimate))
-    scale = F.try_divide(dot(r, e), dot(r, r))
-    noise = F.zip_with(e, r, lambda a, b: a - scale * b)
-    target = F.transform(r, lambda v: v * scale)
-    return power_db(F.try_divide(dot(target, target), dot(noise, noise)))
+
+    def own(r: Column, e: Column) -> Column:
+        return bound(F.try_divide(dot(r, e), dot(r, r)), lambda k: bound(F.zip_with(e, r, lambda a, b: a - k * b), lambda noise: power_db(F.try_divide(k * k * dot(r, r), dot(noise, noise)))))
+
+    return bound(centred(reference), lambda r: bound(centred(estimate), lambda e: own(r, e)))
+
+
+def sdr(reference: Column, estimate: Column) -> Column:
+    """Distortion ratio in dB, without rescaling."""
+    eps = 2.0**-52
+    return bound(F.zip_with(estimate, reference, lambda a, b: a - b), lambda noise: 10 * F.log10((dot(reference, reference) + eps) / (dot(noise, noise) + eps)))
 
 
 def cosine(x: Column, y: Column) -> Column:

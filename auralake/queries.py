@@ -252,9 +252,10 @@ BUCKETS_SQL = f"sigs as (select file, tie, source_key, string_agg(feature || ':'
 @query(f"select count(*) as results, count(distinct source_key) as sources, count(*) filter (where n = 1) as n_groups from (select s.*, row_number() over (partition by sig) as n from (with {BUCKETS_SQL} select * from sigs) s join (with {BUCKETS_SQL} select sig from sigs group by sig having count(distinct source_key) > 1) d using (sig))", "facts")
 def fingerprint_duplicates(spark, sf_dir):
     sigs = features.signatures(feature_rows(spark, sf_dir), "file", "tie", "source_key")
-    shared = sigs.groupBy("signature").agg(F.countDistinct("source_key").alias("k")).where("k > 1").select("signature")
-    hit = sigs.join(shared, "signature")
-    return hit.agg(F.count("*").alias("results"), F.countDistinct("source_key").alias("sources"), F.countDistinct("signature").alias("n_groups"))
+    groups = sigs.groupBy("signature", "source_key").agg(F.count("*").alias("n"))
+    shared = groups.groupBy("signature").agg(F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1").select("signature", F.col("n").alias("results"))
+    sources = groups.join(shared, "signature").agg(F.countDistinct("source_key").alias("sources"))
+    return shared.agg(F.sum("results").alias("results"), F.count("*").alias("n_groups")).crossJoin(sources)  # one row each
 
 
 @query("select file, tie, 'too_short_for_review' as issue from results where duration_s > 0 and duration_s < 0.25 union all select file, tie, 'unreadable_audio' from results where error is not null", "results")
@@ -548,11 +549,11 @@ def wave_si_sdr(spark, sf_dir):
 
 @query(
     f"""with b as (select vec_id, i, list_dot_product(samples[i * 8 + 1 : i * 8 + 16], samples[i * 8 + 1 : i * 8 + 16]) / 16 as z from (select *, unnest(range(0, 7)) as i from ({WAVE_SQL}))),
-    l as (select *, -0.691 + 10 * log10(z) as lu from b where z > 0), g as (select vec_id, -0.691 + 10 * log10(avg(z)) - 10 as gate from l where lu > -70 group by vec_id)
-    select vec_id, round(-0.691 + 10 * log10(avg(z)), 5) as lufs from l join g using (vec_id) where lu > -70 and lu > gate group by vec_id"""
+    l as (select *, -0.691 + 10 * log10(z) as lu from b where z > 0), g as (select vec_id, -0.691 + 10 * log10(avg(z)) - 10 as gate from l where lu > -70 group by vec_id),
+    k as (select vec_id, round(-0.691 + 10 * log10(avg(z)), 5) as lufs from l join g using (vec_id) where lu > -70 and lu > gate group by vec_id) select vec_id, lufs from embeddings left join k using (vec_id)"""
 )
 def wave_gated_loudness(spark, sf_dir):
-    w = views.waveforms(spark, sf_dir).select("vec_id", signal.gated_lufs(signal.frame_energy(F.col("samples"), 16, 8)).alias("lufs")).where("lufs is not null")
+    w = views.waveforms(spark, sf_dir).select("vec_id", signal.gated_lufs(signal.frame_energy(F.col("samples"), 16, 8)).alias("lufs"))
     return rounded(w, "lufs", digits=5)
 
 
@@ -604,4 +605,4 @@ def audio_scorecard(spark, sf_dir):
     f = audio.metric_facts(audio_rows(spark, sf_dir)).withColumn("source_key", F.col("path")).withColumn("segment_index", F.lit(1)).where("value is not null")
     return scorecard.rollup(f)
 
-from . import report_queries  # noqa: E402, F401  registers its queries
+from . import report_queries, voice_queries  # noqa: E402, F401  register their queries

@@ -294,12 +294,12 @@ def label_distribution(spark, sf_dir):
     return audit.label_distribution(_annotated(spark, sf_dir)[0])
 
 
-CELL_SQL = "select c_nationkey * 1000 + c_custkey % 3 as cell, c_acctbal::double as v from customer"
+CELL_SQL = "select c_custkey // 5 * 2 + c_custkey % 5 // 2 % 2 as cell, c_acctbal::double as v from customer"
 
 
 @query(f"select cell, count(*) as n, round(avg(v) - any_value(t) * stddev_samp(v) / sqrt(count(*)), 2) as low from ({CELL_SQL}) join (select cell, count(*) as c from ({CELL_SQL}) group by 1) using (cell) join (values (2, 12.706204736174698), (3, 4.302652729749464), (4, 3.1824463052837078), (5, 2.7764451051977987), (6, 2.570581835636314)) q(c2, t) on c2 = c group by 1")
 def student_interval(spark, sf_dir):
-    c = views.table(spark, sf_dir, "customer").select((F.col("c_nationkey") * 1000 + F.col("c_custkey") % 3).alias("cell"), F.col("c_acctbal").cast("double").alias("value"))
+    c = views.table(spark, sf_dir, "customer").select(F.expr("(c_custkey div 5) * 2 + ((c_custkey % 5) div 2) % 2").alias("cell"), F.col("c_acctbal").cast("double").alias("value"))
     return calibration.mean_interval(c, "value", "cell", method="t").where("n between 2 and 6").select("cell", "n", F.round("low", 2).alias("low"))
 
 
