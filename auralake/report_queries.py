@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import views
-from .operators import audit, calibration, diff, enrich, reports, rules, scorecard
+from .operators import audit, calibration, diff, enrich, governance, reports, rules, scorecard
 from .plans.presets import preset_rules, rules_table
 from .queries import CUT, DUP_SQL, SPLIT_SQL, STEP_SQL, TOLERANCE_SQL, labelled, query, report_diff, side
 
@@ -349,3 +349,66 @@ def labelled_snippets(spark, sf_dir):
     custom = enrich.custom_labels(F.col("features"), RULES)[0]
     r = r.withColumn("defect_labels", F.concat(enrich.defect_labels(F.col("features"), F.col("metrics"), F.col("content_type"), F.col("duration_s")), custom))
     return reports.snippet_segments(enrich.checkpointed(r))
+
+
+@query("select 'rec ' || o_orderkey as file, case when o_orderkey % 3 = 0 then 0 else o_orderkey % 1000 end as sample_rate, coalesce(case when o_orderkey % 5 > 0 then o_totalprice::double end, 0) as duration_s, '3.6' as schema_version, case when o_orderkey % 2 > 0 then 'bad' end as status from orders")
+def migrated_reports(spark, sf_dir):
+    o, k = views.table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    version = F.when(k % 4 == 0, "3.0").when(k % 4 == 1, "3.5").when(k % 4 == 2, "3.6")
+    old = o.select(F.concat(F.lit("rec "), k.cast("string")).alias("path"), F.when(k % 3 != 0, k % 1000).alias("sample_rate_hz"), F.when(k % 5 > 0, F.col("o_totalprice").cast("double")).alias("duration_s"), F.when(k % 2 == 0, "ok").otherwise("bad").alias("status"), version.alias("schema_version"))
+    return governance.migrate(old).select("file", "sample_rate", "duration_s", "schema_version", "status")
+
+
+@query(
+    """select '$[' || l_orderkey || '].duration_s' as path, 'must be a number of 0 or more' as message from lineitem where l_quantity < 3 union all select '$[' || l_orderkey || '].file', 'required field is missing' from lineitem where l_linenumber = 5
+    union all select '$[' || l_orderkey || '].metrics[0].value', 'must be a finite number or null' from lineitem where l_tax = 0 union all select '$[' || l_orderkey || '].metrics[1].name', 'required field is missing' from lineitem where l_discount = 0"""
+)
+def report_issues(spark, sf_dir):
+    l = views.table(spark, sf_dir, "lineitem")  # noqa: E741
+    metric = lambda name, value: F.struct(name.alias("name"), F.lit("noise").alias("grp"), value.cast("double").alias("value"))
+    metrics = F.array(metric(F.lit("SNR"), F.when(F.col("l_tax") == 0, float("nan")).otherwise(F.col("l_tax").cast("double"))), metric(F.when(F.col("l_discount") != 0, "Floor"), F.lit(None)))
+    rows = l.select(F.when(F.col("l_linenumber") != 5, F.col("l_comment") if "l_comment" in l.columns else F.lit("x")).alias("file"), (F.col("l_quantity").cast("double") - 3).alias("duration_s"), F.lit(8000).alias("sample_rate"), metrics.alias("metrics"), F.col("l_orderkey").alias("i"))
+    return governance.issues(rows, "i")
+
+
+@query(f"select case when count(*) filter (where error is not null and segment_index <> 7) > 0 then 3 when count(error) > 0 then 2 when count(*) filter (where {BLOCKED}) > 0 then 1 else 0 end as code from results", "results")
+def exit_code(spark, sf_dir):
+    r = views.results(spark, sf_dir)
+    return governance.exit_code(r, F.col("segment_index") == 7, (F.col("snr") < 10) | (F.col("peak") > 0) | (F.col("clip") > 0.005))
+
+
+@query("select bool_and(ok) as ready, array_to_string(list_sort(list(name) filter (where not ok)), ',') as failed from (select o_orderpriority as name, avg(o_totalprice) > (select avg(o_totalprice) from orders) as ok from orders group by 1)")
+def release_readiness(spark, sf_dir):
+    o = views.table(spark, sf_dir, "orders")
+    mean = o.agg(F.avg("o_totalprice").alias("m"))
+    gates = o.groupBy(F.col("o_orderpriority").alias("name")).agg(F.avg("o_totalprice").alias("v")).crossJoin(mean).select("name", (F.col("v") > F.col("m")).alias("passed"))
+    return governance.readiness(gates).select("ready", F.array_join("failed", ",").alias("failed"))
+
+
+REVIEW_SQL = "rv as (select user_id as file, event_type as decision, ts, event_id from events)"
+
+
+@query(f"with {REVIEW_SQL} select file, decision, row_number() over (partition by file order by ts, event_id) as number, row_number() over (partition by file order by ts desc, event_id desc) = 1 as latest from rv")
+def review_history(spark, sf_dir):
+    e = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("file"), F.col("event_type").alias("decision"), "ts", "event_id")
+    return governance.review_history(e, ["ts", "event_id"]).select("file", "decision", F.col("number").cast("long"), "latest")
+
+
+@query(f"with {REVIEW_SQL}, f as (select c_custkey as file from customer) select file from f where file not in (select file from rv) union all select file from (select file, arg_max(decision, (ts, event_id)) as d from rv group by file) where d = 'click' and file in (select file from f)")
+def reviews_by_decision(spark, sf_dir):
+    e = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("file"), F.col("event_type").alias("decision"), "ts", "event_id")
+    files = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file"))
+    return governance.files_by_decision(files, e, ["ts", "event_id"], "undecided").union(governance.files_by_decision(files, e, ["ts", "event_id"], "click"))
+
+
+@query("select 'd' || doc_id as path, case when doc_id % 11 = 0 then 'missing' when doc_id % 7 = 0 then 'unexpected' when doc_id % 5 = 0 then 'changed' else 'ok' end as status from documents where text is not null")
+def asset_lock_states(spark, sf_dir):
+    d = views.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.col("text").cast("binary").alias("content"))
+    now = d.where("doc_id % 11 != 0").withColumn("content", F.when(F.col("doc_id") % 5 == 0, F.lit("changed content").cast("binary")).otherwise(F.col("content")))
+    return governance.verify_lock(governance.asset_lock(d.where("doc_id % 7 != 0 or doc_id % 11 = 0")), governance.asset_lock(now))
+
+
+@query("select path, substr(sha256('d' || doc_id || chr(0) || lang), 1, 12) as key from (select doc_id, lang, 'd' || doc_id as path from documents where lang is not null)")
+def cache_keys(spark, sf_dir):
+    d = views.table(spark, sf_dir, "documents").where("lang is not null").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), "lang")
+    return d.select("path", F.substring(governance.cache_key(F.col("path"), F.col("lang")), 1, 12).alias("key"))
