@@ -53,9 +53,61 @@ def write_csv(facts: DataFrame, keys: list[str], path: str) -> None:
     wide(facts, keys).write.option("header", True).csv(path)
 
 
+def cell(value: Column, kind: str) -> Column:
+    """A table cell: four decimals for numbers with a fraction, bars and backslashes escaped, null as nothing."""
+    text = F.format_string("%.4f", value) if kind in ("double", "float") else value.cast("string")
+    return F.coalesce(F.when(value.isNotNull(), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))), F.lit(""))
+
+
+def markdown_lines(df: DataFrame) -> DataFrame:
+    """A table row a row, in column `line`; headings come from `markdown_head`. Write it as text, sorted if need be: no row passes through the driver."""
+    cells = [cell(F.col(f"`{c}`"), t) for c, t in df.dtypes]
+    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
+def markdown_head(df: DataFrame) -> str:
+    return "| " + " | ".join(df.columns) + " |\n|" + " --- |" * len(df.columns)
+
+
 def markdown_table(df: DataFrame, most: int = 1000) -> str:
-    """A report table of at most `most` rows; bars are escaped."""
-    cell = lambda v: "" if v is None else (f"{v:.4f}" if isinstance(v, float) else str(v)).replace("|", "\\|")
-    rows = df.limit(most).collect()
-    head = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-    return "\n".join(head + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows]) + "\n"
+    """A report table as one text, for tables of up to `most` rows; a larger one is an error (use markdown_lines)."""
+    rows = markdown_lines(df).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the table has more than {most} rows; write markdown_lines instead")
+    return "\n".join([markdown_head(df), *(r["line"] for r in rows)]) + "\n"
+
+
+def html_rows(df: DataFrame, status: str | None = None) -> DataFrame:
+    """An HTML table row a row, in column `line`; the class of a row is its `status` column."""
+    safe = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    cells = [F.concat(F.lit("<td>"), safe(F.coalesce(F.format_string("%.4f", F.col(c)) if t in ("double", "float") else F.col(c).cast("string"), F.lit(""))), F.lit("</td>")) for c, t in df.dtypes]
+    head = F.concat(F.lit('<tr class="'), safe(F.coalesce(F.col(status).cast("string"), F.lit(""))), F.lit('">')) if status else F.lit("<tr>")
+    return df.select(F.concat(head, *cells, F.lit("</tr>")).alias("line"))
+
+
+def exposition_lines(series: DataFrame, prefix: str = "audio") -> DataFrame:
+    """The exposition text a line a row (ord, line): each family's HELP and TYPE before its samples."""
+    family = F.regexp_extract("series", r"^[^{]+", 0)
+    rows = series.select(F.lit(1).alias("ord"), family.alias("family"), F.concat_ws(" ", "series", F.col("value").cast("string")).alias("line"))
+    texts = {f"{prefix}_metric": "Metric value.", f"{prefix}_analysis_error": "Whether analysis failed."}
+    heads = [(0, f, f"# HELP {f} {t}\n# TYPE {f} gauge") for f, t in texts.items()]
+    return series.sparkSession.createDataFrame(heads, "ord int, family string, line string").union(rows)
+
+
+#: Columns of a wide report before its metrics (fixed values).
+REPORT_COLUMNS = (
+    "file", "source_file", "segment_index", "total_segments", "segment_start_s", "segment_end_s", "duration_s", "sample_rate", "channels", "bit_depth", "content_type", "speech_confidence",
+    "schema_version", "tool_version", "notes", "confidence_notes", "defect_labels", "repair_suggestions", "triage_rank", "triage_score", "error", "status",
+)
+
+
+def wide_report(reports: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """A row a report row: its fixed columns (lists joined by ` | `, absent ones null), then a column a metric; the last of repeated names wins. No shuffle but for finding the names."""
+    if names is None:
+        first = reports.select(F.posexplode("metrics").alias("pos", "m")).groupBy("m.name").agg(F.min("pos").alias("pos")).orderBy("pos", "name").collect()  # a row a metric name
+        names = [r["name"] for r in first]
+    text = lambda c: F.array_join(F.col(c), " | ") if dict(reports.dtypes)[c].startswith("array<string") else F.col(c)
+    fixed = [text(c).alias(c) if c in reports.columns else F.lit(None).cast("string").alias(c) for c in REPORT_COLUMNS]
+    value = lambda n: F.try_element_at(F.filter("metrics", lambda m: m["name"] == n), F.lit(-1))["value"]
+    finite = lambda v: F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+    return reports.select(*fixed, *[finite(value(n)).alias(n) for n in names])
