@@ -32,6 +32,7 @@ def test_jaccard_divides_regions_exactly(spark, monkeypatch, small, block, often
     monkeypatch.setattr(jaccard, "SMALL", small)
     monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard, "CHUNK", 5)
+    monkeypatch.setattr(jaccard, "SLICE", 7)
     monkeypatch.setattr(jaccard, "DENSE", often)
     monkeypatch.setattr(jaccard, "SAMPLE", 1)
     rng = random.Random(3)
