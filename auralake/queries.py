@@ -370,7 +370,7 @@ def rolling_window(spark, sf_dir):
 
 
 @query(
-    """select metric, tie, value, case when n < 5 then 'insufficient_history' when case when sd = 0 then value <> m else abs((value - m) / sd) > 3 end then 'drift' else 'ok' end as status, round(case when n >= 5 then case when sd = 0 then case when value > m then 'inf'::double when value < m then '-inf'::double else 0 end else (value - m) / sd end end, 3) as zscore
+    """select metric, tie, value, case when n < 5 then 'insufficient_history' when case when sd = 0 then value <> m else abs((value - m) / sd) > 3 end then 'drift' else 'ok' end as status, round(round(case when n >= 5 then case when sd = 0 then case when value > m then 'inf'::double when value < m then '-inf'::double else 0 end else (value - m) / sd end end, 6), 3) as zscore
     from (select *, count(value) over w as n, avg(value) over w as m, stddev_pop(value) over w as sd from history window w as (partition by metric order by ts, tie rows between 20 preceding and 1 preceding))""",
     "history",
 )
