@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, lines, media, mixing, packing, pii, quality, rules, substring, toxicity
+from . import align, jaccard, lines, media, mixing, packing, pii, quality, rules, search, secrets, substring, toxicity
 from .oracle import ORACLE  # noqa: F401
 from .text import table
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,4 +55,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_personal_data, op3_substring_dedup, op4_quality_classifier, op5_source_mixing, op6_packing, op7_quality_rules, op8_media_columns, op9_jaccard_join, op10_line_dedup)}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(table(spark, sf_dir, "documents"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_personal_data, op3_substring_dedup, op4_quality_classifier, op5_source_mixing, op6_packing, op7_quality_rules, op8_media_columns, op9_jaccard_join, op10_line_dedup, op11_lexical_search, op12_secret_scan, op13_tokenizer_alignment)}

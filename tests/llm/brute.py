@@ -84,3 +84,72 @@ def rule_counts(text):
             dups += line in seen
             seen.add(line)
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dups, len(repeated)
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def ranked(docs, items, k=20):
+    """docs: [(id, text)], items: [(id, text)] -> [(item, rank, doc, score)]"""
+    import math
+
+    split = [(d, collections.Counter(TERM.findall((t or "").translate(LOW)))) for d, t in docs]
+    size = [sum(c.values()) for _, c in split]
+    n_docs, n_terms = sum(n > 0 for n in size), sum(size)
+    df = collections.Counter(t for _, c in split for t in c)
+    out = []
+    for item, text in items:
+        asked = TERM.findall((text or "").translate(LOW))
+        found = []
+        for (d, c), n in zip(split, size, strict=True):
+            if n:
+                m = 100 - 25 + 25 * n * n_docs // n_terms
+                score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 12 * m)) for t in asked)
+                if score > 0:
+                    found.append((-score, d is None, d or 0, d))
+        out += [(item, r + 1, d, -s) for r, (s, _, _, d) in enumerate(sorted(found)[:k])]
+    return out
+
+
+ASSIGN = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def secret_base(text):
+    text = text or ""
+    out = [(m.start(), 0, f"assign:{m.start()}:{m.end()}") for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    out += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return [s for _, _, s in sorted(out)]
+
+
+def alignment(rows, first, second, bytes_of):
+    """rows: [text]; first, second: text -> ids; bytes_of: (side, id) -> bytes. -> [(n_a, n_b, n_groups, n_links, n_best, count_sum, groups)]"""
+    groups = []
+    for text in rows:
+        own = []
+        a, b = (first(text), second(text)) if text else ([], [])
+        spelled = [[bytes_of(s, i) for i in ids] for s, ids in ((0, a), (1, b))]
+        if text and all(b"".join(x) == (" " + text).encode() for x in spelled):
+            ends = []
+            for x in spelled:
+                at, e = 0, []
+                for t in x:
+                    at += len(t)
+                    e.append(at)
+                ends.append(e)
+            i = j = 0
+            for cut in sorted(set(ends[0]) & set(ends[1])):
+                p, q = ends[0].index(cut) + 1, ends[1].index(cut) + 1
+                own.append((a[i:p], b[j:q]))
+                i, j = p, q
+        groups.append(own)
+    links = [collections.Counter((x, y) for a, b in own for x in a for y in b) for own in groups]
+    count = collections.Counter(pair for c in links for pair in c)
+    best = {}
+    for (x, _), n in count.items():
+        best[x] = max(best.get(x, 0), n)
+    out = []
+    for own, c in zip(groups, links, strict=True):
+        text = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in own)
+        out.append((sum(len(a) for a, _ in own), sum(len(b) for _, b in own), len(own), sum(c.values()), sum(n for (x, y), n in c.items() if count[x, y] == best[x]), sum(n * count[p] for p, n in c.items()), hashlib.sha256(text.encode()).hexdigest() if own else ""))
+    return out
