@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .signal import bound, dot, frames, longest_run, mean, power_db, rms, total, zero_crossings
+from .signal import bound, centred, dot, frames, longest_run, mean, power_db, rms, total, zero_crossings
 
 #: Loudness targets: platform, LUFS, tolerance (fixed values).
 LOUDNESS_TARGETS = [
@@ -81,7 +81,7 @@ def jitter(f0: Column) -> dict[str, Column]:
 
 def shimmer(amplitude: Column) -> dict[str, Column]:
     """Local, APQ3, APQ5 and DDA shimmer of amplitudes of voiced frames."""
-    return {"local": perturbation(amplitude, 2, 5), "apq3": perturbation(amplitude, 3, 5), "apq5": perturbation(amplitude, 5, 7), "dda": second_difference(amplitude)}
+    return {"local": perturbation(amplitude, 2, 4), "apq3": perturbation(amplitude, 3, 5), "apq5": perturbation(amplitude, 5, 7), "dda": second_difference(amplitude)}
 
 
 def voiced_ratio(x: Column, size: int, hop: int, energy: float = 1e-4, crossing: float = 0.15) -> Column:
@@ -90,12 +90,12 @@ def voiced_ratio(x: Column, size: int, hop: int, energy: float = 1e-4, crossing:
     return bound(loud, lambda l: F.when(F.size(l) > 0, _share(F.transform(l, lambda f: crossing_share(f) < crossing))))
 
 
-def active_level(x: Column, size: int, hop: int, hangover: int) -> Column:
+def active_level_of(energy: Column, hangover: int) -> Column:
     """Level in dB of the frames above the larger of their 30th percentile and -50 dB, and of those within a hangover around them."""
 
     def own(e: Column) -> Column:
         levels = F.transform(e, power_db)
-        gate = bound(F.array_sort(F.array_compact(levels)), lambda s: F.greatest(bound((F.size(s) - 1) * F.lit(0.3), lambda at: F.get(s, F.floor(at).cast("int")) + (F.get(s, F.ceil(at).cast("int")) - F.get(s, F.floor(at).cast("int"))) * (at - F.floor(at))), F.lit(-50.0)))
+        gate = F.greatest(percentile(F.array_compact(levels), 0.3), F.lit(-50.0))
         active = bound(gate, lambda g: F.transform(levels, lambda l: F.coalesce(l > g, F.lit(False))))
         back, ahead = hangover // 2, (hangover - 1) // 2
 
@@ -106,7 +106,27 @@ def active_level(x: Column, size: int, hop: int, hangover: int) -> Column:
 
         return bound(active, level)
 
-    return bound(F.transform(frames(x, size, hop), lambda f: dot(f, f) / size), own)
+    return bound(energy, own)
+
+
+def active_level(x: Column, size: int, hop: int, hangover: int) -> Column:
+    return active_level_of(F.transform(frames(x, size, hop), lambda f: dot(f, f) / size), hangover)
+
+
+def percentile(x: Column, share: float) -> Column:
+    """Interpolated between neighbours; null of an empty array."""
+
+    def own(s: Column) -> Column:
+        at = (F.size(s) - 1) * F.lit(share)
+        low, high = F.get(s, F.floor(at).cast("int")), F.get(s, F.ceil(at).cast("int"))
+        return low + (high - low) * (at - F.floor(at))
+
+    return bound(F.array_sort(x), own)
+
+
+def slope(x: Column, y: Column) -> Column:
+    """Of the least-squares line; null for fewer than two places."""
+    return bound(centred(x), lambda c: F.try_divide(dot(c, y), dot(c, c)))
 
 
 def bark(hz: Column) -> Column:
@@ -169,14 +189,18 @@ def silence_score(x: Column, size: int, hop: int) -> Column:
     return F.when(rms(x) < 0.001, 0.0).otherwise(clip(2.0 * audible, 0.0, 1.0))
 
 
-def crossing_cue(x: Column, size: int, hop: int) -> Column:
+def crossing_cue_of(crossings: Column) -> Column:
     """Whether frames divide into voiced ones with few sign changes and unvoiced ones with many; a half for fewer than ten frames."""
 
     def own(z: Column) -> Column:
         voiced, unvoiced = _between(z, 0.01, 0.10), _between(z, 0.15, 0.45)
         return F.when(F.size(z) < 10, 0.5).otherwise(clip(0.6 * F.least(2.0 * voiced, F.lit(1.0)) + 0.4 * F.least(3.0 * unvoiced, F.lit(1.0)), 0.0, 1.0))
 
-    return bound(F.transform(frames(x, size, hop, inclusive=False), crossing_share), own)
+    return bound(crossings, own)
+
+
+def crossing_cue(x: Column, size: int, hop: int) -> Column:
+    return crossing_cue_of(F.transform(frames(x, size, hop, inclusive=False), crossing_share))
 
 
 def _between(z: Column, low: float, high: float) -> Column:
