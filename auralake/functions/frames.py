@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .weighting import biquads, block_energies, k_weighting
+
 #: Samples that one block of frames holds, overlaps included.
 BLOCK = 1 << 21
 EPS = 1e-10
@@ -121,6 +123,146 @@ def resample(x: np.ndarray, rate: int, target: int) -> np.ndarray:
     return out
 
 
+# Levels --------------------------------------------------------------------------------------------------------------
+
+
+def levels(x: np.ndarray, rate: int) -> dict:
+    """Levels of the channels and of their mean; of the first two, how they go together."""
+    mono = x.mean(axis=0)
+    out = {
+        "channels": float(len(x)), "peak": float(np.abs(x).max()), "rms": math.sqrt((mono**2).mean()), "offset": float(mono.mean()), "quiet": float((np.abs(mono) < 0.001).mean()), "clipped": float((np.abs(x) >= 0.999).any()),
+        "crossing_rate": float((np.abs(np.diff(np.sign(mono))) > 0).mean()) if len(mono) > 1 else None, "near_clipped": float((np.abs(mono) >= 0.999 * np.abs(mono).max()).sum()) if np.abs(mono).max() > 0.5 else 0.0,
+        "channel_rms": np.sqrt((x**2).mean(axis=1)), "channel_peak": np.abs(x).max(axis=1),
+    }
+    return out | (together(x[0], x[1], rate) if len(x) > 1 else dict.fromkeys(("correlation", "width", "level_difference", "time_difference")))
+
+
+def together(left: np.ndarray, right: np.ndarray, rate: int) -> dict:
+    """Correlation, width, level difference (dB) and, by the best of all lags up to 1.5 ms, time difference (ms) of two channels."""
+    left, right = left - left.mean(), right - right.mean()
+    size = lambda v: math.sqrt((v**2).mean())
+    a, b = size(left), size(right)
+    eps = np.finfo(np.float64).eps
+    half, side = size((left + right) / 2), size((left - right) / 2)
+    reach = min(max(1, int(0.0015 * rate)), len(left) - 1)
+    lags = np.arange(-reach, reach + 1)
+    n = 1 << math.ceil(math.log2(2 * len(left)))
+    product = np.fft.irfft(np.fft.rfft(left, n) * np.conj(np.fft.rfft(right, n)), n)[lags]
+    return {"correlation": float((left * right).mean() / (a * b)) if a > 0 and b > 0 else 1.0, "width": min(1.0, side / (half + side + eps)), "level_difference": 20 * math.log10((a + eps) / (b + eps)) if a > 0 and b > 0 else 0.0, "time_difference": float(lags[np.argmax(product)]) / rate * 1000}
+
+
+def weighted_blocks(x: np.ndarray, rate: int) -> dict:
+    """Energies of 400 ms and 3 s blocks each 100 ms, K-weighted and summed over channels, and the peak at four times the rate."""
+    own = np.stack([biquads(c, k_weighting(rate)) for c in x])
+    return {"blocks_400": block_energies(own, rate, 0.4), "blocks_3000": block_energies(own, rate, 3.0), "true_peak": max(float(np.abs(x).max()), max(float(np.abs(resample(c, 1, 4)).max()) for c in x))}
+
+
+# Spectrum ------------------------------------------------------------------------------------------------------------
+
+TRACKS = ("centroid", "spread", "rolloff", "flat", "skewness", "entropy", "content")
+
+
+def spectral_tracks(x: np.ndarray, rate: int) -> dict:
+    """Of each frame of 2048 samples (all, of fewer) its spectrum's centre, spread, 95 % point, flatness, skewness, entropy and frequency-weighted power; changes between frames; the span of bins within 30 dB of the strongest; mean shares."""
+    size = min(2048, max(2, len(x)))
+    hz = np.arange(size // 2 + 1) * rate / size
+    tracks: dict[str, list] = {k: [] for k in TRACKS}
+    flux, last, most, share, frames = [], None, np.zeros(len(hz)), np.zeros(len(hz)), 0
+    for mag in magnitudes(x, size, size // 2):
+        power = mag**2
+        total = power.sum(axis=1, keepdims=True)
+        part = power / (total + EPS)
+        centre = part @ hz
+        away = hz - centre[:, None]
+        spread = np.sqrt((away**2 * part).sum(axis=1))
+        eps = np.finfo(np.float64).eps
+        tracks["centroid"].append(centre)
+        tracks["spread"].append(spread)
+        tracks["rolloff"].append(hz[np.argmax(np.cumsum(power, axis=1) >= 0.95 * (total + EPS), axis=1)])
+        exact = power / (total + eps)
+        off = hz - (exact @ hz)[:, None]
+        tracks["skewness"].append((off**3 * exact).sum(axis=1) / (np.sqrt((off**2 * exact).sum(axis=1) + eps) ** 3 + eps))
+        tracks["entropy"].append(-(part * np.log2(part + EPS)).sum(axis=1))
+        tracks["content"].append(power @ hz)
+        flux.append(np.sqrt((np.diff(mag, axis=0, prepend=mag[:1] if last is None else last) ** 2).sum(axis=1))[int(last is None) :])
+        most, share, frames, last = np.maximum(most, power.max(axis=0)), share + exact.sum(axis=0), frames + len(mag), mag[-1:]
+    floor = max(float(most.max()) * 1e-10, np.finfo(np.float64).tiny)
+    for mag in magnitudes(x, size, size // 2):
+        power = mag**2
+        tracks["flat"].append(np.exp(np.log(power + floor).mean(axis=1)) / (power.mean(axis=1) + floor))
+    strong = hz[most > most.max() * 0.001]
+    out = {k: np.concatenate(v) if v else np.zeros(0) for k, v in tracks.items()}
+    pitch, _ = pitch_track(x, rate, 0.3, 600.0)
+    pitch = pitch[pitch > 0]
+    return out | {"flux": np.concatenate(flux) if flux else np.zeros(0), "span": float(strong[-1] - strong[0]) if len(strong) else 0.0, "share_2048": share / frames if frames else None, "size_2048": float(size), "middle_f0": float(np.median(pitch)) if len(pitch) else None}
+
+
+# Noise ---------------------------------------------------------------------------------------------------------------
+
+
+def ratio_db(signal: float, noise: float) -> float:
+    """Of two powers, 100 dB at most; 0 for a silent signal."""
+    return 0.0 if signal <= 0 else 100.0 if noise <= 0 else min(100.0, 10 * math.log10(signal / noise))
+
+
+def spectral_snr(x: np.ndarray, rate: int) -> dict:
+    """Power of the mean spectrum of loud frames against that of the quietest 15 %."""
+    level = [mag.mean(axis=1) for mag in magnitudes(x, 512, 128)]
+    if not level:
+        return {"spectral_snr": None}
+    level = np.concatenate(level)
+    quiet = level <= np.percentile(level, 15)
+    sums, at = np.zeros((2, 257)), 0
+    for mag in magnitudes(x, 512, 128):
+        own = quiet[at : at + len(mag)]
+        sums[0] += mag[own].sum(axis=0)
+        sums[1] += mag[~own].sum(axis=0)
+        at += len(mag)
+    if quiet.all() or not quiet.any() or not (sums[1] > 0).any():
+        return {"spectral_snr": None}
+    noise, signal = sums[0] / quiet.sum(), sums[1] / (~quiet).sum()
+    return {"spectral_snr": ratio_db(float((signal**2).mean()), float((noise**2).mean()))}
+
+
+def periodicity(x: np.ndarray, rate: int) -> dict:
+    """Height of the best correlation between 75 and 500 Hz of each audible frame, corrected for the window, refined by a parabola."""
+    size, hop, low, high = max(int(0.04 * rate), math.ceil(3 * rate / 75)), int(0.01 * rate), max(1, int(rate / 500)), int(rate / 75)
+    if not hop or high + 1 >= size // 2 + 1:
+        return {"periodic": np.zeros(0)}
+    window = np.hanning(size)
+    own = autocorrelations(window, size)
+    own = np.maximum(own / own[0], 1e-12)
+
+    def height(b: np.ndarray) -> np.ndarray:
+        b = b - b.mean(axis=1, keepdims=True)
+        b = b[np.abs(b).max(axis=1) >= 0.005]
+        r = autocorrelations(b * window, size)
+        r = r / r[:, :1] / own
+        lag, row = r[:, low : high + 1].argmax(axis=1) + low if len(r) else np.zeros(0, np.int64), np.arange(len(r))
+        y0, y1, y2 = r[row, lag - 1], r[row, lag], r[row, lag + 1]
+        curve = y0 - 2 * y1 + y2
+        top = np.where(curve < 0, y1 - (y0 - y2) ** 2 / (8 * np.where(curve < 0, curve, -1)), y1)
+        top = np.minimum(top, 1 - 1e-6)
+        return top[top > 0]
+
+    return {"periodic": over(x, size, hop, "open", height)}
+
+
+def dropouts(x: np.ndarray, rate: int) -> dict:
+    """Falls, amid a signal, by 60 dB for 3 ms or more from a level that was within 30 dB of the active one in the 3 ms before."""
+    step = max(1, int(round(0.001 * rate)))
+    n = len(x) // step
+    if n < 3:
+        return {"dropouts": 0.0}
+    level = np.sqrt((x[: n * step].reshape(n, step) ** 2).mean(axis=1))
+    active = float(np.percentile(level, 95))
+    edge = np.diff(np.concatenate(([0], (level <= active * 1e-3).astype(np.int8), [0])))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    inner = (start > 0) & (end < n) & (end - start >= 3)
+    before = np.max([level[np.maximum(start - k, 0)] for k in (1, 2, 3)], axis=0) if len(start) else np.zeros(0)
+    return {"dropouts": float((inner & (before >= active * 10**-1.5)).sum()) if active > 0 else 0.0}
+
+
 # Speech --------------------------------------------------------------------------------------------------------------
 
 
@@ -225,10 +367,10 @@ def pitch_frame(rate: int) -> int:
     return max(int(0.025 * rate), math.ceil(3 * rate / PITCH_LOW))
 
 
-def pitch_track(x: np.ndarray, rate: int, least: float = 0.4) -> tuple[np.ndarray, np.ndarray]:
+def pitch_track(x: np.ndarray, rate: int, least: float = 0.4, highest: float = PITCH_HIGH) -> tuple[np.ndarray, np.ndarray]:
     """Frequency (0 unvoiced) and strength each 10 ms, from autocorrelations corrected for the window, peaks refined by a parabola."""
     size, hop = pitch_frame(rate), int(0.01 * rate)
-    low, high = max(1, int(rate / PITCH_HIGH)), math.ceil(rate / PITCH_LOW)
+    low, high = max(1, int(rate / highest)), math.ceil(rate / PITCH_LOW)
     if not hop or high + 1 >= size:
         return np.zeros(0), np.zeros(0)
     window = np.hanning(size)
@@ -459,8 +601,14 @@ def modulation(x: np.ndarray, rate: int) -> dict:
     return {"syllabic_share": own / (float(power[every].sum()) + EPS), "syllabic_depth": math.sqrt(2 * own) / len(e) / (float(e.mean()) + EPS)}
 
 
-#: Kernels with their columns, and which of these are single numbers.
+#: Kernels with their columns, which of these are single numbers, and which kernels take all channels and not their mean.
 KERNELS: list[tuple[Callable, tuple[str, ...]]] = [
+    (levels, ("channels", "peak", "rms", "offset", "quiet", "clipped", "crossing_rate", "near_clipped", "channel_rms", "channel_peak", "correlation", "width", "level_difference", "time_difference")),
+    (weighted_blocks, ("blocks_400", "blocks_3000", "true_peak")),
+    (spectral_tracks, (*TRACKS, "flux", "span", "share_2048", "size_2048", "middle_f0")),
+    (spectral_snr, ("spectral_snr",)),
+    (periodicity, ("periodic",)),
+    (dropouts, ("dropouts",)),
     (mfcc, ("mfcc_mean", "mfcc_std")),
     (wide_spectra, ("mag_1024", "power_1024", "share_1024", "flux_1024")),
     (short_spectra, ("power_512", "share_512")),
@@ -476,7 +624,9 @@ KERNELS: list[tuple[Callable, tuple[str, ...]]] = [
     (plain_pitch, ("plain_f0", "plain_frames")),
     (modulation, ("syllabic_share", "syllabic_depth")),
 ]
-NUMBERS = ("flux_1024", "mean_square", "speaking_rate", "speech_rate", "tremor_rate", "tremor_depth", "plain_frames", "syllabic_share", "syllabic_depth")
+NUMBERS = (*(c for c in KERNELS[0][1] if c not in ("channel_rms", "channel_peak")), "true_peak", "span", "size_2048", "middle_f0", "spectral_snr", "dropouts", "flux_1024", "mean_square", "speaking_rate", "speech_rate", "tremor_rate", "tremor_depth", "plain_frames", "syllabic_share", "syllabic_depth")
+
+OF_CHANNELS = (levels, weighted_blocks)
 
 
 def recordings(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, int, np.ndarray]]:
@@ -508,7 +658,7 @@ def _row(values: dict) -> pa.RecordBatch:
 
 
 def measured(audio: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
-    """path, sample_rate, seconds and the frame measures asked for (all, if none) of audio rows (path, sample_rate, samples by channel), channels averaged."""
+    """path, sample_rate, seconds and the frame measures asked for (all, if none) of audio rows (path, sample_rate, samples by channel)."""
     known = [c for _, own in KERNELS for c in own]
     wanted = known if columns is None else list(dict.fromkeys(columns))
     if unknown := set(wanted) - set(known):
@@ -520,7 +670,7 @@ def measured(audio: DataFrame, columns: Iterable[str] | None = None) -> DataFram
         for path, rate, x in recordings(batches):
             mono, found = x.mean(axis=0), {}
             for f in chosen:
-                found |= f(mono, rate)
+                found |= f(x if f in OF_CHANNELS else mono, rate)
             yield _row({"path": path, "sample_rate": rate, "seconds": len(mono) / rate} | {k: found[k] for k in names})
 
     schema = ["path string", "sample_rate int", "seconds double", *(f"{c} double" if c in NUMBERS else f"{c} array<double>" for c in names)]

@@ -6,30 +6,43 @@ out, as is everything of a group that rests on a pitch if fewer than four frames
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import voice
-from .frames import measured
-from .signal import bound, longest_run, mean, power_db, total
+from .frames import KERNELS, TRACKS, measured
+from .signal import bound, centred, dot, gated_lufs, longest_run, lufs, mean, power_db, total
 from .voice import clip, percentile, slope
 
 METRIC = "struct<grp:string,name:string,value:double,unit:string,higher_is_better:boolean,ref_lo:double,ref_hi:double,warning:string>"
 
 
-def metric(group: str, name: str, value: Column, unit: str = "", higher: bool | None = None, bounds: tuple[float | None, float | None] = (None, None), warning: Column | None = None) -> Column:
-    """A metric, or null if it has no value."""
-    own = F.struct(F.lit(group).alias("grp"), F.lit(name).alias("name"), value.cast("double").alias("value"), F.lit(unit).alias("unit"), F.lit(higher).cast("boolean").alias("higher_is_better"), F.lit(bounds[0]).cast("double").alias("ref_lo"), F.lit(bounds[1]).cast("double").alias("ref_hi"), (F.lit(None) if warning is None else warning).cast("string").alias("warning"))
-    return F.when(value.isNotNull() & ~F.isnan(value.cast("double")), own)
+class Metric(NamedTuple):
+    """A metric of a group; `warning` makes its text of the metric's own value."""
+
+    name: str
+    value: Column
+    unit: str = ""
+    higher: bool | None = None
+    bounds: tuple[float | None, float | None] = (None, None)
+    warning: Callable[[Column], Column] | None = None
+
+    def row(self, group: str, value: Column) -> Column:
+        """The metric with an own column's value, or null if that is missing."""
+        warning = F.lit(None) if self.warning is None else self.warning(value)
+        own = F.struct(F.lit(group).alias("grp"), F.lit(self.name).alias("name"), value.alias("value"), F.lit(self.unit).alias("unit"), F.lit(self.higher).cast("boolean").alias("higher_is_better"), F.lit(self.bounds[0]).cast("double").alias("ref_lo"), F.lit(self.bounds[1]).cast("double").alias("ref_hi"), warning.cast("string").alias("warning"))
+        return F.when(value.isNotNull() & ~F.isnan(value), own)
 
 
 def rounded(x: Column, digits: int) -> Column:
     return F.round(x, digits)
 
 
-def bin_sum(spectrum: Column, size: int, low: float, high: float | Column, closed: bool = False) -> Column:
+def bin_sum(spectrum: Column, size: int | Column, low: float, high: float | Column, closed: bool = False) -> Column:
     """Sum of the bins of a spectrum of `size` points whose frequencies lie from `low` to `high`, the latter included if `closed`."""
     step = F.col("sample_rate") / size
 
@@ -50,9 +63,135 @@ def share_of(flags: Column) -> Column:
     return F.try_divide(F.size(F.filter(flags, lambda f: f)).cast("double"), F.size(flags).cast("double"))
 
 
+def decibels(x: Column) -> Column:
+    return F.when(x > 0, 20 * F.log10(x))
+
+
 # Groups --------------------------------------------------------------------------------------------------------------
 
 
+def basic() -> list[Metric]:
+    peak, level = decibels(F.col("peak")), decibels(F.col("rms"))
+    return [
+        Metric("Duration", F.col("seconds"), "s"),
+        Metric("Sample Rate", F.col("sample_rate"), "Hz"),
+        Metric("Channels", F.col("channels")),
+        Metric("Peak Amplitude", F.col("peak"), higher=False, bounds=(0.0, 0.99)),
+        Metric("Peak Level", peak, "dBFS", higher=False, bounds=(-3.0, 0.0), warning=lambda v: F.when(v >= 20 * math.log10(0.999), "Clipping risk").when(v < -18, "Low level")),
+        Metric("RMS Level", level, "dBFS", bounds=(-20.0, -9.0)),
+        Metric("Crest Factor", peak - level, "dB"),
+        Metric("DC Offset", F.col("offset"), higher=False, warning=lambda v: F.when(F.abs(v) > 0.01, "DC offset")),
+        Metric("Silence Ratio", 100 * F.col("quiet"), "%", warning=lambda v: F.when(v > 50, "Mostly silence")),
+        Metric("Dynamic Range (simple)", peak - level, "dB"),
+        Metric("Clipping Detected", F.col("clipped"), higher=False, warning=lambda v: F.when(v > 0, "Clipping")),
+        Metric("Zero Crossing Rate", F.col("crossing_rate"), "crossings/sample"),
+        Metric("Stereo Phase Correlation", F.col("correlation"), bounds=(-0.2, 1.0), warning=lambda v: F.when(v < 0, "Phase problems")),
+        Metric("Stereo Width", F.col("width"), bounds=(0.1, 0.8)),
+        Metric("Interaural Level Difference (ILD)", F.col("level_difference"), "dB", higher=False, warning=lambda v: F.when(F.abs(v) > 6, "Unequal channels")),
+        Metric("Interaural Time Difference (ITD)", F.col("time_difference"), "ms", higher=False),
+    ]
+
+
+def channel_levels() -> Column:
+    """An array of metrics, two levels for each channel of several; empty for a single one."""
+
+    def one(kind: str, column: str) -> Column:
+        none = F.lit(None)
+        name = lambda i: F.concat(F.lit("Channel "), (i + 1).cast("string"), F.lit(f" {kind} Level"))
+        several = F.when(F.size(column) > 1, F.col(column)).otherwise(F.array().cast("array<double>"))
+        return F.transform(several, lambda v, i: F.struct(F.lit("basic").alias("grp"), name(i).alias("name"), decibels(v).alias("value"), F.lit("dBFS").alias("unit"), none.cast("boolean").alias("higher_is_better"), none.cast("double").alias("ref_lo"), none.cast("double").alias("ref_hi"), none.cast("string").alias("warning")))
+
+    return F.filter(F.concat(one("RMS", "channel_rms"), one("Peak", "channel_peak")).cast(f"array<{METRIC}>"), lambda m: m["value"].isNotNull())
+
+
+def above_gates(blocks: Column, relative: float) -> Column:
+    """Loudness of the blocks above -70 LUFS and, of these, above their mean less a relative gate."""
+    loud = F.filter(blocks, lambda z: (z > 0) & (lufs(z) > -70.0))
+    return bound(loud, lambda a: bound(lufs(mean(a)) + relative, lambda gate: F.filter(F.transform(a, lufs), lambda v: v > gate)))
+
+
+def loudness() -> list[Metric]:
+    level = F.col("gated_level")
+    wide = above_gates(F.col("blocks_3000"), -20.0)
+    spread = bound(wide, lambda v: F.when(F.size(v) >= 2, percentile(v, 0.95) - percentile(v, 0.1)))
+    peak = decibels(F.col("true_peak"))
+    beyond = lambda platform, tolerance: lambda d: F.when(F.abs(d) > tolerance, F.concat(F.format_string("%.1f", F.abs(d)), F.lit(" LU "), F.when(d > 0, "above").otherwise("below"), F.lit(f" {platform} target")))
+    deltas = [Metric(f"Loudness Delta vs {platform}", F.round(level - target, 2), "LU", bounds=(-tolerance, tolerance), warning=beyond(platform, tolerance)) for platform, target, tolerance in voice.LOUDNESS_TARGETS]
+    return [
+        Metric("Integrated Loudness (LUFS)", level, "LUFS", bounds=(-16.0, -14.0), warning=lambda v: F.when(v > -14, "Above streaming targets").when(v < -18, "Below streaming targets")),
+        Metric("Loudness Range (LRA)", spread, "LU", bounds=(5.0, 15.0)),
+        Metric("Max Short-Term Loudness", lufs(F.array_max("blocks_3000")), "LUFS"),
+        Metric("True Peak", peak, "dBTP", higher=False, warning=lambda v: F.when(v > -1, "True peak above -1 dBTP")),
+        *deltas,
+    ]
+
+
+def spectral() -> list[Metric]:
+    bands = [("Sub-Bass (20–80 Hz)", 20, 80), ("Bass (80–300 Hz)", 80, 300), ("Low-Mid (300–2000 Hz)", 300, 2000), ("Presence (2–6 kHz)", 2000, 6000), ("Air (6–20 kHz)", 6000, 20000)]
+    return [
+        Metric("Spectral Centroid", mean(F.col("centroid")), "Hz"),
+        Metric("Spectral Bandwidth", mean(F.col("spread")), "Hz"),
+        Metric("Spectral Rolloff (95%)", mean(F.col("rolloff")), "Hz"),
+        Metric("Spectral Flatness", power_db(mean(F.col("flat"))), "dB"),
+        Metric("Spectral Flux", F.coalesce(mean(F.col("flux")), F.lit(0.0))),
+        Metric("Spectral Skewness", mean(F.col("skewness"))),
+        Metric("Spectral Entropy", mean(F.col("entropy")), "bits"),
+        Metric("Effective Bandwidth", F.col("span"), "Hz"),
+        Metric("Estimated Fundamental (F0)", F.col("middle_f0"), "Hz"),
+        *(Metric(f"Band Energy: {name}", 100 * bin_sum(F.col("share_2048"), F.col("size_2048"), low, high), "%") for name, low, high in bands),
+        Metric("High-Frequency Content (HFC)", mean(F.col("content"))),
+    ]
+
+
+def pauses(active: Column, hop: Column) -> Column:
+    """struct<n, total, longest> of the inactive runs of over 100 ms that an active frame ends."""
+    start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("n"), F.lit(0.0).alias("total"), F.lit(0.0).alias("longest"))
+
+    def step(s: Column, a: Column) -> Column:
+        seconds = s["run"] * hop
+        long = a & (seconds > 0.1)
+        return F.struct(F.when(a, 0).otherwise(s["run"] + 1).alias("run"), (s["n"] + long.cast("int")).alias("n"), (s["total"] + F.when(long, seconds).otherwise(0.0)).alias("total"), F.when(long, F.greatest(s["longest"], seconds)).otherwise(s["longest"]).alias("longest"))
+
+    return F.aggregate(active, start, step)
+
+
+def temporal() -> list[Metric]:
+    any_frame = F.size("energy") > 0
+    hop = F.floor(F.col("sample_rate") * 0.01) / F.col("sample_rate")
+    active, rest = F.col("active"), F.col("rests")
+    attack = bound(F.array_max("energy"), lambda p: F.array_position(F.transform("energy", lambda e: e >= 0.9 * p), True) - 1)
+    variance = lambda x: bound(centred(x), lambda c: F.try_divide(dot(c, c), F.size(c).cast("double")))
+    centre = F.coalesce(F.try_divide(total(F.transform("energy", lambda e, i: e * i * hop)), total(F.col("energy"))), F.lit(0.0))
+    only = lambda c: F.when(any_frame, c)
+    return [
+        Metric("Speech/Activity Ratio", only(100 * share_of(active)), "%", bounds=(30.0, 80.0)),
+        Metric("Attack Time", only(1000 * attack * hop), "ms"),
+        Metric("Temporal Centroid", only(centre), "s"),
+        Metric("Num Pauses (>100ms)", only(rest["n"])),
+        Metric("Mean Pause Duration", only(F.coalesce(F.try_divide(rest["total"], rest["n"].cast("double")), F.lit(0.0))), "s"),
+        Metric("Max Pause Duration", only(rest["longest"]), "s"),
+        Metric("Energy Variance", only(variance(F.col("frame_level"))), "dB²"),
+        Metric("ZCR Mean", only(mean(F.col("crossings"))), "crossings/sample"),
+        Metric("ZCR Variance", only(variance(F.col("crossings")))),
+    ]
+
+
+def noise() -> list[Metric]:
+    any_frame = F.size("energy") > 0
+    only = lambda c: F.when(any_frame, c)
+    floor, signal = F.col("floor_energy"), F.col("loud_energy")
+    snr = F.when(signal > 0, F.when(floor <= 0, 100.0).otherwise(F.least(F.lit(100.0), 10 * F.log10(signal / floor))))
+    hnr = percentile(F.transform("periodic", lambda r: 10 * F.log10(r / (1 - r))), 0.5)
+    return [
+        Metric("Estimated Noise Floor", power_db(floor), "dBFS", higher=False),
+        Metric("Estimated SNR", snr, "dB", higher=True, bounds=(20.0, 40.0), warning=lambda v: F.when(v < 15, "Low SNR")),
+        Metric("Spectral SNR", only(F.col("spectral_snr")), "dB", higher=True),
+        Metric("Harmonic-to-Noise Ratio (HNR)", only(hnr), "dB", higher=True, bounds=(15.0, 30.0), warning=lambda v: F.when(v < 10, "Noisy voice")),
+        Metric("Near-Clipped Samples", only(F.col("near_clipped")), "samples", higher=False, warning=lambda v: F.when(v > 5, "Clipping")),
+        Metric("Detected Dropouts", only(F.col("dropouts")), higher=False, warning=lambda v: F.when(v > 0, "Dropouts")),
+    ]
+
+
 def voiced_share() -> Column:
     """Of the frames with energy, those with few sign changes."""
     pairs = F.filter(F.arrays_zip(F.col("energy").alias("e"), F.col("crossings").alias("z")), lambda p: p["e"] > 1e-4)
@@ -67,17 +206,16 @@ def band_snr() -> Column:
     return power_db(F.try_divide(mean(own), mean(other)))
 
 
-def speech() -> list[Column]:
-    m = lambda *a, **k: metric("speech", *a, **k)
+def speech() -> list[Metric]:
     level = voice.active_level_of(F.col("energy_30"), 20)
     regions = [("F1-Region Energy (300–1000 Hz)", 300, 1000), ("F2-Region Energy (1–2.5 kHz)", 1000, 2500), ("F3-Region Energy (2.5–3.5 kHz)", 2500, 3500)]
     return [
-        *(m(f"MFCC-{i + 1} {kind}", F.get(f"mfcc_{kind.lower()}", F.lit(i))) for kind in ("Mean", "Std") for i in range(13)),
-        *(m(name, 100 * bin_sum(F.col("share_1024"), 1024, low, high), "%") for name, low, high in regions),
-        m("Voiced/Unvoiced Ratio", voiced_share()),
-        m("Estimated Speaking Rate", F.col("speaking_rate"), "syllables/s"),
-        m("Active Speech Level (ASL)", level, "dBFS", warning=F.when(level < -30, "Quiet speech").when(level > -14, "Loud speech")),
-        m("Speech-Band SNR (300 Hz – 3.4 kHz)", band_snr(), "dB", higher=True, bounds=(15.0, 35.0)),
+        *(Metric(f"MFCC-{i + 1} {kind}", F.get(f"mfcc_{kind.lower()}", F.lit(i))) for kind in ("Mean", "Std") for i in range(13)),
+        *(Metric(name, 100 * bin_sum(F.col("share_1024"), 1024, low, high), "%") for name, low, high in regions),
+        Metric("Voiced/Unvoiced Ratio", voiced_share()),
+        Metric("Estimated Speaking Rate", F.col("speaking_rate"), "syllables/s"),
+        Metric("Active Speech Level (ASL)", level, "dBFS", warning=lambda v: F.when(v < -30, "Quiet speech").when(v > -14, "Loud speech")),
+        Metric("Speech-Band SNR (300 Hz – 3.4 kHz)", band_snr(), "dB", higher=True, bounds=(15.0, 35.0)),
     ]
 
 
@@ -94,38 +232,34 @@ def noise_to_harmonics(f0: Column) -> Column:
     return bound(F.col("power_1024"), own)
 
 
-def prosody() -> list[Column]:
-    m = lambda *a, **k: metric("prosody", *a, **k)
-    f0 = F.filter("f0", lambda f: f > 0)
+def prosody() -> list[Metric]:
+    f0, average, spread = F.col("voiced_f0"), F.col("f0_mean"), F.col("f0_std")
     enough = F.size(f0) >= 4
     only = lambda c: F.when(enough, c)
-    average = mean(f0)
-    spread = F.sqrt(bound(f0, lambda v: mean(F.transform(v, lambda f: f * f)) - mean(v) * mean(v)))
-    spread = F.coalesce(F.nanvl(spread, F.lit(0.0)), F.when(enough, 0.0))
     hop = F.floor(F.col("sample_rate") * 0.01) / F.col("sample_rate")
     times = F.filter(F.transform("f0", lambda f, i: F.when(f > 0, i * hop)), lambda t: t.isNotNull())
     j, s = voice.jitter(F.col("f0")), voice.shimmer(F.col("levels"))
     out = [
-        m("Voiced Frame Ratio", F.coalesce(rounded(100 * F.try_divide(F.size(f0).cast("double"), F.size("f0").cast("double")), 2), F.lit(0.0)), "%"),
-        m("F0 Mean", only(rounded(average, 2)), "Hz"),
-        m("F0 Std", only(rounded(spread, 2)), "Hz"),
-        m("F0 Min", only(rounded(F.array_min(f0), 2)), "Hz"),
-        m("F0 Max", only(rounded(F.array_max(f0), 2)), "Hz"),
-        m("F0 Range", only(rounded(F.array_max(f0) - F.array_min(f0), 2)), "Hz"),
-        m("Pitch Variability (CV)", only(rounded(100 * spread / average, 2)), "%", bounds=(10.0, 40.0)),
-        m("F0 Slope", only(rounded(slope(times, f0), 3)), "Hz/s"),
+        Metric("Voiced Frame Ratio", F.coalesce(rounded(100 * F.try_divide(F.size(f0).cast("double"), F.size("f0").cast("double")), 2), F.lit(0.0)), "%"),
+        Metric("F0 Mean", only(rounded(average, 2)), "Hz"),
+        Metric("F0 Std", only(rounded(spread, 2)), "Hz"),
+        Metric("F0 Min", only(rounded(F.array_min(f0), 2)), "Hz"),
+        Metric("F0 Max", only(rounded(F.array_max(f0), 2)), "Hz"),
+        Metric("F0 Range", only(rounded(F.array_max(f0) - F.array_min(f0), 2)), "Hz"),
+        Metric("Pitch Variability (CV)", only(rounded(100 * spread / average, 2)), "%", bounds=(10.0, 40.0)),
+        Metric("F0 Slope", only(rounded(slope(times, f0), 3)), "Hz/s"),
     ]
     for label, key, values, limit in [("Jitter (Local)", "local", j, 1.0), ("Jitter (RAP)", "rap", j, 0.68), ("Jitter (PPQ5)", "ppq5", j, 0.84), ("Jitter (DDP)", "ddp", j, 2.0), ("Shimmer (Local)", "local", s, 3.0), ("Shimmer (APQ3)", "apq3", s, 3.07), ("Shimmer (APQ5)", "apq5", s, 4.23), ("Shimmer (DDA)", "dda", s, 9.0)]:
         value = only(100 * values[key])
-        out.append(m(label, rounded(value, 4), "%", higher=False, bounds=(0.0, limit), warning=F.when(value > limit, f"Above {limit:g} %") if key == "local" else None))
+        out.append(Metric(label, rounded(value, 4), "%", higher=False, bounds=(0.0, limit), warning=(lambda v, limit=limit: F.when(v > limit, f"Above {limit:g} %")) if key == "local" else None))
     nhr = only(noise_to_harmonics(average))
     rate = F.when(F.size(f0) >= 20, F.col("tremor_rate"))
     return [
         *out,
-        m("NHR (Noise-to-Harmonics Ratio)", rounded(nhr, 6), higher=False, bounds=(0.0, 0.19), warning=F.when(nhr > 0.19, "Noisy voice")),
-        m("Tremor Rate", rounded(rate, 2), "Hz", warning=F.when(rate.between(4.0, 7.0), "Tremor")),
-        m("Tremor Depth", rounded(F.when(rate.isNotNull(), F.col("tremor_depth")), 4), "Hz²"),
-        m("Estimated Speech Rate", rounded(F.col("speech_rate"), 2), "syll/s", bounds=(3.0, 7.0)),
+        Metric("NHR (Noise-to-Harmonics Ratio)", rounded(nhr, 6), higher=False, bounds=(0.0, 0.19), warning=lambda v: F.when(v > 0.19, "Noisy voice")),
+        Metric("Tremor Rate", rounded(rate, 2), "Hz", warning=lambda v: F.when(v.between(4.0, 7.0), "Tremor")),
+        Metric("Tremor Depth", rounded(F.when(rate.isNotNull(), F.col("tremor_depth")), 4), "Hz²"),
+        Metric("Estimated Speech Rate", rounded(F.col("speech_rate"), 2), "syll/s", bounds=(3.0, 7.0)),
     ]
 
 
@@ -194,21 +328,19 @@ def harmonicity(f0: Column) -> Column:
     return bound(F.transform("mag_4096", lambda v: v * v), own)
 
 
-def psychoacoustic() -> list[Column]:
-    m = lambda *a, **k: metric("psychoacoustic", *a, **k)
-    partials = lambda n: top_partials(F.col("partials"), 2048, n)
-    rough = pair_sum(partials(50), lambda a, b: voice.roughness(a["hz"], b["hz"], a["amp"], b["amp"]))
-    clash = pair_sum(partials(30), lambda a, b: voice.dissonance(F.least(a["hz"], b["hz"]), F.greatest(a["hz"], b["hz"]), a["amp"], b["amp"]))
-    flat = mean(F.col("flatness"))
-    f0 = cepstral_pitch()
+def psychoacoustic() -> list[Metric]:
+    partials = F.col("top_partials")
+    rough = pair_sum(partials, lambda a, b: voice.roughness(a["hz"], b["hz"], a["amp"], b["amp"]))
+    clash = pair_sum(F.slice(partials, F.greatest(F.size(partials) - 29, F.lit(1)), F.lit(30)), lambda a, b: voice.dissonance(F.least(a["hz"], b["hz"]), F.greatest(a["hz"], b["hz"]), a["amp"], b["amp"]))
+    flat, f0 = F.col("mean_flatness"), F.col("cepstral_f0")
     return [
-        m("Roughness", rounded(rough, 4), "asper (rel.)", higher=False),
-        m("Sensory Dissonance", rounded(F.greatest(clash, F.lit(0.0)), 4), "(rel.)", higher=False),
-        m("Sharpness", rounded(sharpness(), 4), "acum"),
-        m("Spectral Flatness (SFM)", rounded(flat, 4), "0–1"),
-        m("Tonality", rounded(F.greatest(F.lit(0.0), 1 - flat), 4), "0–1"),
-        m("F0 (cepstral estimate)", rounded(F.when(F.col("mag_4096").isNotNull(), f0), 2), "Hz"),
-        m("Harmonicity", rounded(F.when(f0.isNotNull(), bound(f0, harmonicity)), 4), "0–1", higher=True),
+        Metric("Roughness", rounded(rough, 4), "asper (rel.)", higher=False),
+        Metric("Sensory Dissonance", rounded(F.greatest(clash, F.lit(0.0)), 4), "(rel.)", higher=False),
+        Metric("Sharpness", rounded(sharpness(), 4), "acum"),
+        Metric("Spectral Flatness (SFM)", rounded(flat, 4), "0–1"),
+        Metric("Tonality", rounded(F.greatest(F.lit(0.0), 1 - flat), 4), "0–1"),
+        Metric("F0 (cepstral estimate)", rounded(f0, 2), "Hz"),
+        Metric("Harmonicity", rounded(F.when(f0.isNotNull(), harmonicity(f0)), 4), "0–1", higher=True),
     ]
 
 
@@ -219,22 +351,53 @@ def tilt() -> Column:
     return bound(at, lambda b: F.when((F.size(b) >= 4) & (total(F.transform(b, lambda v: v["p"])) >= 1e-14), slope(F.transform(b, lambda v: F.log2(v["hz"] + 1e-14)), F.transform(b, lambda v: 10 * F.log10(v["p"] + 1e-14)))))
 
 
-def speaker() -> list[Column]:
-    m = lambda *a, **k: metric("speaker", *a, **k)
-    cpp = mean(F.col("prominence"))
+def speaker() -> list[Metric]:
+    cpp = F.col("mean_prominence")
     breath = voice.breathiness(cpp)
     creak = F.try_divide(F.size(F.filter("slow_f0", lambda f: (f > 0) & (f < 80))).cast("double"), F.size("slow_f0").cast("double"))
     return [
-        *(m(f"F{k} (Formant Frequency)", rounded(F.when(F.size(f"f{k}") >= 5, percentile(F.col(f"f{k}"), 0.5)), 1), "Hz") for k in range(1, 5)),
-        m("Spectral Tilt", rounded(tilt(), 2), "dB/oct"),
-        m("Cepstral Peak Prominence (CPP)", rounded(cpp, 4), "dB", higher=True, bounds=(17.0, 35.0), warning=F.when(cpp < 16, "Breathy or noisy voice")),
-        m("Breathiness Index", rounded(F.when(cpp.isNotNull(), breath), 4), "0–1", higher=False, warning=F.when(breath > 0.6, "Breathy voice")),
-        m("Creakiness (Vocal Fry) Ratio", rounded(100 * creak, 2), "%", higher=False),
+        *(Metric(f"F{k} (Formant Frequency)", rounded(F.when(F.size(f"f{k}") >= 5, percentile(F.col(f"f{k}"), 0.5)), 1), "Hz") for k in range(1, 5)),
+        Metric("Spectral Tilt", rounded(tilt(), 2), "dB/oct"),
+        Metric("Cepstral Peak Prominence (CPP)", rounded(cpp, 4), "dB", higher=True, bounds=(17.0, 35.0), warning=lambda v: F.when(v < 16, "Breathy or noisy voice")),
+        Metric("Breathiness Index", rounded(F.when(cpp.isNotNull(), breath), 4), "0–1", higher=False, warning=lambda v: F.when(v > 0.6, "Breathy voice")),
+        Metric("Creakiness (Vocal Fry) Ratio", rounded(100 * creak, 2), "%", higher=False),
+    ]
+
+
+def prepared() -> list[dict[str, Column]]:
+    """Values that several metrics share, in the order in which they rest on each other."""
+    hop = F.floor(F.col("sample_rate") * 0.01) / F.col("sample_rate")
+    voiced = F.filter("f0", lambda f: f > 0)
+    spread = lambda f: F.sqrt(F.greatest(F.lit(0.0), mean(F.transform(f, lambda v: (v - F.col("f0_mean")) * (v - F.col("f0_mean"))))))
+    beside = lambda share, keep: bound(percentile(F.col("energy"), share), lambda p: mean(F.filter("energy", lambda e: keep(e, p))))
+    return [
+        {
+            "gated_level": gated_lufs(F.col("blocks_400")),
+            "frame_level": F.transform("energy", lambda e: F.when(e > 0, 10 * F.log10(e + 2.0**-52)).otherwise(-120.0)),
+            "floor_energy": beside(0.1, lambda e, p: e <= p),
+            "loud_energy": beside(0.5, lambda e, p: e >= p),
+            "voiced_f0": voiced,
+            "top_partials": top_partials(F.col("partials"), 2048, 50),
+            "mean_flatness": mean(F.col("flatness")),
+            "cepstral_f0": F.when(F.col("mag_4096").isNotNull(), cepstral_pitch()),
+            "mean_prominence": mean(F.col("prominence")),
+        },
+        {"active_from": F.greatest(percentile(F.col("frame_level"), 0.3), F.lit(-50.0)), "f0_mean": mean(F.col("voiced_f0"))},
+        {"active": F.transform("frame_level", lambda v: v > F.col("active_from")), "f0_std": spread(F.col("voiced_f0"))},
+        {"rests": pauses(F.col("active"), hop)},
     ]
 
 
+#: What each shared value rests on.
+RESTS_ON = {"gated_level": "blocks_400", "frame_level": "energy", "floor_energy": "energy", "loud_energy": "energy", "voiced_f0": "f0", "top_partials": "partials", "mean_flatness": "flatness", "cepstral_f0": "cepstrum", "mean_prominence": "prominence", "active_from": "frame_level", "f0_mean": "voiced_f0", "active": "active_from", "f0_std": "f0_mean", "rests": "active"}
+
 #: Groups with the measures that they need.
-GROUPS: dict[str, tuple[Callable[[], list[Column]], tuple[str, ...]]] = {
+GROUPS: dict[str, tuple[Callable[[], list[Metric]], tuple[str, ...]]] = {
+    "basic": (basic, KERNELS[0][1]),
+    "loudness": (loudness, ("blocks_400", "blocks_3000", "true_peak")),
+    "spectral": (spectral, (*TRACKS, "flux", "span", "share_2048", "size_2048", "middle_f0")),
+    "temporal": (temporal, ("energy", "crossings")),
+    "noise": (noise, ("energy", "spectral_snr", "periodic", "near_clipped", "dropouts")),
     "speech": (speech, ("mfcc_mean", "mfcc_std", "share_1024", "energy", "crossings", "speaking_rate", "energy_30", "power_512")),
     "prosody": (prosody, ("f0", "levels", "power_1024", "tremor_rate", "tremor_depth", "speech_rate")),
     "psychoacoustic": (psychoacoustic, ("partials", "power_4096", "flatness", "mag_4096", "cepstrum")),
@@ -242,18 +405,24 @@ GROUPS: dict[str, tuple[Callable[[], list[Column]], tuple[str, ...]]] = {
 }
 
 
-def voice_metrics(audio: DataFrame, groups: Iterable[str] = tuple(GROUPS)) -> DataFrame:
+def metrics(audio: DataFrame, groups: Iterable[str] = tuple(GROUPS)) -> DataFrame:
     """path, metrics (array) of the chosen groups for audio rows (path, sample_rate, samples by channel)."""
     wanted = list(dict.fromkeys(groups))
     if unknown := set(wanted) - set(GROUPS):
         raise ValueError(f"unknown groups {sorted(unknown)}; choose from {sorted(GROUPS)}")
-    columns = [c for g in wanted for c in GROUPS[g][1]]
-    return measured(audio, columns).select("path", *(F.array_compact(F.array(*GROUPS[g][0]())).alias(g) for g in wanted)).select("path", F.concat(*wanted).cast(f"array<{METRIC}>").alias("metrics"))
+    m = measured(audio, [c for g in wanted for c in GROUPS[g][1]])
+    for step in prepared():
+        m = m.withColumns({k: c for k, c in step.items() if RESTS_ON[k] in m.columns})
+    own = [(g, k, one) for g in wanted for k, one in enumerate(GROUPS[g][0]())]
+    levels = [channel_levels().alias("channel_levels")] if "basic" in wanted else []
+    values = m.select("path", *levels, *(one.value.cast("double").alias(f"{g}_{k}") for g, k, one in own))  # columns, as a struct's fields would be written out at each use
+    rows = F.array_compact(F.array(*(one.row(g, F.col(f"{g}_{k}")) for g, k, one in own))).cast(f"array<{METRIC}>")
+    return values.select("path", (F.concat(rows, "channel_levels") if levels else rows).alias("metrics"))
 
 
-def voice_facts(audio: DataFrame, groups: Iterable[str] = tuple(GROUPS)) -> DataFrame:
+def metric_facts(audio: DataFrame, groups: Iterable[str] = tuple(GROUPS)) -> DataFrame:
     """A row a metric: path, pos, grp, name, value, unit, higher_is_better, ref_lo, ref_hi, warning."""
-    own = voice_metrics(audio, groups).select("path", F.posexplode("metrics").alias("pos", "m"))
+    own = metrics(audio, groups).select("path", F.posexplode("metrics").alias("pos", "m"))
     return own.select("path", "pos", "m.*")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import views
 from .constants import DIRECTION, FEATURES, SUGGESTIONS
-from .functions import audio, signal
+from .functions import groups, signal
 from .operators import audit, baseline, calibration, diff, features, governance, insights, reports, rules, scorecard, sinks
 from .plans.presets import preset_rules, rules_table
 from .streaming import watch
@@ -597,12 +597,60 @@ def audio_rows(spark, sf_dir):
 
 @query()
 def audio_metrics(spark, sf_dir):
-    return audio.metric_facts(audio_rows(spark, sf_dir))
+    return groups.metric_facts(audio_rows(spark, sf_dir))
+
+
+CLIPS_SQL = f"select concat(label, '-', clip) as path, flatten(list(samples order by vec_id)) as x from (select *, floor(vec_id / 64)::int as clip from ({WAVE_SQL})) group by label, clip"
+BASIC_SQL = f"""
+with c as (select path, list_transform(x, lambda v: v::float::double) as x from ({CLIPS_SQL})),
+m as (select *, len(x) as n, list_max(list_transform(x, lambda v: abs(v))) as peak, sqrt(list_dot_product(x, x) / len(x)) as rms from c),
+v as (select *, unnest([
+  struct_pack(name := 'Duration', value := n / 4000), struct_pack(name := 'Sample Rate', value := 4000.0::double), struct_pack(name := 'Channels', value := 1.0::double), struct_pack(name := 'Peak Amplitude', value := peak),
+  struct_pack(name := 'Peak Level', value := 20 * log10(peak)), struct_pack(name := 'RMS Level', value := 20 * log10(rms)), struct_pack(name := 'Crest Factor', value := 20 * log10(peak / rms)), struct_pack(name := 'Dynamic Range (simple)', value := 20 * log10(peak / rms)),
+  struct_pack(name := 'DC Offset', value := list_sum(x) / n), struct_pack(name := 'Silence Ratio', value := 100 * len(list_filter(x, lambda s: abs(s) < 0.001)) / n), struct_pack(name := 'Clipping Detected', value := (peak >= 0.999)::int::double),
+  struct_pack(name := 'Zero Crossing Rate', value := len(list_filter(range(1, n), lambda i: sign(x[i]) <> sign(x[i + 1]))) / (n - 1))]) as m from m)
+select path, m.name as name, round(m.value, 6) as value from v
+"""
+
+
+@query(BASIC_SQL)
+def audio_basic(spark, sf_dir):
+    """The group that needs no transform, value by value."""
+    f = groups.metric_facts(audio_rows(spark, sf_dir), ["basic"])
+    return f.select("path", "name", F.round("value", 6).alias("value"))
+
+
+TEMPORAL_SQL = f"""
+with c as (select path, list_transform(x, lambda v: v::float::double) as x from ({CLIPS_SQL})),
+f as (select path, i, list_slice(x, i * 40 + 1, i * 40 + 100) as f from (select *, unnest(range(0, ((len(x) - 100 + 39) // 40))) as i from c)),
+e as (select path, i, list_dot_product(f, f) / 100 as e, len(list_filter(range(1, 100), lambda k: sign(f[k]) <> sign(f[k + 1]))) / 99 as z from f),
+d as (select *, case when e > 0 then 10 * log10(e + 2.220446049250313e-16) else -120 end as db from e),
+g as (select *, db > greatest(quantile_cont(db, 0.3) over (partition by path), -50) as act, max(e) over (partition by path) as most from d),
+r as (select *, sum(act::int) over (partition by path order by i) as run from g),
+p as (select path, run, count(*) * 0.01 as seconds from r where not act and run < (select max(run) from r x where x.path = r.path) group by path, run),
+q as (select path, count(*) as n, avg(seconds) as mean, max(seconds) as longest from p where round(seconds, 6) > 0.1 group by path),
+s as (select path, 100 * avg(act::int) as active, 1000 * min(i * 0.01) filter (where e >= 0.9 * most) as attack, sum(e * i * 0.01) / sum(e) as centre, var_pop(db) as spread, avg(z) as z, var_pop(z) as zv from g group by path),
+v as (select path, unnest([struct_pack(name := 'Speech/Activity Ratio', value := active), struct_pack(name := 'Attack Time', value := attack), struct_pack(name := 'Temporal Centroid', value := centre), struct_pack(name := 'Num Pauses (>100ms)', value := coalesce(n, 0)::double), struct_pack(name := 'Mean Pause Duration', value := coalesce(mean, 0)), struct_pack(name := 'Max Pause Duration', value := coalesce(longest, 0)), struct_pack(name := 'Energy Variance', value := spread), struct_pack(name := 'ZCR Mean', value := z), struct_pack(name := 'ZCR Variance', value := zv)]) as m from s left join q using (path))
+select path, m.name as name, round(m.value, 4) as value from v
+"""
+
+
+@query(TEMPORAL_SQL)
+def audio_temporal(spark, sf_dir):
+    """Activity, pauses and sign changes of frames."""
+    f = groups.metric_facts(audio_rows(spark, sf_dir), ["temporal"])
+    return f.select("path", "name", F.round("value", 4).alias("value"))
+
+
+@query()
+def audio_content(spark, sf_dir):
+    """The content vote on audio: cues, confidence and type of each clip."""
+    return groups.content(audio_rows(spark, sf_dir)).select("path", "cues.*", "confidence", "is_speech", "content_type", "f0_hz", "speech_fraction")
 
 
 @query()
 def audio_scorecard(spark, sf_dir):
-    f = audio.metric_facts(audio_rows(spark, sf_dir)).withColumn("source_key", F.col("path")).withColumn("segment_index", F.lit(1)).where("value is not null")
+    f = groups.metric_facts(audio_rows(spark, sf_dir)).withColumn("source_key", F.col("path")).withColumn("segment_index", F.lit(1)).where("value is not null")
     return scorecard.rollup(f)
 
 from . import report_queries, voice_queries  # noqa: E402, F401  register their queries

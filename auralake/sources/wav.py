@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..streaming.watch import supported
 
+SAMPLES = pa.list_(pa.list_(pa.float32()))
 AUDIO = "path string, sample_rate int, channels int, bit_depth int, samples array<array<float>>, error string"
 
 
@@ -50,6 +51,13 @@ def encode(samples: np.ndarray, rate: int) -> bytes:
     return out.getvalue()
 
 
+def samples_of(x: np.ndarray) -> pa.ListArray:
+    """One row of samples by channel, on numpy's own buffer."""
+    channels, n = x.shape
+    inner = pa.ListArray.from_arrays(pa.array(np.arange(channels + 1) * n, pa.int32()), pa.array(np.ascontiguousarray(x).ravel(), pa.float32()))
+    return pa.ListArray.from_arrays(pa.array([0, channels], pa.int32()), inner)
+
+
 def decoded(files: DataFrame) -> DataFrame:
     """Audio rows of (path, content); a file that can't be read has an error and no samples."""
 
@@ -59,11 +67,11 @@ def decoded(files: DataFrame) -> DataFrame:
                 path, content = b.column("path")[i].as_py(), b.column("content")[i].as_py()
                 try:
                     rate, bits, x = decode(content)
-                    row = (path, rate, x.shape[0], bits, x.tolist(), None)
+                    row = (path, rate, x.shape[0], bits, samples_of(x), None)
                 except Exception as e:  # noqa: BLE001  any broken file is a row with an error
                     row = (path, None, None, None, None, f"{type(e).__name__}: {e}")
-                kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.list_(pa.float32())), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=["path", "sample_rate", "channels", "bit_depth", "samples", "error"])
+                kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), SAMPLES, pa.string()]
+                yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=["path", "sample_rate", "channels", "bit_depth", "samples", "error"])
 
     return files.select("path", "content").mapInArrow(run, AUDIO)
 

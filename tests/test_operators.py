@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from auralake.functions import audio, signal
+from auralake.functions import groups, signal
 from auralake.operators import audit, baseline, calibration, diff, features, governance, insights, rules, scorecard, sinks
 from auralake.operators.ranking import global_row_number
 from auralake.plans.presets import PRESETS, preset_rules, rules_table
@@ -191,21 +191,11 @@ def test_wav_and_metrics(spark, tmp_path):
     (tmp_path / "notes.txt").write_text("no audio")
     audio_rows = wav.read_wav(spark, str(tmp_path)).collect()
     assert {r.path.rsplit("/", 1)[1]: r.error is None for r in audio_rows} == {"tone.WAV": True, "bad.wav": False}
-    f = {r.name: r.value for r in audio.metric_facts(wav.read_wav(spark, str(tmp_path))).collect()}
+    f = {r.name: r.value for r in groups.metric_facts(wav.read_wav(spark, str(tmp_path))).collect()}
     assert f["Peak Level"] == pytest.approx(0, abs=0.02) and f["RMS Level"] == pytest.approx(-3.01, abs=0.02) and f["Crest Factor"] == pytest.approx(3.01, abs=0.02)
     assert f["Spectral Centroid"] == pytest.approx(1000, rel=0.02)
     with pytest.raises(ValueError):
-        audio.metric_facts(wav.read_wav(spark, str(tmp_path)), ("nothing",))
-
-
-def test_loudness_and_pitch():
-    x = np.stack([tone(1000, 10 ** (-23 / 20), 5, 48000)] * 2)
-    m = {n: v for n, v, *_ in audio.loudness(x, x.mean(axis=0), 48000)}
-    assert m["Integrated Loudness (LUFS)"] == pytest.approx(-23, abs=0.1)
-    mono = x[:1]
-    assert m["Integrated Loudness (LUFS)"] - {n: v for n, v, *_ in audio.loudness(mono, mono[0], 48000)}["Integrated Loudness (LUFS)"] == pytest.approx(3.01, abs=0.01)
-    f0, _ = audio.pitch(tone(200, 0.5), 16000)
-    assert np.median(f0) == pytest.approx(200, rel=0.01)
+        groups.metric_facts(wav.read_wav(spark, str(tmp_path)), ("nothing",))
 
 
 @pytest.mark.parametrize("width", [1, 2, 3, 4])

@@ -13,7 +13,7 @@ RATE = S.RATE
 
 def facts(spark, given, group):
     out = {k: {} for k in given}
-    for r in groups.voice_facts(S.audio(spark, given), [group]).collect():
+    for r in groups.metric_facts(S.audio(spark, given), [group]).collect():
         out[r.path][r.name] = r.value
     return out
 
@@ -89,6 +89,99 @@ def test_band_pass():
     assert np.abs(mid[2000:-2000]).max() == pytest.approx(1, abs=0.01) and np.abs(low[2000:-2000]).max() < 1e-3
 
 
+# Levels, loudness, spectrum, time and noise ----------------------------------------------------------------------------
+
+
+def test_levels_and_channels(spark):
+    left = S.sine(500, 1.0, level=0.5)
+    late = np.roll(left, 8)
+    rows = [("one", RATE, [left.tolist()]), ("same", RATE, [left.tolist(), left.tolist()]), ("late", RATE, [left.tolist(), late.tolist()]), ("anti", RATE, [left.tolist(), (-left / 4).tolist()])]
+    df = spark.createDataFrame(rows, "path string, sample_rate int, samples array<array<float>>")
+    got = {}
+    for r in groups.metric_facts(df, ["basic"]).collect():
+        got.setdefault(r.path, {})[r.name] = (r.value, r.warning)
+    assert not any(k.startswith(("Channel ", "Stereo", "Interaural")) for k in got["one"])
+    assert got["one"]["Peak Level"][0] == pytest.approx(-6.02, abs=0.01) and got["one"]["Crest Factor"][0] == pytest.approx(3.01, abs=0.01)
+    same, late, anti = got["same"], got["late"], got["anti"]
+    assert same["Stereo Phase Correlation"][0] == pytest.approx(1) and same["Stereo Width"][0] == pytest.approx(0, abs=1e-6) and same["Interaural Time Difference (ITD)"][0] == 0
+    assert late["Interaural Time Difference (ITD)"][0] == pytest.approx(-0.5, abs=0.07)
+    assert anti["Stereo Phase Correlation"] == (pytest.approx(-1), "Phase problems") and anti["Interaural Level Difference (ILD)"] == (pytest.approx(12.04, abs=0.01), "Unequal channels")
+    assert anti["Channel 2 Peak Level"][0] == pytest.approx(-18.06, abs=0.01)
+
+
+def test_loudness(spark):
+    rate = 48000
+    tone = S.sine(1000, 5, rate, 10 ** (-23 / 20))
+    quarter = np.sin(2 * np.pi * rate / 4 * S.time(1, rate) + np.pi / 4)
+    wide = np.concatenate([S.sine(1000, 20, rate, 10 ** (db / 20)) for db in (-30, -20)])
+    rows = [("stereo", rate, [tone.tolist()] * 2), ("mono", rate, [tone.tolist()]), ("peak", rate, [quarter.tolist()]), ("wide", rate, [wide.tolist()] * 2), ("noise", RATE, [S.white(1.0, 0.2).tolist()])]
+    got = {}
+    for r in groups.metric_facts(spark.createDataFrame(rows, "path string, sample_rate int, samples array<array<float>>").repartition(4), ["loudness"]).collect():
+        got.setdefault(r.path, {})[r.name] = r.value
+    level = "Integrated Loudness (LUFS)"
+    assert got["stereo"][level] == pytest.approx(-23, abs=0.1) and got["stereo"][level] - got["mono"][level] == pytest.approx(3.01, abs=0.01)
+    assert got["stereo"]["Loudness Delta vs EBU R128"] == pytest.approx(round(got["stereo"][level] + 23, 2), abs=1e-9)
+    assert -0.4 <= got["peak"]["True Peak"] <= 0.2
+    assert got["noise"]["True Peak"] >= 20 * math.log10(np.abs(S.white(1.0, 0.2)).max()) - 1e-6
+    assert got["wide"]["Loudness Range (LRA)"] == pytest.approx(10, abs=1)
+
+
+def test_spectrum(spark):
+    got = facts(spark, {"tone": S.sine(1000, 2.0, level=0.5), "quiet": S.sine(1000, 2.0, level=0.005), "noise": S.white(4.0, 0.1), "step": np.concatenate((S.sine(500, 1.0, level=0.5), S.sine(3000, 1.0, level=0.5)))}, "spectral")
+    tone, quiet, noise = got["tone"], got["quiet"], got["noise"]
+    assert tone["Spectral Centroid"] == pytest.approx(1000, rel=0.02) and tone["Spectral Rolloff (95%)"] == pytest.approx(1000, abs=50) and tone["Spectral Bandwidth"] < 50
+    assert tone["Spectral Flatness"] < -30 and tone["Band Energy: Low-Mid (300–2000 Hz)"] > 99
+    assert quiet["Spectral Flatness"] == pytest.approx(tone["Spectral Flatness"], abs=0.5) and quiet["Spectral Centroid"] == pytest.approx(tone["Spectral Centroid"], rel=1e-3)
+    assert noise["Spectral Centroid"] == pytest.approx(4000, rel=0.03) and noise["Spectral Bandwidth"] == pytest.approx(8000 / math.sqrt(12), rel=0.03) and noise["Spectral Rolloff (95%)"] == pytest.approx(7600, rel=0.02)
+    assert noise["Spectral Flatness"] == pytest.approx(10 * math.log10(math.exp(-0.5772156649)), abs=0.3) and "Estimated Fundamental (F0)" not in noise
+    for name, share in (("Presence (2–6 kHz)", 4000), ("Air (6–20 kHz)", 2000), ("Low-Mid (300–2000 Hz)", 1700), ("Bass (80–300 Hz)", 220)):
+        assert noise[f"Band Energy: {name}"] == pytest.approx(100 * share / 8000, abs=2)
+    assert got["step"]["Spectral Bandwidth"] < 200 and noise["Effective Bandwidth"] > 7900 and abs(noise["Spectral Skewness"]) < 0.1
+
+
+def gated(std):
+    t = S.time(4.0)
+    return 0.5 * np.sin(2 * np.pi * 220 * t) * ((t % 1) < 0.5) + S.white(4.0, std)
+
+
+def test_noise(spark):
+    stds = (0.002, 0.01, 0.05)
+    voice = S.harmonic(150, 2.0)
+    given = {f"g{s}": gated(s) for s in stds} | {"silent floor": gated(0.0), "silence": np.zeros(RATE)} | {f"h{f}": S.harmonic(f, 1.5) for f in (100, 150, 220, 300)} | {f"n{h}": voice + S.white(2.0, math.sqrt((voice**2).mean() / 10 ** (h / 10)), 5) for h in (0, 10, 20)}
+    got = facts(spark, given, "noise")
+    for s in stds:
+        assert got[f"g{s}"]["Estimated SNR"] == pytest.approx(10 * math.log10((0.125 + s * s) / (s * s)), abs=1.5)
+        assert got[f"g{s}"]["Estimated Noise Floor"] == pytest.approx(20 * math.log10(s), abs=1.0)
+    assert got["silent floor"]["Estimated SNR"] == 100 and got["silent floor"]["Spectral SNR"] <= 100 and "Estimated Noise Floor" not in got["silent floor"]
+    assert "Estimated SNR" not in got["silence"]
+    hnr = "Harmonic-to-Noise Ratio (HNR)"
+    assert all(got[f"h{f}"][hnr] > 30 for f in (100, 150, 220, 300))
+    for h in (0, 10, 20):
+        assert got[f"n{h}"][hnr] == pytest.approx(h, abs=2)
+
+
+def test_dropouts(spark):
+    tone, t = S.sine(440, 4.0, level=0.5), S.time(4.0)
+    given = {}
+    for n in (0, 1, 3, 5):
+        x = tone.copy()
+        for k in range(n):
+            x[int((0.5 + 0.6 * k) * RATE) :][: int(0.2 * RATE)] = 0
+        given[f"{n}"] = x
+    early = tone.copy()
+    early[2 * RATE // 1000 : 10 * RATE // 1000] = 0
+    given |= {"early": early, "dips": tone * (1 - 0.9 * sum(np.exp(-((t - c) ** 2) / 0.005) for c in (0.8, 1.6, 2.4, 3.2))), "fades": np.clip(np.sin(2 * np.pi * 3 * t), 0, None) ** 2 * S.harmonic(150, 4.0), "padded": np.concatenate((np.zeros(RATE), tone, np.zeros(RATE)))}
+    got = {k: v["Detected Dropouts"] for k, v in facts(spark, given, "noise").items()}
+    assert got == {"0": 0, "1": 1, "3": 3, "5": 5, "early": 1, "dips": 0, "fades": 0, "padded": 0}
+
+
+def test_time(spark):
+    x = np.concatenate((S.sine(200, 0.5, level=0.5), np.zeros(RATE // 2), S.sine(200, 0.5, level=0.25), np.zeros(RATE // 4)))
+    got = facts(spark, {"x": x}, "temporal")["x"]
+    assert got["Num Pauses (>100ms)"] == 1 and got["Max Pause Duration"] == pytest.approx(0.48, abs=0.03)  # the last is still open
+    assert got["Speech/Activity Ratio"] == pytest.approx(100 * 1.0 / 1.75, abs=4) and got["Attack Time"] == 0
+
+
 # Speech --------------------------------------------------------------------------------------------------------------
 
 
@@ -233,16 +326,16 @@ def test_content_vote(spark):
 def test_short_and_silent_recordings_have_no_nan(spark, rate):
     given = {"silence": np.zeros(rate), "short": S.sine(200, 0.01, rate, 0.5), "one": np.array([0.5]), "tone": S.sine(200, 1.0, rate, 0.5), "half": S.sine(200, 0.05, rate, 0.5)}
     audio = S.audio(spark, given, rate)
-    rows = groups.voice_facts(audio).collect()
+    rows = groups.metric_facts(audio).collect()
     assert all(math.isfinite(r.value) for r in rows)
     assert {r.grp for r in rows if r.path == "tone"} == set(groups.GROUPS)
     assert groups.content(audio).count() == 5
     with pytest.raises(ValueError):
-        groups.voice_facts(audio, ["nothing"])
+        groups.metric_facts(audio, ["nothing"])
     with pytest.raises(ValueError):
         frames.measured(audio, ["nothing"])
 
 
 def test_recordings_without_samples_have_no_row(spark):
     df = spark.createDataFrame([("a", 16000, None), ("b", None, [[0.1]]), ("c", 16000, []), ("d", 16000, [[]])], "path string, sample_rate int, samples array<array<float>>")
-    assert groups.voice_facts(df).count() == 0 and groups.content(df).count() == 0
+    assert groups.metric_facts(df).count() == 0 and groups.content(df).count() == 0
