@@ -19,14 +19,14 @@ def supported(path) -> F.Column:
 
 
 def watch_files(spark: SparkSession, folder: str, since: str | None = None, max_files: int = 512) -> DataFrame:
-    """A stream of supported files below a folder; with `since` earlier ones count as done."""
+    """A stream of supported files below a folder, each path once; with `since` earlier ones count as done. Files that are written anew need `folder.watch`."""
     files = spark.readStream.format("binaryFile").schema(BINARY_SCHEMA).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files).load(folder)
     files = files.where(supported(F.col("path")))
     return files if since is None else files.where(F.col("modificationTime") > F.lit(since).cast("timestamp"))
 
 
 def new_versions(files: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Each version of a file once: a path comes again when its size or time changes."""
+    """Of repeated sightings (`folder.listing`, or a listing table) each version of a file once: a path comes again when its size or time changes."""
     return files.withWatermark("modificationTime", delay).dropDuplicatesWithinWatermark(["path", "length", "modificationTime"])
 
 
