@@ -1,17 +1,17 @@
 """Line dedup by a log-template tree.
 
 A line's tokens are its words; a token with a digit, an at-sign or a scheme is a variable field. The tree has a fixed
-depth: token count, then the first LEADING tokens. In a leaf a line joins the most similar template (share of equal
-tokens at least `similarity`), and tokens that differ become variable; else it opens a new template. Templates that recur
-across documents are dropped: with `min_contexts` or more different contexts. A context is a group of near copies (see
-copies; `alike` of their word triples agree) or a text without any, so what only copies of a document share is no template
-and stays, a group counts once whatever copies it holds, and a block of several lines counts in each unrelated document
-whatever its own lines have beside them.
+depth: token count, then the first LEADING tokens. In a leaf a token that `min_contexts` or more texts have at its place is
+constant, others are variable. A line whose constant tokens are a share of `similarity` or more belongs to the template that
+they and the gaps between them make; any other line is a template of its own. Templates that recur across documents are
+dropped: with `min_contexts` or more different contexts. A context is a group of near copies (see copies; `alike` of their
+word triples agree) or a text without any, so what only copies of a document share is no template and stays, a group counts
+once whatever copies it holds, and a block of several lines counts in each unrelated document whatever its own lines have
+beside them.
 
 Lines of one or two words are judged like longer ones. Null text stays null, and documents stay even if nothing is left of
-them; an empty table gives an empty one. Repeated rows are one text when counted. Ties of similarity go to the older
-template. Lines end at "\\n" only and have any length. Other columns are carried along whatever their names; an added
-column whose name is taken gets underscores.
+them; an empty table gives an empty one. Repeated rows are one text when counted. Lines end at "\\n" only and have any
+length. Other columns are carried along whatever their names; an added column whose name is taken gets underscores.
 """
 
 from __future__ import annotations
@@ -32,8 +32,6 @@ VARIABLE = np.zeros(256, bool)
 VARIABLE[list(b"0123456789@")] = True
 #: Hashes that are broadcast, at most (8 bytes each); beyond it tables are joined.
 BROADCAST = 1 << 20
-#: Distinct lines of a leaf that one task grows templates from, on average.
-PART_LINES = 256
 
 
 class Lines:
@@ -108,85 +106,20 @@ def sketch_table(docs: DataFrame) -> DataFrame:
     return docs.select("text", F.xxhash64("text").alias("body")).mapInArrow(run, "body long, sketch binary")
 
 
-class Templates:
-    """The templates of one leaf in rows of token hashes; 0 is a variable place."""
+def grow_templates(lines: DataFrame, similarity: float, support: int) -> DataFrame:
+    """(leaf, line, template) from distinct lines (leaf, line, n: texts, tokens).
 
-    def __init__(self, width: int):
-        self.rows, self.n = np.zeros((4, width), np.int64), 0
-
-    def add(self, line: np.ndarray, similarity: float) -> int:
-        """The number of the most similar template, which takes the line in, or of a new one."""
-        if self.n:
-            share = (self.rows[: self.n] == line).mean(axis=1)
-            best = int(np.argmax(share))
-            if share[best] >= similarity:
-                self.rows[best] = np.where(self.rows[best] == line, line, 0)
-                return best
-        if self.n == len(self.rows):
-            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
-        self.rows[self.n] = line
-        self.n += 1
-        return self.n - 1
-
-
-def grow_parts(lines: DataFrame, similarity: float) -> DataFrame:
-    """(leaf, part, line, template) from lines (leaf, part, line, n, tokens), and a row (leaf, part, template, n, tokens) a template.
-
-    Frequent lines come first, ties by hash. A part's lines are streamed; only its templates are held.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, own, weight = None, Templates(0), []
-        out: list[tuple] = []
-
-        def close() -> None:
-            if where is not None:
-                out.extend((*where, None, k, weight[k], own.rows[k].copy()) for k in range(own.n))
-
-        def taken() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            b = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 6, kinds, strict=True)], names=["leaf", "part", "line", "template", "n", "tokens"])
-            out.clear()
-            return b
-
-        for b in batches:
-            for leaf, part, line, n, tokens in zip(*(b.column(c).to_pylist() for c in ("leaf", "part", "line", "n", "tokens")), strict=True):
-                if (leaf, part) != where:
-                    close()
-                    where, own, weight = (leaf, part), Templates(len(tokens)), []
-                k = own.add(np.array(tokens, np.int64), similarity)
-                if k == len(weight):
-                    weight.append(0)
-                weight[k] += n
-                out.append((leaf, part, line, k, None, None))
-            yield taken()
-        close()
-        yield taken()
-
-    placed = lines.repartition("leaf", "part").sortWithinPartitions("leaf", "part", F.desc("n"), "line").select("leaf", "part", "line", "n", "tokens")
-    return placed.mapInArrow(run, "leaf long, part long, line long, template long, n long, tokens array<long>")
-
-
-def grow_templates(lines: DataFrame, similarity: float) -> DataFrame:
-    """(leaf, line, template) from distinct lines (leaf, line, n, tokens).
-
-    A leaf of many lines is dealt over parts of about PART_LINES by the lines' hashes; each part grows templates, and the
-    templates of all parts of a leaf, those that are equal taken together, then grow into those of the leaf.
+    Counts of (leaf, place, token) alone decide what is constant, so a line's template depends neither on an order nor on
+    how the lines are dealt over tasks, and no task holds a leaf.
     """
-    sizes = lines.groupBy("leaf").agg(F.ceil(F.count("*") / PART_LINES).cast("long").alias("parts")).where("parts > 1")
-    sizes = checkpointed(sizes)
-    known = F.broadcast(sizes) if sizes.count() <= BROADCAST else sizes
-    dealt = lines.join(known, "leaf", "left").withColumn("part", F.coalesce(F.pmod("line", "parts"), F.lit(-1)))
-    first = checkpointed(grow_parts(dealt, similarity))
-    own = first.where("line is not null").select("leaf", "part", "line", "template")
-    if sizes.isEmpty():
-        return own.select("leaf", "line", "template")
-    tops = first.where("line is null and part >= 0").groupBy("leaf", "tokens").agg(F.sum("n").alias("n"), F.collect_list(F.struct("part", "template")).alias("of"))
-    tops = checkpointed(tops.withColumn("line", F.xxhash64("tokens")).withColumn("part", F.lit(-1).cast("long")))
-    whole = grow_parts(tops, similarity).where("line is not null").select("leaf", "line", F.col("template").alias("final"))
-    final = whole.join(tops.select("leaf", "line", F.explode("of").alias("o")), ["leaf", "line"]).select("leaf", F.col("o.part").alias("part"), F.col("o.template").alias("template"), "final")
-    split = own.where("part >= 0").join(final, ["leaf", "part", "template"]).select("leaf", "line", F.col("final").alias("template"))
-    return own.where("part < 0").select("leaf", "line", "template").union(split)
+    each = lines.select("leaf", "line", "n", F.posexplode("tokens").alias("place", "token"))
+    constant = checkpointed(each.groupBy("leaf", "place", "token").agg(F.sum("n").alias("n")).where(F.col("n") >= support).select("leaf", "place", "token", F.lit(True).alias("constant")))
+    known = F.broadcast(constant) if constant.count() <= BROADCAST else constant
+    marked = each.drop("n").join(known, ["leaf", "place", "token"], "left").withColumn("kept", F.when(F.col("constant"), F.col("token")))
+    shape = F.array_sort(F.collect_list(F.struct("place", "token", "kept")))
+    whole = marked.groupBy("leaf", "line").agg(shape.alias("shape"), F.count("kept").alias("constants"), F.count("*").alias("places"))
+    own = F.when(F.col("constants") >= similarity * F.col("places"), F.xxhash64(F.transform("shape", lambda s: F.coalesce(s["kept"], F.lit(0)))))
+    return whole.select("leaf", "line", F.coalesce(own, F.xxhash64("line", F.lit("own"))).alias("template"))
 
 
 def recurring(table: DataFrame, keys: list[str], min_contexts: int) -> DataFrame:
@@ -204,7 +137,7 @@ def recurring_lines(docs: DataFrame, similarity: float = 0.75, min_contexts: int
     full = line_table(docs, known, True)
     full = checkpointed(full if known is not None else full.join(leaves, "leaf", "left_semi"))
     distinct = full.groupBy("leaf", "line").agg(F.countDistinct("body").alias("n"), F.min("tokens").alias("tokens"))
-    named = grow_templates(distinct, similarity)
+    named = grow_templates(distinct, similarity, min_contexts)
     groups = copy_groups(sketch_table(docs), alike)
     placed = full.select("leaf", "line", "body").join(groups, "body", "left").withColumn("origin", F.coalesce("origin", "body"))
     kept = checkpointed(placed.join(named, ["leaf", "line"]))

@@ -153,3 +153,34 @@ def alignment(rows, first, second, bytes_of):
         text = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in own)
         out.append((sum(len(a) for a, _ in own), sum(len(b) for _, b in own), len(own), sum(c.values()), sum(n for (x, y), n in c.items() if count[x, y] == best[x]), sum(n * count[p] for p, n in c.items()), hashlib.sha256(text.encode()).hexdigest() if own else ""))
     return out
+
+
+def template_lines(texts, similarity=0.75, contexts=8):
+    """texts without near copies -> for each the worded lines that a recurring template drops, by their numbers."""
+    token = lambda w: "#" if re.search("[0-9@]", w) else w
+    held = [[(k, tuple(map(token, words(x)))) for k, x in enumerate((t or "").split("\n")) if words(x)] for t in texts]
+    texts_of = collections.defaultdict(set)
+    for i, own in enumerate(held):
+        for _, line in own:
+            texts_of[line].add(i)
+    support = collections.Counter()
+    for line, who in texts_of.items():
+        for p, w in enumerate(line):
+            support[len(line), line[:3], p, w] += len(who)
+    template = {}
+    for line in texts_of:
+        shape = tuple(w if support[len(line), line[:3], p, w] >= contexts else None for p, w in enumerate(line))
+        template[line] = (line[:3], shape) if sum(w is not None for w in shape) >= similarity * len(line) else line
+    found = collections.defaultdict(set)
+    for line, who in texts_of.items():
+        found[template[line]] |= who
+    return [[k for k, line in own if len(found[template[line]]) >= contexts] for own in held]
+
+
+def triples(text):
+    """Word triples that don't reach over a line, shorter ones at its start."""
+    out = set()
+    for line in (text or "").split("\n"):
+        w = words(line)
+        out |= {tuple(w[max(0, i - 2) : i + 1]) for i in range(len(w))}
+    return out

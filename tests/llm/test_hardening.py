@@ -132,19 +132,6 @@ def test_scores_equal_plain_dot_products(spark):
         assert got[i] == pytest.approx(1 / (1 + np.exp(-total)))
 
 
-def test_hot_leaf_parts_agree_with_one_part(spark, monkeypatch):
-    rng = random.Random(6)
-    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
-    rows = [(i, "\n".join([f"notice about the {word()} sale of our branch in the old town today", *(" ".join(word() for _ in range(9)) for _ in range(4))])) for i in range(60)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    want = sorted(map(tuple, lines.drop_templates(docs).collect()))
-    monkeypatch.setattr(lines, "PART_LINES", 8)
-    assert sorted(map(tuple, lines.drop_templates(docs).collect())) == want
-    assert all(r[3] == 1 for r in want)
-
-
-@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
-@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_sql(spark, name):
     con = duckdb.connect()
     con.sql("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
