@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import views
 from .constants import DIRECTION, FEATURES, SUGGESTIONS
-from .functions import groups, signal
+from .functions import groups, reference, signal
 from .operators import audit, baseline, calibration, diff, features, governance, insights, reports, rules, scorecard, sinks
 from .plans.presets import preset_rules, rules_table
 from .streaming import watch
@@ -648,6 +648,31 @@ def audio_content(spark, sf_dir):
     return groups.content(audio_rows(spark, sf_dir)).select("path", "cues.*", "confidence", "is_speech", "content_type", "f0_hz", "speech_fraction")
 
 
+SLICES_SQL = f"""
+with w as ({WAVE_SQL}), r as (select samples as ref from w where vec_id = 0),
+s as (select vec_id, i + 1 as segment_index, i * 20 as s, least((i + 1) * 20, 64) as e, samples, ref from (select *, unnest(range(0, 4)) as i from w), r),
+p as (select *, round_even(s * 3000 / 4000, 0)::int as a, least(round_even(e * 3000 / 4000, 0), 64)::int as b from s)
+select vec_id, segment_index::int as segment_index, s::int as start, e::int as "end", a as ref_start, b as ref_end, round(list_sum(list_transform(list_slice(samples, s + 1, e), lambda x: x::float::double)), 5) as own, round(list_sum(list_transform(list_slice(ref, a + 1, b), lambda x: x::float::double)), 5) as other from p
+"""
+
+
+@query(SLICES_SQL)
+def reference_slices(spark, sf_dir):
+    """Segments of 5 ms at 4 kHz with the same span of a reference at 3 kHz."""
+    own = views.waveforms(spark, sf_dir)
+    audio = lambda df, rate: df.select(F.col("vec_id").cast("string").alias("path"), F.lit(rate).alias("sample_rate"), F.array(F.col("samples").cast("array<float>")).alias("samples"))
+    parts = reference.with_reference(reference.segments(audio(own, 4000), 0.005), audio(own.where("vec_id = 0"), 3000))
+    sums = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, v: a + v.cast("double")), 5)
+    return parts.select(F.col("path").cast("long").alias("vec_id"), "segment_index", "start", "end", "ref_start", "ref_end", sums(F.col("samples")[0]).alias("own"), sums(F.col("ref_samples")).alias("other"))
+
+
+@query()
+def intrusive_metrics(spark, sf_dir):
+    """Clips in quarters of a second against the same spans of one of them."""
+    a = audio_rows(spark, sf_dir)
+    return reference.intrusive_facts(a, a.where("path = '0-0'"), 0.25)
+
+
 @query()
 def audio_scorecard(spark, sf_dir):
     f = groups.metric_facts(audio_rows(spark, sf_dir)).withColumn("source_key", F.col("path")).withColumn("segment_index", F.lit(1)).where("value is not null")
