@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import views
 from .constants import DIRECTION, FEATURES, SUGGESTIONS
 from .functions import groups, reference, signal
-from .operators import audit, baseline, calibration, diff, features, governance, insights, reports, rules, scorecard, sinks
+from .operators import audit, baseline, calibration, contracts, diff, features, governance, insights, reports, rules, scorecard, sinks
 from .plans.presets import preset_rules, rules_table
 from .streaming import watch
 from .views import METRICS, WAVE_SQL, with_views
@@ -648,6 +648,25 @@ def audio_content(spark, sf_dir):
     return groups.content(audio_rows(spark, sf_dir)).select("path", "cues.*", "confidence", "is_speech", "content_type", "f0_hz", "speech_fraction")
 
 
+CONTRACT_SQL = """
+with o as (select o_orderkey as k from orders)
+select k as o_orderkey, '$.file' as path, 'required field is missing' as message from o where k % 5 = 0
+union all select k, '$.duration_s', 'must be 0 or more' from o where k % 7 = 0
+union all select k, '$.sample_rate', 'must be integer' from o where k % 11 = 0
+union all select k, '$.metrics[0].value', 'must be number or string or boolean or null' from o where k % 13 = 0
+union all select k, '$.metrics[1]', 'must be object' from o where k % 17 = 0
+"""
+
+
+@query(CONTRACT_SQL)
+def contract_issues(spark, sf_dir):
+    """Report rows in JSON, some of them broken, against the schema of a report row."""
+    k = F.col("o_orderkey")
+    part = lambda n, bad, good: F.when(k % n == 0, F.lit(bad)).otherwise(good)
+    text = F.concat(F.lit("{"), part(5, "", F.concat(F.lit('"file": "f'), k.cast("string"), F.lit('", '))), F.lit('"duration_s": '), part(7, "-1", (k % 100).cast("string")), F.lit(', "sample_rate": '), part(11, '"x"', F.lit("16000")), F.lit(', "channels": 1, "metrics": [{"name": "SNR", "value": '), part(13, "[]", F.lit("3.5")), F.lit(', "unit": "dB", "group": "noise"}'), part(17, ", 5", F.lit("")), F.lit("]}"))
+    return contracts.json_issues(views.table(spark, sf_dir, "orders").select(k, text.alias("text")), "text", contracts.REPORT_ROW)
+
+
 SLICES_SQL = f"""
 with w as ({WAVE_SQL}), r as (select samples as ref from w where vec_id = 0),
 s as (select vec_id, i + 1 as segment_index, i * 20 as s, least((i + 1) * 20, 64) as e, samples, ref from (select *, unnest(range(0, 4)) as i from w), r),
