@@ -295,17 +295,19 @@ def mfcc(x: np.ndarray, rate: int) -> dict:
 
 def wide_spectra(x: np.ndarray, rate: int) -> dict:
     s = mean_spectra(x, 1024, 256)
-    return {"mag_1024": s["mag"], "power_1024": s["power"], "share_1024": s["share"], "flux_1024": s["flux"]}
+    energy = [(mag**2).sum(axis=1) for mag in magnitudes(x, 1024, 256)] if len(x) >= 1024 else []
+    return {"energy_1024": np.concatenate(energy) if energy else np.zeros(0), "mag_1024": s["mag"], "power_1024": s["power"], "share_1024": s["share"], "flux_1024": s["flux"]}
 
 
 def short_spectra(x: np.ndarray, rate: int) -> dict:
-    total, share, frames = np.zeros(257), np.zeros(257), 0
+    total, share, frames, level = np.zeros(257), np.zeros(257), 0, []
     for mag in magnitudes(x, 512, 128):
         power = mag**2
+        level.append(power.mean(axis=1))
         total += power.sum(axis=0)
         share += ((power + EPS) / ((power + EPS).sum(axis=1, keepdims=True) + EPS)).sum(axis=0)
         frames += len(mag)
-    return {"power_512": total / frames, "share_512": share / frames} if frames else {"power_512": None, "share_512": None}
+    return {"power_512": total / frames, "share_512": share / frames, "level_512": np.concatenate(level)} if frames else {"power_512": None, "share_512": None, "level_512": np.zeros(0)}
 
 
 def energies(x: np.ndarray, rate: int) -> dict:
@@ -551,6 +553,49 @@ def harmonic_spectrum(x: np.ndarray, rate: int) -> dict:
     return {"mag_4096": mag, "cepstrum": np.abs(np.fft.irfft(np.log(mag**2 + 1e-14)))[: int(rate / 60)]}
 
 
+# Opinion -------------------------------------------------------------------------------------------------------------
+
+
+def wideband(x: np.ndarray, rate: int) -> dict:
+    """At 16 kHz: mean power of each frame and of each bin, and how much bins vary over frames."""
+    x = resample(x, rate, 16_000)
+    level, power, once, twice, frames = [], np.zeros(257), np.zeros(257), np.zeros(257), 0
+    for mag in magnitudes(x, 512, 128):
+        level.append((mag**2).mean(axis=1))
+        power += (mag**2).sum(axis=0)
+        once += mag.sum(axis=0)
+        twice += (mag**2).sum(axis=0)
+        frames += len(mag)
+    if not frames:
+        return {"level_16k": np.zeros(0), "power_16k": None, "variation_16k": None}
+    return {"level_16k": np.concatenate(level), "power_16k": power / frames, "variation_16k": float(np.sqrt(np.maximum(0, twice / frames - (once / frames) ** 2)).mean())}
+
+
+def narrowband(x: np.ndarray, rate: int) -> dict:
+    """At 8 kHz: energy and flatness of each frame, mean power of each bin, jumps a second and the share of samples at full scale."""
+    x = resample(x, rate, 8_000)
+    energy, flat, power, frames, eps = [], [], np.zeros(129), 0, np.finfo(np.float64).eps
+    for mag in magnitudes(x, 256, 64):
+        own = mag**2
+        energy.append(own.sum(axis=1))
+        flat.append(np.exp(np.log(own + eps).mean(axis=1)) / (own + eps).mean(axis=1))
+        power += own.sum(axis=0)
+        frames += len(mag)
+    jumps = float((np.abs(np.diff(x)) > 0.5).sum()) / max(len(x) / 8_000, EPS)
+    return {"energy_8k": np.concatenate(energy) if energy else np.zeros(0), "flatness_8k": np.concatenate(flat) if flat else np.zeros(0), "power_8k": power / frames if frames else None, "jumps": jumps, "full_scale": float((np.abs(x) >= 0.98).mean()) if len(x) else None}
+
+
+def echo(x: np.ndarray, rate: int) -> dict:
+    """The strongest correlation of the signal with itself 20 to 300 ms later."""
+    low, high = int(0.02 * rate), min(int(0.3 * rate), len(x) // 2)
+    if high <= low:
+        return {"echo": None}
+    x = x - x.mean()
+    n = 1 << math.ceil(math.log2(len(x) + high))
+    r = np.fft.irfft(np.abs(np.fft.rfft(x, n)) ** 2, n)
+    return {"echo": float(np.abs(r[low:high]).max() / (r[0] + np.finfo(np.float64).eps))}
+
+
 # Content -------------------------------------------------------------------------------------------------------------
 
 
@@ -610,8 +655,8 @@ KERNELS: list[tuple[Callable, tuple[str, ...]]] = [
     (periodicity, ("periodic",)),
     (dropouts, ("dropouts",)),
     (mfcc, ("mfcc_mean", "mfcc_std")),
-    (wide_spectra, ("mag_1024", "power_1024", "share_1024", "flux_1024")),
-    (short_spectra, ("power_512", "share_512")),
+    (wide_spectra, ("energy_1024", "mag_1024", "power_1024", "share_1024", "flux_1024")),
+    (short_spectra, ("power_512", "share_512", "level_512")),
     (energies, ("energy", "crossings", "energy_30", "mean_square")),
     (syllables, ("speaking_rate", "speech_rate")),
     (voice, ("f0", "strength", "levels", "tremor_rate", "tremor_depth")),
@@ -621,10 +666,13 @@ KERNELS: list[tuple[Callable, tuple[str, ...]]] = [
     (long_spectra, ("power_4096", "flatness")),
     (partial_spectrum, ("partials",)),
     (harmonic_spectrum, ("mag_4096", "cepstrum")),
+    (wideband, ("level_16k", "power_16k", "variation_16k")),
+    (narrowband, ("energy_8k", "flatness_8k", "power_8k", "jumps", "full_scale")),
+    (echo, ("echo",)),
     (plain_pitch, ("plain_f0", "plain_frames")),
     (modulation, ("syllabic_share", "syllabic_depth")),
 ]
-NUMBERS = (*(c for c in KERNELS[0][1] if c not in ("channel_rms", "channel_peak")), "true_peak", "span", "size_2048", "middle_f0", "spectral_snr", "dropouts", "flux_1024", "mean_square", "speaking_rate", "speech_rate", "tremor_rate", "tremor_depth", "plain_frames", "syllabic_share", "syllabic_depth")
+NUMBERS = (*(c for c in KERNELS[0][1] if c not in ("channel_rms", "channel_peak")), "true_peak", "variation_16k", "jumps", "full_scale", "echo", "span", "size_2048", "middle_f0", "spectral_snr", "dropouts", "flux_1024", "mean_square", "speaking_rate", "speech_rate", "tremor_rate", "tremor_depth", "plain_frames", "syllabic_share", "syllabic_depth")
 
 OF_CHANNELS = (levels, weighted_blocks)
 

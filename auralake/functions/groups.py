@@ -18,6 +18,7 @@ from .frames import KERNELS, TRACKS, measured
 from .signal import bound, centred, dot, gated_lufs, longest_run, lufs, mean, power_db, total
 from .voice import clip, percentile, slope
 
+EPS64 = 2.0**-52
 METRIC = "struct<grp:string,name:string,value:double,unit:string,higher_is_better:boolean,ref_lo:double,ref_hi:double,warning:string>"
 
 
@@ -180,7 +181,7 @@ def noise() -> list[Metric]:
     any_frame = F.size("energy") > 0
     only = lambda c: F.when(any_frame, c)
     floor, signal = F.col("floor_energy"), F.col("loud_energy")
-    snr = F.when(signal > 0, F.when(floor <= 0, 100.0).otherwise(F.least(F.lit(100.0), 10 * F.log10(signal / floor))))
+    snr = F.when(signal > 0, ratio_db(signal, floor))
     hnr = percentile(F.transform("periodic", lambda r: 10 * F.log10(r / (1 - r))), 0.5)
     return [
         Metric("Estimated Noise Floor", power_db(floor), "dBFS", higher=False),
@@ -344,6 +345,118 @@ def psychoacoustic() -> list[Metric]:
     ]
 
 
+def ratio_db(signal: Column, noise: Column) -> Column:
+    """Of two powers, 100 dB at most; 0 for a silent signal."""
+    return F.when(signal <= 0, 0.0).when(noise <= 0, 100.0).when(signal.isNotNull() & noise.isNotNull(), F.least(F.lit(100.0), 10 * F.log10(signal / noise)))
+
+
+def spectral_flatness(power: Column) -> Column:
+    """The geometric as a share of the arithmetic mean of a spectrum."""
+    return F.exp(mean(F.transform(power, lambda p: F.log(p + EPS64)))) / (mean(power) + EPS64)
+
+
+def log_slope(power: Column, size: int, low: float, high: Column) -> Column:
+    """Slope of log power over log frequency between two frequencies; null for five bins or fewer."""
+    rate = F.lit(16000)
+    at = F.filter(F.transform(power, lambda p, i: F.struct((i * rate / size).alias("hz"), p.alias("p"))), lambda b: (b["hz"] > low) & (b["hz"] < high))
+    return bound(at, lambda b: F.when(F.size(b) > 5, slope(F.transform(b, lambda v: F.log10(v["hz"])), F.transform(b, lambda v: F.log10(v["p"] + EPS64)))))
+
+
+def signal_score() -> Column:
+    """An opinion of the signal from loud against quiet frames and from a slope like that of speech."""
+    snr = ratio_db(percentile(F.col("level_16k"), 0.9), percentile(F.col("level_16k"), 0.1))
+    tilted = F.coalesce(clip(1 - F.abs(log_slope(F.col("power_16k"), 512, 100.0, F.lit(6400.0)) + 1.2) / 2.5, 0.0, 1.0), F.lit(0.5))
+    return clip(1.5 + snr / 12 * 2.5 + tilted * 0.5, 1.0, 5.0)
+
+
+def background_score() -> Column:
+    return clip(4.5 - spectral_flatness(F.col("power_16k")) * 10 - F.col("variation_16k") * 5, 1.0, 5.0)
+
+
+def plain_opinion() -> Column:
+    """An opinion from loud against quiet frames, less for a flat spectrum."""
+    snr = ratio_db(percentile(F.col("level_512"), 0.85), percentile(F.col("level_512"), 0.15))
+    flat = bound(spectral_flatness(F.col("power_512")), lambda f: F.greatest(F.lit(0.0), (F.when(f > 0, 10 * F.log10(f)) + 10) / 20))
+    return F.when(F.col("power_512").isNotNull(), clip(clip(1 + snr / 10, 1.0, 4.5) - flat * 0.5, 1.0, 5.0))
+
+
+def narrowband_opinion() -> dict[str, Column]:
+    """Which frames are active, and an opinion of seven cues of a telephone band, weighted (fixed values): balance, activity, flatness, rumble, hiss, jumps, full scale."""
+
+    def share(low: float, high: float) -> Column:
+        inside = F.filter("power_8k", lambda _, i: (i * 31.25 >= low) & (i * 31.25 <= high))
+        return total(inside) / (total(F.col("power_8k")) + EPS64)
+
+    quiet = percentile(F.col("energy_8k"), 0.2)
+    active = bound(quiet, lambda q: F.transform("energy_8k", lambda e: e > q))
+    flat = mean(F.filter(F.zip_with("flatness_8k", F.col("active_8k"), lambda f, a: F.when(a, f)), lambda f: f.isNotNull()))
+    return {
+        "active_8k": active,
+        "opinion_8k": F.when(
+            F.exists("active_8k", lambda a: a),
+            clip(
+                1.0 + 2.4 * clip((share(80.0, 3400.0) - 0.35) / 0.45, 0.0, 1.0) + 0.8 * clip(1 - F.greatest(F.lit(0.0), (1 - share_of(F.col("active_8k"))) - 0.15) / 0.55, 0.0, 1.0) - 0.9 * clip(F.greatest(F.lit(0.0), flat - 0.22) / 0.38, 0.0, 1.0)
+                - 0.6 * clip(F.greatest(F.lit(0.0), share(0.0, 79.999) - 0.08) / 0.22, 0.0, 1.0) - 0.8 * clip(F.greatest(F.lit(0.0), share(3400.001, 4000.0) - 0.10) / 0.25, 0.0, 1.0) - 0.8 * clip(F.col("jumps") / 12, 0.0, 1.0) - 1.1 * clip(F.col("full_scale") * 30, 0.0, 1.0),
+                1.0,
+                4.5,
+            ),
+        ),
+    }
+
+
+def cutoff() -> Column:
+    """The highest frequency whose mean power is within 45 dB of the strongest."""
+    return bound(F.col("mean_db_1024"), lambda d: bound(F.array_max(d), lambda top: F.array_max(F.filter(F.transform(d, lambda v, i: F.when(v >= top - 45, i * F.col("sample_rate") / 1024)), lambda hz: hz.isNotNull()))))
+
+
+def holes() -> Column:
+    """Share in % of bins from 1 to 8 kHz that lie over 12 dB below the mean of the nine around them."""
+
+    def own(d: Column) -> Column:
+        around_nine = lambda i: total(F.slice(d, F.greatest(i - 4, F.lit(0)) + 1, F.least(i, F.lit(4)) + 5)) / 9
+        inside = F.filter(F.transform(d, lambda v, i: F.when((i * F.col("sample_rate") / 1024).between(1000.0, 8000.0), around_nine(i) - v > 12)), lambda f: f.isNotNull())
+        return F.coalesce(100 * share_of(inside), F.lit(0.0))
+
+    return F.when(F.col("mean_db_1024").isNotNull(), bound(F.col("mean_db_1024"), own))
+
+
+def pre_echo() -> Column:
+    """Mean energy before against after the steepest tenth of rises; 0 for fewer than six frames."""
+
+    def own(e: Column) -> Column:
+        rises = F.zip_with(F.slice(e, F.lit(2), F.size(e)), F.slice(e, F.lit(1), F.size(e) - 1), lambda b, a: b - a)
+        onset = bound(rises, lambda d: bound(percentile(d, 0.9), lambda p: F.filter(F.transform(d, lambda v, i: F.when(v > p, i + 1)), lambda i: i.isNotNull())))
+        before = lambda i: mean(F.slice(e, F.greatest(i - 2, F.lit(0)) + 1, F.least(i, F.lit(2))))
+        after = lambda i: mean(F.slice(e, i + 1, F.lit(2)))
+        ratios = F.filter(F.transform(onset, lambda i: F.when(after(i) > 0, before(i) / (after(i) + EPS64))), lambda r: r.isNotNull())
+        return F.when(F.size(e) < 6, 0.0).otherwise(F.coalesce(clip(mean(ratios), 0.0, 1.0), F.lit(0.0)))
+
+    return bound(F.col("energy_1024"), own)
+
+
+def perceptual() -> list[Metric]:
+    cut, hole, smear = F.col("cutoff"), F.col("holes"), F.col("pre_echo")
+    expected = F.least(F.col("sample_rate") / 2, F.lit(16000.0))
+    risk = clip(100 * (0.45 * clip((expected - cut) / F.greatest(expected, F.lit(1.0)), 0.0, 1.0) + 0.35 * hole / 100 + 0.20 * smear), 0.0, 100.0)
+    sig, bak, mos, narrow = F.col("signal_score"), F.col("background_score"), F.col("plain_opinion"), F.col("opinion_8k")
+    blends = voice.blended_mos(F.round(mos, 2), F.round(narrow, 2))
+    scale = {"unit": "MOS [1–5]", "higher": True, "bounds": (3.5, 5.0)}
+    return [
+        Metric("DNSMOS P.835 SIG (proxy)", F.round(sig, 2), **scale),
+        Metric("DNSMOS P.835 BAK (proxy)", F.round(bak, 2), **scale),
+        Metric("DNSMOS P.835 OVRL (proxy)", F.round(clip(sig * 0.46 + bak * 0.23 + 0.93, 1.0, 5.0), 2), **scale),
+        Metric("AECMOS (proxy)", F.round(clip(5 - F.col("echo") * 8, 1.0, 5.0), 2), **scale),
+        Metric("Estimated MOS (non-intrusive proxy)", F.round(mos, 2), **scale),
+        Metric("UTMOS (proxy)", F.when(mos.isNotNull(), blends["utmos"]), **scale),
+        Metric("SHEET MOS (proxy)", F.when(mos.isNotNull(), blends["sheet"]), **scale),
+        Metric("Estimated Codec Bandwidth Cutoff", F.round(cut, 1), "Hz", higher=True),
+        Metric("Spectral Hole Ratio", F.round(hole, 2), "%", higher=False),
+        Metric("Pre-echo Risk", F.when(cut.isNotNull(), F.round(smear, 3)), higher=False),
+        Metric("Codec Artifact Risk", F.round(risk, 2), "%", higher=False, warning=lambda v: F.when(v >= 40, "Codec artifacts")),
+        Metric("P.563 Proxy (NB Quality Estimate)", F.round(narrow, 2), "MOS [1–4.5]", higher=True, bounds=(3.0, 4.5)),
+    ]
+
+
 def tilt() -> Column:
     """Slope in dB an octave of mean power from 100 Hz on."""
     step = F.col("sample_rate") / 4096
@@ -381,15 +494,21 @@ def prepared() -> list[dict[str, Column]]:
             "mean_flatness": mean(F.col("flatness")),
             "cepstral_f0": F.when(F.col("mag_4096").isNotNull(), cepstral_pitch()),
             "mean_prominence": mean(F.col("prominence")),
+            "signal_score": signal_score(),
+            "background_score": background_score(),
+            "plain_opinion": plain_opinion(),
+            "active_8k": narrowband_opinion()["active_8k"],
+            "mean_db_1024": F.transform("power_1024", lambda p: 10 * F.log10(p + EPS64)),
+            "pre_echo": pre_echo(),
         },
-        {"active_from": F.greatest(percentile(F.col("frame_level"), 0.3), F.lit(-50.0)), "f0_mean": mean(F.col("voiced_f0"))},
+        {"opinion_8k": narrowband_opinion()["opinion_8k"], "cutoff": cutoff(), "holes": holes(), "active_from": F.greatest(percentile(F.col("frame_level"), 0.3), F.lit(-50.0)), "f0_mean": mean(F.col("voiced_f0"))},
         {"active": F.transform("frame_level", lambda v: v > F.col("active_from")), "f0_std": spread(F.col("voiced_f0"))},
         {"rests": pauses(F.col("active"), hop)},
     ]
 
 
 #: What each shared value rests on.
-RESTS_ON = {"gated_level": "blocks_400", "frame_level": "energy", "floor_energy": "energy", "loud_energy": "energy", "voiced_f0": "f0", "top_partials": "partials", "mean_flatness": "flatness", "cepstral_f0": "cepstrum", "mean_prominence": "prominence", "active_from": "frame_level", "f0_mean": "voiced_f0", "active": "active_from", "f0_std": "f0_mean", "rests": "active"}
+RESTS_ON = {"gated_level": "blocks_400", "frame_level": "energy", "floor_energy": "energy", "loud_energy": "energy", "voiced_f0": "f0", "top_partials": "partials", "mean_flatness": "flatness", "cepstral_f0": "cepstrum", "mean_prominence": "prominence", "active_from": "frame_level", "f0_mean": "voiced_f0", "active": "active_from", "f0_std": "f0_mean", "rests": "active", "signal_score": "level_16k", "background_score": "power_16k", "plain_opinion": "level_512", "active_8k": "energy_8k", "mean_db_1024": "energy_1024", "pre_echo": "energy_1024", "opinion_8k": "active_8k", "cutoff": "mean_db_1024", "holes": "mean_db_1024"}
 
 #: Groups with the measures that they need.
 GROUPS: dict[str, tuple[Callable[[], list[Metric]], tuple[str, ...]]] = {
@@ -401,6 +520,7 @@ GROUPS: dict[str, tuple[Callable[[], list[Metric]], tuple[str, ...]]] = {
     "speech": (speech, ("mfcc_mean", "mfcc_std", "share_1024", "energy", "crossings", "speaking_rate", "energy_30", "power_512")),
     "prosody": (prosody, ("f0", "levels", "power_1024", "tremor_rate", "tremor_depth", "speech_rate")),
     "psychoacoustic": (psychoacoustic, ("partials", "power_4096", "flatness", "mag_4096", "cepstrum")),
+    "perceptual": (perceptual, ("level_16k", "power_16k", "variation_16k", "echo", "level_512", "power_512", "energy_8k", "flatness_8k", "power_8k", "jumps", "full_scale", "power_1024", "energy_1024")),
     "speaker": (speaker, ("f1", "f2", "f3", "f4", "power_4096", "prominence", "slow_f0")),
 }
 

@@ -31,7 +31,8 @@ CUE_WEIGHTS = {
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """x within its bounds; null stays null, which `greatest` and `least` pass over."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def _share(flags: Column) -> Column:

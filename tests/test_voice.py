@@ -310,6 +310,41 @@ def test_prominence(spark):
     assert breath["v16"] == 0 and breath["a-5"] > 0.6 and breath["a5"] == pytest.approx(min(1, max(0, (21 - cpp["a5"]) / 8)), abs=1e-3)
 
 
+# Opinion -------------------------------------------------------------------------------------------------------------
+
+
+def test_opinions(spark):
+    t = S.time(3.0)
+    clean = np.clip(np.sin(2 * np.pi * 2 * t), 0, None) * S.harmonic(150, 3.0)
+    spoken = S.spoken() * np.clip(np.sin(2 * np.pi * 2 * t), 0.02, None)
+    given = {f"n{std}": clean + S.white(3.0, std) for std in (0.0, 1e-3, 1e-2, 3e-2)} | {"spoken": spoken, "rumble": spoken + 0.3 * np.sin(2 * np.pi * 40 * t), "white": S.white(3.0, 0.1), "delayed": S.white(3.0, 0.1) + np.roll(S.white(3.0, 0.1), 1600), "short": S.sine(200, 0.01)}
+    got = facts(spark, given, "perceptual")
+    for name in ("DNSMOS P.835 SIG (proxy)", "DNSMOS P.835 BAK (proxy)", "DNSMOS P.835 OVRL (proxy)", "Estimated MOS (non-intrusive proxy)"):
+        scores = [got[f"n{std}"][name] for std in (0.0, 1e-3, 1e-2, 3e-2)]
+        assert scores == sorted(scores, reverse=True), (name, scores)
+    mos = "Estimated MOS (non-intrusive proxy)"
+    assert got["n0.0"][mos] > got["n0.03"][mos]
+    narrow = "P.563 Proxy (NB Quality Estimate)"
+    assert got["spoken"][narrow] >= 3 and got["rumble"][narrow] < got["spoken"][narrow] - 0.3
+    for v in got.values():
+        if mos in v:
+            assert v["UTMOS (proxy)"] == pytest.approx(min(5, max(1, 0.75 * v[mos] + 0.25 * v[narrow] / 4.5 * 5)), abs=0.011)
+    assert got["white"]["AECMOS (proxy)"] > 4.5 and got["delayed"]["AECMOS (proxy)"] == pytest.approx(5 - 8 * 0.5, abs=0.2)
+    assert not any(k.startswith(("DNSMOS", "Codec", "AECMOS")) for k in got["short"])
+
+
+def test_codec_artifacts(spark):
+    noise = S.white(2.0, 0.1)
+    spectrum, hz = np.fft.rfft(noise), np.fft.rfftfreq(len(noise), 1 / RATE)
+    low = np.fft.irfft(spectrum * (hz < 4000), len(noise))
+    holed = np.fft.irfft(spectrum * ~((hz > 2000) & (hz < 7000) & (hz // 60 % 6 == 0)), len(noise))
+    got = facts(spark, {"noise": noise, "low": low, "holed": holed}, "perceptual")
+    assert got["noise"]["Estimated Codec Bandwidth Cutoff"] == pytest.approx(8000, abs=20) and got["low"]["Estimated Codec Bandwidth Cutoff"] == pytest.approx(4000, abs=200)
+    assert got["noise"]["Spectral Hole Ratio"] < 1 and got["holed"]["Spectral Hole Ratio"] > 5
+    assert got["low"]["Codec Artifact Risk"] > got["noise"]["Codec Artifact Risk"] + 15
+    assert all(0 <= v["Pre-echo Risk"] <= 1 for v in got.values())
+
+
 # Content -------------------------------------------------------------------------------------------------------------
 
 
