@@ -25,7 +25,7 @@ an empty one, a text may have any length, and columns but doc_id and text are no
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .text import Words, checkpointed, discard, gram_hashes, mix, pieces
+from .text import STEP_BYTES, Words, checkpointed, discard, gram_hashes, mix, pieces
 
 SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -291,6 +291,35 @@ class Block:
         return rare + np.rint(other @ self.dense.T).astype(np.int64)
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """doc_id and text of rows, texts compressed: they are shuffled once for each block and slice, and shuffles compress less."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        small = zstandard.ZstdCompressor(level=3)
+        for b in pieces(batches):
+            texts = pa.array([small.compress((t or "").encode()) for t in b.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), texts], names=["doc_id", "text"])
+
+    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, text binary")
+
+
+def unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with their texts as they were, about a step of them at a time."""
+    import zstandard
+
+    whole = zstandard.ZstdDecompressor()
+    for b in batches:
+        at, texts, size = b.schema.names.index("text"), [], 0
+        for end, text in enumerate(b.column("text").to_pylist(), 1):
+            texts.append(whole.decompress(text))
+            size += len(texts[-1])
+            if size >= STEP_BYTES or end == b.num_rows:
+                yield b.slice(end - len(texts), len(texts)).set_column(at, "text", pa.array(texts, pa.binary()))
+                texts, size = [], 0
+
+
 def outside_links(members: DataFrame, docs: DataFrame) -> DataFrame:
     """Links between the outsiders of open cells and any document of the cell, for each outsider one a component and chunk at least.
 
@@ -316,7 +345,7 @@ def outside_links(members: DataFrame, docs: DataFrame) -> DataFrame:
                         out.append((min(node, nodes[j]), max(node, nodes[j])))
             todo.clear()
 
-        for b in pieces(batches):
+        for b in unpacked(batches):
             here = zip(*(b.column(c).to_pylist() for c in ("cell", "block", "slice", "held", "node", "component")), shingle_sets(b.column("text")), strict=True)
             for cell, number, piece, held, node, part, s in here:
                 if (cell, number, piece) != where:
@@ -342,7 +371,7 @@ def outside_links(members: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
     ids = few(checkpointed(members.select(F.col("node").alias("doc_id")).distinct()))
-    texts = checkpointed(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")).withColumnRenamed("doc_id", "node")
+    texts = checkpointed(packed(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"))).withColumnRenamed("doc_id", "node")
     band = F.floor(F.log("n") / math.log(1.1)).cast("int")
     outer = members.where("outer").withColumn("band", band)
     bands = outer.groupBy("cell", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("n").alias("least"), F.max("n").alias("most"))
