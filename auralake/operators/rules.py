@@ -76,6 +76,15 @@ def apply_rules(results: DataFrame, facts: DataFrame, rules: DataFrame, unmatche
     return add_warnings(facts, found), every, counts.select("file", "n", text.alias("note"), diagnostic.alias("diagnostic"))
 
 
+def unmatched_notes(results: DataFrame, facts: DataFrame, rules: DataFrame, behavior: str = "note") -> DataFrame:
+    """file, note and diagnostic for every file if there are rules that match no fact at all; nothing for "ignore"."""
+    names = unmatched(facts, rules, "note" if behavior != "ignore" else behavior).agg(F.array_join(F.array_sort(F.collect_set("metric")), ", ").alias("_names")).where("_names != ''")  # one row, from rules
+    note = F.concat(F.lit("threshold rules: unmatched metric names: "), "_names")  # fixed text
+    severity = "error" if behavior == "error" else "warn"
+    diagnostic = F.struct(F.lit("threshold_rules_unmatched").alias("code"), F.lit(severity).alias("severity"), F.lit("rules").alias("source"), note.alias("message"))
+    return results.select("file").distinct().crossJoin(F.broadcast(names)).select("file", note.alias("note"), diagnostic.alias("diagnostic"))
+
+
 RULE_KEYS = {"metric": str, "group": str, "min": (int, float), "max": (int, float), "equals": (int, float), "require_present": bool, "message": str}
 
 

@@ -96,17 +96,24 @@ def exposition_lines(series: DataFrame, prefix: str = "audio") -> DataFrame:
 
 #: Columns of a wide report before its metrics (fixed values).
 REPORT_COLUMNS = (
-    "file", "source_file", "segment_index", "total_segments", "segment_start_s", "segment_end_s", "duration_s", "sample_rate", "channels", "bit_depth", "content_type", "speech_confidence",
-    "schema_version", "tool_version", "notes", "confidence_notes", "defect_labels", "repair_suggestions", "triage_rank", "triage_score", "error", "status",
+    "schema_version", "tool_version", "file", "source_file", "segment_index", "total_segments", "segment_start_s", "segment_end_s", "duration_s", "sample_rate", "channels", "content_type", "speech_confidence", "notes", "confidence_notes",
+    "diagnostics", "group_health", "provenance_backend", "provenance_runtime", "runtime_fingerprint", "insights", "error",
 )
 
 
 def wide_report(reports: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """A row a report row: its fixed columns (lists joined by ` | `, absent ones null), then a column a metric; the last of repeated names wins. No shuffle but for finding the names."""
+    """A row a report row: its fixed columns (lists of text joined by ` | `, other nested values as JSON, absent ones null), then a column a metric; the last of repeated names wins. No shuffle but for finding the names."""
     if names is None:
         first = reports.select(F.posexplode("metrics").alias("pos", "m")).groupBy("m.name").agg(F.min("pos").alias("pos")).orderBy("pos", "name").collect()  # a row a metric name
         names = [r["name"] for r in first]
-    text = lambda c: F.array_join(F.col(c), " | ") if dict(reports.dtypes)[c].startswith("array<string") else F.col(c)
+    kinds = dict(reports.dtypes)
+
+    def text(c: str) -> Column:
+        """Lists of text joined, other nested values as JSON."""
+        if kinds[c].startswith("array<string"):
+            return F.array_join(F.col(c), " | ")
+        return F.to_json(c) if kinds[c].startswith(("array", "map", "struct")) else F.col(c)
+
     fixed = [text(c).alias(c) if c in reports.columns else F.lit(None).cast("string").alias(c) for c in REPORT_COLUMNS]
     value = lambda n: F.try_element_at(F.filter("metrics", lambda m: m["name"] == n), F.lit(-1))["value"]
     finite = lambda v: F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)

@@ -325,6 +325,14 @@ def rules_applied(spark, sf_dir):
     return rules.apply_rules(r, f, preset_rules(spark, "podcast"), "note")[2].select("file", "n", F.col("diagnostic.message").alias("note"))
 
 
+@query("select file, note, 'warn' as severity from (select distinct file from results), (select 'threshold rules: unmatched metric names: ' || string_agg(m, ', ' order by m) as note from (select unnest(['estimated snr', 'Tempo', 'Loudness War']) as m) where lower(m) not in (select lower(name) from facts))", "results", "facts")
+def rule_notes(spark, sf_dir):
+    """The note of every file when rules name metrics that nothing has."""
+    own = rules_table(spark, [("estimated snr", "noise", 20.5, 40.0, None), ("Tempo", None, None, 1.0, None), ("Loudness War", None, 2.0, None, None), ("Tempo", "noise", 1.0, None, None)])
+    notes = rules.unmatched_notes(views.results(spark, sf_dir), views.facts(spark, sf_dir), own)
+    return notes.select("file", "note", F.col("diagnostic.severity").alias("severity"))
+
+
 @query("select file, count(*) filter (where verdict = 'regression') as regressions, count(*) filter (where verdict = 'missing_after') as missing_after, count(*) filter (where verdict = 'regression') = 0 as accepted from (select b.source_key as file, case when a.snr is null then 'missing_after' when a.snr - b.snr < -1e-6 then 'regression' end as verdict from (select source_key, arg_max(snr, tie) as snr from results where segment_index = 1 group by 1) b join (select source_key, arg_max(case when tie > 30000 then snr end, tie) as snr, 1 as x from results where segment_index = 2 group by 1) a using (source_key)) group by file", "results")
 def repair_verdicts(spark, sf_dir):
     b, a = (side(spark, sf_dir, k).where("name = 'Estimated SNR'") for k in (1, 2))

@@ -64,6 +64,14 @@ def test_providers_and_carried_labels(spark):
     again = enrich.enrich(first.select(*df.columns, "defect_labels"), providers={"two": lambda m: label("z")}).first()
     assert [x.id for x in again.defect_labels] == ["x", "z"]
 
+    def broken(metrics):
+        raise KeyError("no such thing")
+
+    mixed = enrich.enrich(df, providers={"broken": broken, "wrong": lambda m: m["nothing"], "one": lambda m: label("x")}).first()
+    assert [x.id for x in mixed.defect_labels] == ["x"]
+    assert [(d.code, d.source) for d in mixed.provider_diagnostics] == [("plugin_label_provider_failed", "broken"), ("plugin_label_provider_failed", "wrong")]
+    assert "KeyError" in mixed.provider_diagnostics[0].message
+
 
 def test_rule_files(spark, tmp_path):
     good = tmp_path / "r.toml"
