@@ -6,7 +6,9 @@ Training reads at most `sample` labelled rows (those with the smallest id hashes
 weights are averaged; nothing else is sampled. Weights are `2 ** bits` numbers whatever the corpus.
 
 Null and empty texts get the score of the bias alone. Rows without a label, with a null label or held out are not learnt
-from; repeated labels of one id count once (the larger). Without any label every score is 0.5.
+from; repeated labels of one id count once (the larger). Without any label every score is 0.5. Repeated rows are scored as often
+as they occur, an empty table gives an empty one, and a text of any length is hashed whole, in time in proportion. Ties can't
+matter, as nothing is ranked. Columns but doc_id and text are not used, whatever their names.
 """
 
 from __future__ import annotations

@@ -4,7 +4,9 @@ Each rule votes bad (0), good (1) or abstains (-1). Expectation-maximisation ove
 (at most 3 ** rules of them, whatever the corpus) estimates the rules' accuracies and the share of good documents,
 and the posterior probability of "good" replaces an all-must-pass filter.
 
-Null and empty texts have no words, fail the base rule and are not kept; ties, repeated rows and extra columns need no care.
+Null and empty texts have no words, fail the base rule and are not kept; a null doc_id stays null. Repeated rows
+are votes of their own and get equal verdicts; an empty table gives an empty one; a text of any length is counted whole, in time in
+proportion. Ties can't matter, as nothing is ranked. Columns but doc_id and text are not used, whatever their names.
 """
 
 from __future__ import annotations
