@@ -137,7 +137,9 @@ def recurring_lines(docs: DataFrame, similarity: float = 0.75, min_contexts: int
     full = line_table(docs, known, True)
     full = checkpointed(full if known is not None else full.join(leaves, "leaf", "left_semi"))
     distinct = full.groupBy("leaf", "line").agg(F.countDistinct("body").alias("n"), F.min("tokens").alias("tokens"))
-    named = grow_templates(distinct, similarity, min_contexts)
+    named = checkpointed(grow_templates(distinct, similarity, min_contexts))
+    if named.count() <= BROADCAST:
+        named = F.broadcast(named)
     groups = copy_groups(sketch_table(docs), alike)
     placed = full.select("leaf", "line", "body").join(groups, "body", "left").withColumn("origin", F.coalesce("origin", "body"))
     kept = checkpointed(placed.join(named, ["leaf", "line"]))
