@@ -1,4 +1,10 @@
-"""A corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""A corpus pipeline: stages over documents, each written as Parquet and read again by the next.
+
+Null and empty texts are clean: they pass toxicity, line dedup and the join (they link with nothing), the mix takes them zero
+times, as they have no words, and so they aren't packed. Of repeated rows and near copies the smallest id stays, rows without an
+id are kept, ties of any stage go as its module says, texts are worked on whole whatever their length, and an empty table gives an
+empty result. Other columns are carried along until the packing, whatever their names.
+"""
 
 from __future__ import annotations
 
