@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on; a longer document makes a step of its own.
 STEP_BYTES = 2 << 20
+#: The same where many arrays of eight bytes a byte of text are held at once; they stay in the caches, too.
+SMALL_STEP = 512 << 10
 
 GAP = np.zeros(256, bool)
 GAP[[0x20, 9, 10, 11, 12, 13]] = True

@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import labelled
-from .text import Words, checkpointed, held_out, mix, pieces, span_hashes
+from .text import SMALL_STEP, Words, checkpointed, held_out, mix, pieces, span_hashes
 
 STEMS = (4, 5, 6)
 #: Weights of an exact or stem hit, of a hit within one edit, and the factor of a quoted one.
 EXACT, NEAR, QUOTED = 1.0, 0.5, 0.3
 MIN_NEAR, WINDOW_BYTES, CLUSTER_WORDS = 5, 80, 20
+#: Tokens whose match a task remembers, about; then it forgets all.
+KNOWN = 200_000
 LEET = str.maketrans("013457@$", "oieastas")
 QUOTES = "\"“”„«»‘’"
 SAYING = re.compile(r"\b(said|says|wrote|called|quote|quoted|quoting|word|term|dit|écrit|sagte|schrieb|dijo|escribió)\b")
@@ -168,7 +170,7 @@ class Lexicon:
         first = np.full(len(value), -1)
         first[back[::-1]] = at[::-1]
         weight = np.zeros(len(value))
-        if len(self.known) > 1_000_000:
+        if len(self.known) > KNOWN:
             self.known.clear()
         for k, (h, i) in enumerate(zip(value.tolist(), first.tolist(), strict=True)):
             if (known := self.known.get(h)) is None:
@@ -221,7 +223,7 @@ def learn_lexicon(rows: DataFrame, min_docs: int = 5, min_share: float = 0.005,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
+        for b in pieces(batches, limit=SMALL_STEP):
             tally: dict[tuple[str, int], list[int]] = {}
             w, start, end, word = trimmed(b.column("text"))
             before = np.concatenate(([0], mix(word[:-1]))) if len(word) else word
@@ -262,7 +264,7 @@ def clean_spellings(rows: DataFrame, lexicon: Lexicon) -> frozenset[str]:
     """Tokens near a term in labelled rows that aren't toxic; the number of labelled rows bounds them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
+        for b in pieces(batches, limit=SMALL_STEP):
             label = b.column("label").to_pylist()
             near = {t for row, _, _, t in lexicon.hits(b.column("text")) if label[row] < 0.5 and t not in lexicon.words}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(near), pa.string())], names=["token"])
@@ -296,7 +298,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[Lex
     lexicon = Lexicon(sorted(lexicon.words), sorted(lexicon.stems), clean_spellings(rows, lexicon))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
+        for b in pieces(batches, limit=SMALL_STEP):
             m = measures(lexicon, b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("label"), *(pa.array(m[:, j].copy()) for j in range(3))], names=["label", "a", "b", "c"])
 
@@ -316,7 +318,7 @@ def score_rows(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray, keep: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Lexicon(*shared.value)
-        for b in pieces(batches, at):
+        for b in pieces(batches, at, SMALL_STEP):
             m = measures(own, b.column(at))
             score = 1 / (1 + np.exp(-np.clip(m @ weights[:3] + weights[3], -35, 35)))
             yield pa.RecordBatch.from_arrays([*b.columns[:keep], pa.array(score)], names=[*b.schema.names[:keep], "score"])
