@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .copies import copy_groups, sketches
-from .text import Words, _power, checkpointed, discard, mix, pieces
+from .text import SMALL_STEP, Words, _power, checkpointed, discard, mix, pieces, span_hashes
 
 LEADING = 3
 FIELD = np.uint64(0x5EED_F1E1D)
@@ -35,32 +35,69 @@ BROADCAST = 1 << 20
 
 
 class Lines:
-    """The worded lines of a string column: row, leaf, hash, first token and token count of each."""
+    """The worded lines of a string column: row, number in its text, bounds, token count and leaf of each; other hashes as asked for."""
 
     def __init__(self, text: pa.Array):
         w = self.words = Words(text)
-        word = w.hashes()
-        odd = np.concatenate(([0], np.cumsum(VARIABLE[w.data])))
-        self.token = np.where(odd[w.end] > odd[w.start], FIELD, word)
-        breaks = np.concatenate(([0], np.cumsum(w.data == 10)))
-        place = breaks[w.start] + w.row
-        fresh = np.concatenate(([True], place[1:] != place[:-1])) if len(place) else np.zeros(0, bool)
-        self.first = np.flatnonzero(fresh)
-        self.end = np.append(self.first[1:], len(word))[: len(self.first)]
+        breaks = np.flatnonzero(w.data == 10)
+        fresh = np.zeros(len(w.start) + 1, bool)
+        fresh[np.searchsorted(w.start, breaks)] = True
+        fresh[w.first] = True
+        self.first = np.flatnonzero(fresh[:-1])
+        self.end = np.append(self.first[1:], len(w.start))[: len(self.first)]
         self.count = self.end - self.first
         self.row = w.row[self.first]
-        self.number = (breaks[w.start] - breaks[w.off[w.row]])[self.first]  # of the line in its text
-        power, inverse = _power(len(word) + 1)
+        self.number = np.searchsorted(breaks, w.start[self.first]) - np.searchsorted(breaks, w.off[self.row])  # of the line in its text
+        leaf = self.count.astype(np.uint64)
+        lead = np.minimum(self.count, LEADING)
+        token = self._tokens(runs(self.first, lead))
+        base = np.cumsum(lead) - lead
         with np.errstate(over="ignore"):
-            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.token * power[: len(word)])))
-            body = (total[self.end] - total[self.first]) * inverse[self.first]
-            self.line = mix(body ^ self.count.astype(np.uint64))
-            leaf = self.count.astype(np.uint64)
-            for k in range(LEADING):
-                at = np.minimum(self.first + k, np.maximum(self.end - 1, self.first))
-                leaf = mix(leaf * np.uint64(31) + np.where(k < self.count, self.token[at], np.uint64(1))) if len(at) else leaf
+            for k in range(LEADING if len(leaf) else 0):
+                leaf = mix(leaf * np.uint64(31) + np.where(k < lead, token[base + np.minimum(k, lead - 1)], np.uint64(1)))
         self.leaf = leaf
 
+    def _tokens(self, word: np.ndarray) -> np.ndarray:
+        """The token hashes of some words; only their bytes are worked on."""
+        w = self.words
+        data, start, end = w.data, w.start, w.end
+        if len(word) < len(start):
+            size = (end - start)[word]
+            data = data[runs(start[word], size)]
+            end = np.cumsum(size)
+            start = end - size
+        odd = np.concatenate(([0], np.cumsum(VARIABLE[data], dtype=np.int32)))
+        return np.where(odd[end] > odd[start], FIELD, span_hashes(data, start, end))
+
+    def hashes(self, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the lines `at` (all, if None): the hash of each, their tokens one after another, and where each begins there."""
+        first, count = (self.first, self.count) if at is None else (self.first[at], self.count[at])
+        token = self._tokens(runs(first, count))
+        end = np.cumsum(count)
+        start = end - count
+        power, inverse = _power(len(token) + 1)
+        with np.errstate(over="ignore"):
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(token * power[: len(token)])))
+            return mix((total[end] - total[start]) * inverse[start] ^ count.astype(np.uint64)), token, start
+
+
+def runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1 and so on, `size` of them, for one after another."""
+    end = np.cumsum(size)
+    return np.arange(end[-1] if len(end) else 0) + np.repeat(start - (end - size), size)
+
+
+def member(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each of x is in `known`, which is sorted."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
+def _once(row: np.ndarray, key: np.ndarray, body: np.ndarray) -> np.ndarray:
+    """Where each pair of text and key comes first, in order."""
+    return np.sort(np.unique(mix(key ^ mix(body.view(np.uint64)[row])), return_index=True)[1])
+
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
@@ -74,20 +111,35 @@ def free_name(name: str, taken: list[str]) -> str:
     return name
 
 
+def leaf_table(docs: DataFrame) -> DataFrame:
+    """(leaf, body: hash of the text) of the lines, once a text or nearly so."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, limit=SMALL_STEP):
+            t = Lines(b.column("text"))
+            body = b.column("body").to_numpy()
+            at = _once(t.row, t.leaf, body)
+            yield pa.RecordBatch.from_arrays([_signed(t.leaf[at]), pa.array(body[t.row[at]])], names=["leaf", "body"])
+
+    return docs.select("text", F.xxhash64("text").alias("body")).mapInArrow(run, "leaf long, body long")
+
+
 def line_table(docs: DataFrame, leaves: np.ndarray | None, tokens: bool) -> DataFrame:
-    """Lines as (leaf, line, body: hash of the text), once a text, and their token hashes; only those of `leaves` if given."""
+    """Lines as (leaf, line, body: hash of the text), once a text, and their token hashes; only those of `leaves` (sorted) if given."""
     shared = docs.sparkSession.sparkContext.broadcast(leaves)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
+        for b in pieces(batches, limit=SMALL_STEP):
             t = Lines(b.column("text"))
-            keep = np.ones(len(t.line), bool) if shared.value is None else np.isin(t.leaf, shared.value)
-            body = b.column("body").to_numpy()[t.row]
-            _, once = np.unique(mix(t.line ^ mix(body.view(np.uint64)))[keep], return_index=True)
-            at = np.flatnonzero(keep)[once]
-            cols = [_signed(x[at]) for x in (t.leaf, t.line)] + [pa.array(body[at])]
+            at = np.arange(len(t.leaf)) if shared.value is None else np.flatnonzero(member(t.leaf, shared.value))
+            line, token, start = t.hashes(at)
+            body = b.column("body").to_numpy()
+            once = _once(t.row[at], line, body)
+            line, start, at = line[once], start[once], at[once]
+            cols = [_signed(t.leaf[at]), _signed(line), pa.array(body[t.row[at]])]
             if tokens:
-                cols.append(pa.array([t.token[t.first[i] : t.end[i]].view(np.int64) for i in at.tolist()], pa.list_(pa.int64())))
+                own = _signed(token[runs(start, t.count[at])])
+                cols.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(t.count[at])), pa.int32()), own))
             yield pa.RecordBatch.from_arrays(cols, names=["leaf", "line", "body", "tokens"][: len(cols)])
 
     rows = docs.select("text", F.xxhash64("text").alias("body"))
@@ -98,9 +150,9 @@ def sketch_table(docs: DataFrame) -> DataFrame:
     """(body, sketch) of texts with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
+        for b in pieces(batches, limit=SMALL_STEP):
             t = Lines(b.column("text"))
-            row, sketch = sketches(t.token, t.first, t.count, t.row)
+            row, sketch = sketches(t.hashes()[1], t.first, t.count, t.row)
             yield pa.RecordBatch.from_arrays([b.column("body").take(pa.array(row)), pa.array([x.tobytes() for x in sketch], pa.binary())], names=["body", "sketch"])
 
     return docs.select("text", F.xxhash64("text").alias("body")).mapInArrow(run, "body long, sketch binary")
@@ -128,9 +180,9 @@ def recurring(table: DataFrame, keys: list[str], min_contexts: int) -> DataFrame
 
 
 def recurring_lines(docs: DataFrame, similarity: float = 0.75, min_contexts: int = 8, alike: float = 0.55) -> DataFrame:
-    """Hashes (line) of all lines whose template recurs across documents."""
-    leaf_table = line_table(docs, None, False).groupBy("leaf", "body").agg(F.count("*").alias("n")).groupBy("leaf").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_contexts).select("leaf")
-    leaves = checkpointed(leaf_table)  # a template has no more contexts than its leaf has texts
+    """(leaf, line) of all lines whose template recurs across documents."""
+    held = leaf_table(docs).distinct().groupBy("leaf").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_contexts).select("leaf")
+    leaves = checkpointed(held)  # a template has no more contexts than its leaf has texts
     known = None
     if leaves.count() <= BROADCAST:
         known = np.sort(leaves.toPandas().leaf.to_numpy(np.int64).view(np.uint64))
@@ -147,7 +199,7 @@ def recurring_lines(docs: DataFrame, similarity: float = 0.75, min_contexts: int
     wanted = checkpointed(recurring(kept, ["leaf", "template"], min_contexts).select("leaf", "template"))
     if wanted.count() <= BROADCAST:
         wanted = F.broadcast(wanted)
-    gone = checkpointed(kept.join(wanted, ["leaf", "template"], "left_semi").select("line").distinct())
+    gone = checkpointed(kept.join(wanted, ["leaf", "template"], "left_semi").select("leaf", "line").distinct())
     discard(kept)
     return gone
 
@@ -162,23 +214,27 @@ def drop_templates(docs: DataFrame, counts: bool = True, **options) -> DataFrame
     fields = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
     known = None
     if gone.count() <= BROADCAST:
-        known = spark.sparkContext.broadcast(np.sort(gone.toPandas().line.to_numpy(np.int64).view(np.uint64)))
+        got = gone.toPandas()
+        known = spark.sparkContext.broadcast([np.unique(got[c].to_numpy(np.int64).view(np.uint64)) for c in ("leaf", "line")])
         rows = rows.withColumn("gone", F.lit(None).cast("array<long>"))
     else:  # line by line through a join
         rows = rows.withColumn("body", F.xxhash64(at))
-        own = line_table(docs.select("text"), None, False).select("body", "line").distinct().join(gone, "line", "left_semi")
+        own = line_table(docs.select("text"), None, False).select("body", "line").distinct().join(gone.select("line"), "line", "left_semi")
         rows = rows.join(own.groupBy("body").agg(F.collect_list("line").alias("gone")), "body", "left").drop("body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, at):
+        for b in pieces(batches, at, SMALL_STEP):
             t = Lines(b.column(at))
+            drop = np.zeros(len(t.leaf), bool)
             if known is not None:
-                drop = np.isin(t.line, known.value)
+                leaves, lines = known.value
+                own = np.flatnonzero(member(t.leaf, leaves))
+                drop[own] = member(t.hashes(own)[0], lines)
             else:
-                drop = np.zeros(len(t.line), bool)
                 for r, lines in enumerate(b.column("gone").to_pylist()):
                     if lines:
-                        drop |= (t.row == r) & np.isin(t.line, np.array(lines, np.int64).view(np.uint64))
+                        own = np.arange(*np.searchsorted(t.row, [r, r + 1]))
+                        drop[own] = member(t.hashes(own)[0], np.sort(np.array(lines, np.int64).view(np.uint64)))
             texts = b.column(at).to_pylist()
             for r in np.unique(t.row[drop]).tolist():
                 a, z = np.searchsorted(t.row, [r, r + 1])

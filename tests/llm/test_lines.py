@@ -3,10 +3,12 @@
 import random
 
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from auralake.llm import copies, lines
+from auralake.llm import copies, lines, text
 
 
 def ambiguous(seed, n=260):
@@ -78,3 +80,23 @@ def test_near_copies_are_found(spark):
     of = [group.get(body[t], body[t]) for t in texts]
     assert len(near) > 500 and sum(of[i] == of[j] for i, j in near) >= 0.9 * len(near)
     assert not any(of[i] == of[j] for i, j in far)
+
+
+def test_only_wanted_lines_are_hashed(monkeypatch):
+    """Leaves need the first tokens of a line only; the hashes of some lines are those that all lines get."""
+    worked = []
+
+    def spy(data, start, end, whole=text.span_hashes):
+        worked.append(len(data))
+        return whole(data, start, end)
+
+    monkeypatch.setattr(text, "span_hashes", spy)
+    monkeypatch.setattr(lines, "span_hashes", spy, raising=False)
+    texts = pa.array([f"{t}\n{'more words ' * 20}\n\n {i} x@y\n" if t else t for i, t in enumerate(ambiguous(7))])
+    t = lines.Lines(texts)
+    assert sum(worked) < len(text.raw(texts)[0]) / 3
+    line, token, start = t.hashes()
+    at = np.arange(0, len(line), 3)
+    some, own, begin = t.hashes(at)
+    assert (some == line[at]).all()
+    assert all((own[b : b + n] == token[s : s + n]).all() for b, s, n in zip(begin, start[at], t.count[at], strict=True))
