@@ -15,7 +15,8 @@ h <= (1 - t) / (1 + t) * (|x| + |y|).
    In an open cell the documents outside the largest component are joined, in blocks, with all documents of the cell, which
    are dealt over slices, so a task holds one block and streams one slice.
 4. Before texts are compared, the triangle inequality prunes pairs: counts of shingles in hash classes (64 or more, by
-   size) are distances to fixed pivots, and the sum of their differences is at most h.
+   size) are distances to fixed pivots, and the sum of their differences is at most h. Blocks and slices first meet as such
+   counts, and only the texts of documents that then have a possible partner follow them.
 
 Shingles are 64-bit hashes. Null or empty texts have no shingles, no links and their own id as component; a null id is
 returned with a null component. Ids are taken as unique; rows that repeat one are returned as often. An empty table gives
@@ -104,7 +105,8 @@ def set_keys(docs: DataFrame) -> DataFrame:
                 cols[0].append(len(s))
                 cols[1].append(int(m.sum().view(np.int64)) if len(s) else 0)
                 cols[2].append(int(np.bitwise_xor.reduce(mix(m)).view(np.int64)) if len(s) else 0)
-                cols[3].append(np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 65535).astype("<u2").tobytes())
+                # a count stops at 255, which only makes distances smaller
+                cols[3].append(np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=["doc_id", "n", "k1", "k2", "counts"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, counts binary")
@@ -213,7 +215,7 @@ def close_enough(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 keep = 100 * np.minimum(m, n) >= PERCENT * np.maximum(m, n)
                 x, y = (b.column(c) for c in ("ca", "cb"))
                 for i in np.flatnonzero(keep).tolist():
-                    u, v = (np.frombuffer(c[i].as_buffer(), "<u2").astype(np.int64) for c in (x, y))
+                    u, v = (np.frombuffer(c[i].as_buffer(), np.uint8).astype(np.int64) for c in (x, y))
                     few = min(len(u), len(v))
                     away = np.abs(u.reshape(few, -1).sum(axis=1) - v.reshape(few, -1).sum(axis=1)).sum()
                     keep[i] = (100 + PERCENT) * away <= (100 - PERCENT) * (m[i] + n[i])
@@ -230,7 +232,7 @@ def verified(pairs: DataFrame, docs: DataFrame, per_part: int = 2000) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, pivot = None, np.zeros(0, np.uint64)
-        for b in pieces(batches):
+        for b in unpacked(batches):
             out_a, out_b = [], []
             for a, other, s in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), shingle_sets(b.column("text")), strict=True):
                 if other is None:
@@ -246,7 +248,7 @@ def verified(pairs: DataFrame, docs: DataFrame, per_part: int = 2000) -> DataFra
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)  # spares a shuffle of all texts; beyond the bound they are shuffled
-    texts = checkpointed(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"))
+    texts = checkpointed(packed(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")))
     centre = parts.join(texts, parts.a == texts.doc_id).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
     other = pairs.join(parts, "a").join(texts, F.col("b") == texts.doc_id).select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b", "text")
     linked = checkpointed(centre.union(other).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b")).select("a", "b", "text").mapInArrow(run, "a long, b long").distinct())
@@ -292,7 +294,7 @@ class Block:
 
 
 def packed(rows: DataFrame) -> DataFrame:
-    """doc_id and text of rows, texts compressed: they are shuffled once for each block and slice, and shuffles compress less."""
+    """doc_id and text of rows, texts compressed: they are shuffled once for each pair, or block and slice, and shuffles compress less."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -320,11 +322,69 @@ def unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 texts, size = [], 0
 
 
-def outside_links(members: DataFrame, docs: DataFrame) -> DataFrame:
+def folded(counts: np.ndarray, bits: int) -> np.ndarray:
+    """Counts (the last axis) in 2^bits hash classes, made from those in as many or more."""
+    return counts.reshape(*counts.shape[:-1], 1 << bits, -1).sum(axis=-1, dtype=np.float32)
+
+
+def with_partners(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows (cell, block, slice, held, node, component, n) that sizes and distances to the fixed pivots leave a partner of another component in their block and slice.
+
+    Held rows are a block, the others are streamed past it; counts stand for texts, a tenth of their bytes or less.
+    """
+    names = ["cell", "block", "slice", "held", "node", "component"]
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, held, found = None, [], np.zeros(0, bool)
+        out: list[tuple] = []
+
+        def close() -> None:
+            out.extend((*where, True, held[i][0], held[i][1]) for i in np.flatnonzero(found).tolist())
+
+        def taken() -> pa.RecordBatch:
+            b = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(names), kinds, strict=True)], names=names)
+            out.clear()
+            return b
+
+        for b in batches:
+            for cell, block, piece, own, node, part, n, c in zip(*(b.column(x).to_pylist() for x in (*names, "n", "counts")), strict=True):
+                if (cell, block, piece) != where:
+                    close()
+                    where, held, found, at = (cell, block, piece), [], np.zeros(0, bool), {}
+                x = np.frombuffer(c, np.uint8)
+                if own:
+                    held.append((node, part, n, x))
+                    continue
+                if not held:
+                    continue
+                if not at:
+                    parts, size, found = np.array([h[1] for h in held]), np.array([h[2] for h in held]), np.zeros(len(held), bool)
+                    least = min(len(h[3]) for h in held).bit_length() - 1
+                    at[least] = np.stack([folded(h[3], least) for h in held])
+                bits = min(least, len(x).bit_length() - 1)
+                if bits not in at:
+                    at[bits] = folded(at[least], bits)
+                away = np.abs(at[bits] - folded(x, bits)) @ np.ones(1 << bits, np.float32)
+                fits = (parts != part) & (100 * np.minimum(size, n) >= PERCENT * np.maximum(size, n)) & ((100 + PERCENT) * away.astype(np.int64) <= (100 - PERCENT) * (size + n))
+                if fits.any():
+                    found |= fits
+                    out.append((*where, False, node, part))
+            if out:
+                yield taken()
+        close()
+        yield taken()
+
+    placed = rows.join(classes.select("node", "counts"), "node").repartition("cell", "block", "slice").sortWithinPartitions("cell", "block", "slice", F.desc("held"), "node")
+    return placed.select(*names, "n", "counts").mapInArrow(run, "cell long, block string, slice int, held boolean, node long, component long")
+
+
+def outside_links(members: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Links between the outsiders of open cells and any document of the cell, for each outsider one a component and chunk at least.
 
     members: cell, node, n, component, outer. Outsiders are blocked by size, and a block meets the documents of its cell whose
-    sizes can link with one of its own; it is held and they are streamed past it, in slices that each have a task.
+    sizes can link with one of its own; it is held and they are streamed past it, in slices that each have a task. Both are
+    counts first, and texts only of those that then have a possible partner.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,22 +430,22 @@ def outside_links(members: DataFrame, docs: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
-    ids = few(checkpointed(members.select(F.col("node").alias("doc_id")).distinct()))
-    texts = checkpointed(packed(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"))).withColumnRenamed("doc_id", "node")
     band = F.floor(F.log("n") / math.log(1.1)).cast("int")
     outer = members.where("outer").withColumn("band", band)
     bands = outer.groupBy("cell", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("n").alias("least"), F.max("n").alias("most"))
     block = lambda number: F.concat_ws(":", "band", number).alias("block")
     slices = members.groupBy("cell").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
     own = outer.join(bands.select("cell", "band", "blocks"), ["cell", "band"]).join(slices, "cell").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    own = own.select("cell", block(F.pmod(F.xxhash64("node"), F.col("blocks"))), "slice", F.lit(True).alias("held"), "node", "component")
+    own = own.select("cell", block(F.pmod(F.xxhash64("node"), F.col("blocks"))), "slice", F.lit(True).alias("held"), "node", "component", "n")
     fits = (100 * F.col("n") >= PERCENT * F.col("least")) & (PERCENT * F.col("n") <= 100 * F.col("most"))
     every = members.join(slices, "cell").withColumn("slice", F.pmod(F.xxhash64("node", F.lit(1)), F.col("slices")).cast("int")).join(bands, "cell").where(fits)
-    every = every.select("cell", "slice", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("number"), "node", "component").select("cell", block("number"), "slice", F.lit(False).alias("held"), "node", "component")
-    rows = own.union(every).join(texts, "node")
-    placed = rows.repartition("cell", "block", "slice").sortWithinPartitions("cell", "block", "slice", F.desc("held"), "node").select("cell", "block", "slice", "held", "node", "component", "text")
+    every = every.select("cell", "slice", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("number"), "node", "component", "n").select("cell", block("number"), "slice", F.lit(False).alias("held"), "node", "component", "n")
+    near = checkpointed(with_partners(own.union(every), classes))
+    ids = checkpointed(near.select(F.col("node").alias("doc_id")).distinct())
+    packs = checkpointed(packed(docs.select("doc_id", "text").join(few(ids), "doc_id", "left_semi")))
+    placed = near.join(packs.withColumnRenamed("doc_id", "node"), "node").repartition("cell", "block", "slice").sortWithinPartitions("cell", "block", "slice", F.desc("held"), "node").select("cell", "block", "slice", "held", "node", "component", "text")
     linked = checkpointed(placed.mapInArrow(run, "a long, b long").distinct())
-    discard(texts)
+    discard(near, ids, packs)
     return linked
 
 
@@ -412,7 +472,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) ->
     members = checkpointed(sized.select("cell", "node", "n", "component", (F.col("component") != F.col("main")).alias("outer")))
     discard(cells)
     if not members.isEmpty():
-        new = outside_links(members, docs)
+        new = outside_links(members, docs, classes)
         if not new.isEmpty():
             parts = components(links.union(new))
     discard(members)

@@ -249,3 +249,32 @@ def test_mixing(spark, none):
         assert abs(sum(r.taken for r in own) - own[0].target) <= 200
         assert all(0 <= r.taken <= 3 * r.size and r.taken == r.copies * r.size for r in own)
     assert mixing.mix_sources(none).count() == 0
+
+
+def test_open_cells_ship_texts_of_possible_partners_only(spark, monkeypatch):
+    """Documents that share a pivot but not four fifths of their shingles meet as counts; their texts are not sent to blocks."""
+    import random
+
+    rng = random.Random(9)
+    for name, value in (("SMALL", 1), ("BLOCK", 4), ("SLICE", 5), ("SAMPLE", 1)):
+        monkeypatch.setattr(jaccard, name, value)
+    shared = [f"s{i}" for i in range(30)]
+    texts = {i: " ".join(shared + [f"w{i}x{k}" for k in range(6)]) for i in range(40)}
+    for i in range(40, 50):  # one word off a text before, at either end
+        words = texts[i - 40].split()
+        words[rng.choice((0, 35))] = f"q{i}"
+        texts[i] = " ".join(words)
+    sent, partners = [], jaccard.with_partners
+
+    def counted(rows, classes):
+        out = partners(rows, classes)
+        sent.append((rows.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "with_partners", counted)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_join(df).collect()}
+    assert got == brute.components(texts)
+    assert sent, "no cell was open"
+    before, after = sent[0]
+    assert after < before / 2
