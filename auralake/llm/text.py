@@ -6,6 +6,7 @@ never occur inside a longer character, so bytes and characters give the same wor
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -164,10 +165,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Seconds between two times that the driver's garbage is collected.
+COLLECT_S = 10
+_collected = [0.0]
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Shuffle files go from the disks once the driver's JVM has collected what refers to them, which it else puts off until its heap is full."""
+    if time.monotonic() - _collected[0] >= COLLECT_S:
+        spark.sparkContext._jvm.System.gc()
+        _collected[0] = time.monotonic()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage by a table in the shared folder, compressed and readable by every executor."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    collect_garbage(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._table_path = path
     return out

@@ -278,3 +278,21 @@ def test_open_cells_ship_texts_of_possible_partners_only(spark, monkeypatch):
     assert sent, "no cell was open"
     before, after = sent[0]
     assert after < before / 2
+
+
+def test_shuffle_files_of_earlier_steps_go(spark, monkeypatch):
+    """Once a table is written, the files of the shuffles behind it leave the disk without waiting for a full heap."""
+    import time
+
+    from auralake.llm import text
+
+    monkeypatch.setattr(text, "COLLECT_S", 0)
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    spark._jvm.System.gc()
+    before = files()
+    made = text.checkpointed(spark.range(5000).selectExpr("id", "id % 7 as k").repartition(5, "k"))
+    end = time.time() + 20
+    while (left := files() - before) and time.time() < end:
+        time.sleep(0.5)
+        text.collect_garbage(spark)  # as each later step does
+    assert not left and made.count() == 5000
