@@ -8,15 +8,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import DIRECTION
+from ..constants import DIRECTION, FEATURES
 from .features import constant_map, tolerance
 from .ranking import exact_percentiles, with_border
 
 
 def profile(features: DataFrame) -> DataFrame:
     """feature, mean, p05 and p95 (linear interpolation) and the number of values."""
-    shares = exact_percentiles(features, ["feature"], "value", {"p05": 0.05, "p95": 0.95})
-    return features.groupBy("feature").agg(F.avg("value").alias("mean"), F.count("*").alias("n")).join(shares, "feature").select("feature", "mean", "p05", "p95", "n")
+    return exact_percentiles(features, ["feature"], "value", {"p05": 0.05, "p95": 0.95}, mean="mean", n="n").select("feature", "mean", "p05", "p95", "n")
 
 
 def compare(features: DataFrame, base: DataFrame) -> DataFrame:
@@ -36,10 +35,18 @@ def top_regressions(compared: DataFrame, *keys: str, most: int = 5) -> DataFrame
     return compared.where("regressed").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
-def sequential_drift(features: DataFrame, series: str, order: list[str]) -> DataFrame:
-    """Changes of a feature from the result before (in `order` within the series) by its tolerance or more."""
-    w = Window.partitionBy(series, "feature").orderBy(*order)
-    prev = features.withColumn("previous", F.lag("value").over(w))
+def sequential_drift(rows: DataFrame, series: str, order: list[str]) -> DataFrame:
+    """Changes of a feature from the last result before that has it (in `order` within the series) by its tolerance or more: a row a feature.
+
+    rows: `features` array<struct<feature, value>>. A result is shuffled once, as numbers in the order of feature names.
+    """
+    names = sorted(set(FEATURES.values()))
+    before = Window.partitionBy(series).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = lambda name: F.try_element_at(F.filter("features", lambda f: f["feature"] == name), F.lit(1))["value"]
+    flat = rows.select(*[c for c in rows.columns if c != "features"], *[own(n).alias(f"_v{k}") for k, n in enumerate(names)])
+    both = flat.select("*", *[F.last(f"_v{k}", ignorenulls=True).over(before).alias(f"_p{k}") for k in range(len(names))])
+    each = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"_v{k}").alias("value"), F.col(f"_p{k}").alias("previous")) for k, n in enumerate(names)])
+    prev = both.select(*[c for c in rows.columns if c != "features"], F.inline(each)).where("value is not null")
     delta = F.col("value") - F.col("previous")
     moved = F.abs(delta) >= tolerance(F.col("feature"), F.col("previous"))
     return prev.withColumn("delta", delta).withColumn("status", F.when(F.col("previous").isNull(), "baseline").when(moved, "drift").otherwise("stable"))
