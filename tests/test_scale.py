@@ -27,3 +27,11 @@ def test_duplicates_shuffle_signatures_only(spark):
     signed = own.select(features.signature(F.col("features")).alias("signature"), "source_key")
     assert not shuffles(signed)
     assert [tuple(r) for r in features.duplicates(signed).select("results", "sources", "n_groups").collect()] == [(3, 2, 1)]
+
+
+def test_drift_shuffles_a_result_once(spark):
+    rows = [("a", 1, [("noise.snr", 20.0)]), ("a", 2, []), ("a", 3, [("noise.snr", 30.0), ("loudness.true_peak", -2.0)]), ("b", 1, [("noise.snr", 5.0)])]
+    df = spark.createDataFrame(rows, "s string, at int, features array<struct<feature: string, value: double>>")
+    got = sorted((r.s, r["at"], r.feature, r.delta, r.status) for r in baseline.sequential_drift(df, "s", ["at"]).collect())
+    assert got == [("a", 1, "noise.snr", None, "baseline"), ("a", 3, "loudness.true_peak", None, "baseline"), ("a", 3, "noise.snr", 10.0, "drift"), ("b", 1, "noise.snr", None, "baseline")]
+    assert len(shuffles(QUERIES["sequential_drift"](spark, DATA))) == 1
