@@ -35,3 +35,7 @@ def test_drift_shuffles_a_result_once(spark):
     got = sorted((r.s, r["at"], r.feature, r.delta, r.status) for r in baseline.sequential_drift(df, "s", ["at"]).collect())
     assert got == [("a", 1, "noise.snr", None, "baseline"), ("a", 3, "loudness.true_peak", None, "baseline"), ("a", 3, "noise.snr", 10.0, "drift"), ("b", 1, "noise.snr", None, "baseline")]
     assert len(shuffles(QUERIES["sequential_drift"](spark, DATA))) == 1
+
+
+def test_regressions_need_no_grouping_of_results(spark):
+    assert not [s for s in shuffles(QUERIES["baseline_regressions"](spark, DATA)) if "file" in s]
