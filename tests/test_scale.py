@@ -39,3 +39,7 @@ def test_drift_shuffles_a_result_once(spark):
 
 def test_regressions_need_no_grouping_of_results(spark):
     assert not [s for s in shuffles(QUERIES["baseline_regressions"](spark, DATA)) if "file" in s]
+
+
+def test_top_regressions_group_results_once(spark):
+    assert len([s for s in shuffles(QUERIES["top_regressions"](spark, DATA)) if "file" in s]) == 1
