@@ -43,3 +43,7 @@ def test_regressions_need_no_grouping_of_results(spark):
 
 def test_top_regressions_group_results_once(spark):
     assert len([s for s in shuffles(QUERIES["top_regressions"](spark, DATA)) if "file" in s]) == 1
+
+
+def test_wide_rows_need_no_shuffle(spark):
+    assert not shuffles(QUERIES["csv_pivot"](spark, DATA))
