@@ -47,3 +47,7 @@ def test_top_regressions_group_results_once(spark):
 
 def test_wide_rows_need_no_shuffle(spark):
     assert not shuffles(QUERIES["csv_pivot"](spark, DATA))
+
+
+def test_features_need_no_shuffle(spark):
+    assert not shuffles(QUERIES["feature_extract"](spark, DATA))
