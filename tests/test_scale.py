@@ -51,3 +51,7 @@ def test_wide_rows_need_no_shuffle(spark):
 
 def test_features_need_no_shuffle(spark):
     assert not shuffles(QUERIES["feature_extract"](spark, DATA))
+
+
+def test_buckets_need_no_shuffle(spark):
+    assert not shuffles(QUERIES["fingerprint_buckets"](spark, DATA))
