@@ -55,3 +55,10 @@ def test_features_need_no_shuffle(spark):
 
 def test_buckets_need_no_shuffle(spark):
     assert not shuffles(QUERIES["fingerprint_buckets"](spark, DATA))
+
+
+def test_profiles_count_values_once(spark):
+    plan = shuffles(QUERIES["baseline_profile"](spark, DATA))
+    assert not [s for s in plan if "file" in s]
+    df = spark.createDataFrame([("f", float(v)) for v in (1, 2, 2, 4, 11)], "feature string, value double")
+    assert [tuple(r) for r in baseline.profile(df).collect()] == [("f", 4.0, pytest.approx(1.2), pytest.approx(9.6), 5)]
