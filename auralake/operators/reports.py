@@ -136,10 +136,11 @@ def joined_by_path(rows: DataFrame, side: DataFrame, value: str, how: str = "lef
 
 def snippet_segments(enriched: DataFrame, pad_s: float = 0.25) -> DataFrame:
     """file, segment_index, name and bounds, padded and kept within the recording, of segments that have labels."""
-    hit = enriched.where("segment_index is not null and error is null").where(F.size("defect_labels") > 0)
-    end = F.max("segment_end_s").over(Window.partitionBy(F.coalesce("source_file", "file")))
+    labelled = (F.size("defect_labels") > 0).alias("_hit")  # told before the shuffle, which then carries no labels
+    rows = enriched.where("segment_index is not null and error is null").select("file", "source_file", "segment_index", "segment_start_s", "segment_end_s", labelled)
+    end = F.max(F.when(F.col("_hit"), F.col("segment_end_s"))).over(Window.partitionBy(F.coalesce("source_file", "file")))
     name = F.concat(safe_name(F.coalesce("source_file", "file")), F.lit("_segment_"), F.lpad(F.col("segment_index").cast("string"), 4, "0"), F.lit(".wav"))
-    return hit.withColumn("_end", end).select("file", "segment_index", name.alias("name"), F.greatest(F.col("segment_start_s") - pad_s, F.lit(0.0)).alias("start_s"), F.least(F.col("segment_end_s") + pad_s, "_end").alias("end_s"))
+    return rows.withColumn("_end", end).where("_hit").select("file", "segment_index", name.alias("name"), F.greatest(F.col("segment_start_s") - pad_s, F.lit(0.0)).alias("start_s"), F.least(F.col("segment_end_s") + pad_s, "_end").alias("end_s"))
 
 
 def safe_name(text: Column, hashed: bool = False) -> Column:

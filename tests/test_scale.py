@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from auralake.operators import baseline, features
+from auralake.operators import baseline, enrich, features, ranking
 from auralake.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -17,6 +17,18 @@ def shuffles(df) -> list[str]:
     """How rows are dealt in each shuffle of the plan."""
     return re.findall(r"Exchange (\w+\([^\n]*)", df._jdf.queryExecution().executedPlan().toString())
 
+def written(monkeypatch) -> list[set[str]]:
+    """Columns of the tables that cut lineage."""
+    seen, real = [], ranking.checkpointed
+
+    def one(df):
+        seen.append(set(df.columns))
+        return real(df)
+
+    for module in (ranking, enrich):
+        monkeypatch.setattr(module, "checkpointed", one)
+    return seen
+
 
 def test_duplicates_shuffle_signatures_only(spark):
     metrics = lambda *v: [("SNR", v[0]), ("Estimated SNR", v[-1]), ("Other", 1.0)]
@@ -62,3 +74,9 @@ def test_profiles_count_values_once(spark):
     assert not [s for s in plan if "file" in s]
     df = spark.createDataFrame([("f", float(v)) for v in (1, 2, 2, 4, 11)], "feature string, value double")
     assert [tuple(r) for r in baseline.profile(df).collect()] == [("f", 4.0, pytest.approx(1.2), pytest.approx(9.6), 5)]
+
+
+def test_audit_writes_signatures_only(spark, monkeypatch):
+    seen = written(monkeypatch)
+    assert QUERIES["audit_issues"](spark, DATA).count()
+    assert {"_sig", "_dup"} in seen and not [c for c in seen if c & {"metrics", "features", "defect_labels", "fingerprint"}]
