@@ -80,3 +80,9 @@ def test_audit_writes_signatures_only(spark, monkeypatch):
     seen = written(monkeypatch)
     assert QUERIES["audit_issues"](spark, DATA).count()
     assert {"_sig", "_dup"} in seen and not [c for c in seen if c & {"metrics", "features", "defect_labels", "fingerprint"}]
+
+
+def test_comparison_writes_no_rows(spark, monkeypatch):
+    seen = written(monkeypatch)
+    assert QUERIES["baseline_comparison"](spark, DATA).count()
+    assert not [c for c in seen if c & {"metrics", "features", "defect_labels", "fingerprint"}]
