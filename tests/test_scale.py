@@ -86,3 +86,9 @@ def test_comparison_writes_no_rows(spark, monkeypatch):
     seen = written(monkeypatch)
     assert QUERIES["baseline_comparison"](spark, DATA).count()
     assert not [c for c in seen if c & {"metrics", "features", "defect_labels", "fingerprint"}]
+
+
+def test_drift_changes_write_no_rows(spark, monkeypatch):
+    seen = written(monkeypatch)
+    assert QUERIES["drift_changes"](spark, DATA).count()
+    assert not [c for c in seen if c & {"metrics", "features", "defect_labels", "fingerprint"}]
