@@ -98,3 +98,9 @@ def test_report_ranks_what_it_returns(spark, monkeypatch):
     seen = written(monkeypatch)
     assert QUERIES["enrich_report"](spark, DATA).count()
     assert not [c for c in seen if c & {"metrics", "features", "defect_labels", "fingerprint"}] and any({"score", "labels", "_id"} <= c for c in seen)
+
+
+def test_summary_ranks_its_own_columns(spark, monkeypatch):
+    seen = written(monkeypatch)
+    assert QUERIES["insight_summary"](spark, DATA).count()
+    assert not [c for c in seen if c & {"metrics", "features", "repair_suggestions"}]
