@@ -104,3 +104,9 @@ def test_summary_ranks_its_own_columns(spark, monkeypatch):
     seen = written(monkeypatch)
     assert QUERIES["insight_summary"](spark, DATA).count()
     assert not [c for c in seen if c & {"metrics", "features", "repair_suggestions"}]
+
+
+def test_heatmap_writes_no_rows(spark, monkeypatch):
+    seen = written(monkeypatch)
+    assert QUERIES["report_heatmap"](spark, DATA).count()
+    assert not seen
