@@ -110,3 +110,9 @@ def test_heatmap_writes_no_rows(spark, monkeypatch):
     seen = written(monkeypatch)
     assert QUERIES["report_heatmap"](spark, DATA).count()
     assert not seen
+
+
+def test_insights_write_no_rows(spark, monkeypatch):
+    seen = written(monkeypatch)
+    assert QUERIES["scorecard_insights"](spark, DATA).count()
+    assert not [c for c in seen if c & {"metrics", "features", "defect_labels", "fingerprint"}]
