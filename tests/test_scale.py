@@ -116,3 +116,9 @@ def test_insights_write_no_rows(spark, monkeypatch):
     seen = written(monkeypatch)
     assert QUERIES["scorecard_insights"](spark, DATA).count()
     assert not [c for c in seen if c & {"metrics", "features", "defect_labels", "fingerprint"}]
+
+
+def test_snippets_write_no_rows(spark, monkeypatch):
+    seen = written(monkeypatch)
+    assert QUERIES["labelled_snippets"](spark, DATA).count()
+    assert not seen
