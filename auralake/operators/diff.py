@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def last_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key in `order`."""
+def last_of(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """The last row of each key in `order`, which should be total, as one of equal rows is taken otherwise."""
     fields = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*fields), order).alias("r")).select(*keys, "r.*")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*fields), F.struct(*order)).alias("r")).select(*keys, "r.*")
 
 
 def close(a: Column, b: Column) -> Column:

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from auralake.operators import baseline, enrich, features, ranking
+from auralake.operators import baseline, diff, enrich, features, ranking, reports, sinks
 from auralake.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -122,3 +122,10 @@ def test_snippets_write_no_rows(spark, monkeypatch):
     seen = written(monkeypatch)
     assert QUERIES["labelled_snippets"](spark, DATA).count()
     assert not seen
+
+
+def test_equal_ties_go_by_name(spark):
+    rows = [("a", 1.0, 5.0, "x"), ("a", 2.0, 5.0, "y"), ("a", 3.0, 4.0, "z")]
+    for some in (rows, rows[::-1]):
+        df = spark.createDataFrame(some, "k string, value double, tie double, row string").coalesce(1)
+        assert [r.value for r in diff.last_of(df, ["k"], "tie", "row").collect()] == [2.0]
