@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..constants import SPEECH_GROUPS
+from ..functions.signal import bound
 
 #: Metrics of other groups that only make sense on speech, and the share of speech that a mixed recording needs (fixed values).
 SPEECH_METRICS = (
@@ -69,13 +70,18 @@ def merged_diagnostics(diagnostics: Column) -> Column:
     same = ("code", "source", "message", "grp", "metric")
 
     def join(of: Column) -> Column:
+        alone = of[0].withField("count", F.coalesce(of[0]["count"], F.lit(1)).cast("int"))
+        return F.when(F.size(of) == 1, alone).otherwise(joined(of))
+
+    def joined(of: Column) -> Column:
         merged = F.aggregate(of, F.create_map().cast("map<string, string>"), lambda a, d: F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(d["context"], k)), d["context"]))
         count = F.aggregate(of, F.lit(0), lambda a, d: a + F.coalesce(d["count"], F.lit(1)).cast("int"))
         return of[0].withField("count", count).withField("context", merged)
 
     full = F.transform(diagnostics, lambda d: d.withField("context", F.coalesce(d["context"], F.create_map().cast("map<string, string>"))))
-    keys = F.array_distinct(F.transform(diagnostics, lambda d: F.struct(*[d[c].alias(c) for c in same])))
-    return F.transform(keys, lambda k: join(F.filter(full, lambda d: F.struct(*[d[c].alias(c) for c in same]).eqNullSafe(k))))
+    key = lambda d: F.struct(*[d[c].alias(c) for c in same])
+    # lists are bound: an expression in a function over the keys is else computed again for each key and each use
+    return bound(full, lambda held: F.transform(F.array_distinct(F.transform(held, key)), lambda k: bound(F.filter(held, lambda d: key(d).eqNullSafe(k)), join)))
 
 
 def group_health(metrics: Column, diagnostics: Column) -> Column:

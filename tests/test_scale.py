@@ -137,3 +137,7 @@ def test_series_shuffle_a_result_once(spark):
     df = spark.createDataFrame(rows, "file string, ord int, error string, metrics array<struct<grp: string, name: string, value: double>>")
     got = {r.series: r.value for r in sinks.prometheus_rows(df, ["ord"]).collect()}
     assert got == {'audio_metric{file="a\\"",group="g",metric="m"}': 2.0, 'audio_metric{file="a\\"",group="g",metric="n"}': 7.0, 'audio_analysis_error{file="a\\""}': 1.0}
+
+
+def test_diagnostics_are_searched_once_a_key(spark):
+    assert len(re.findall(r"(?<!_)filter\(", str(reports.merged_diagnostics(F.col("d"))))) == 1
