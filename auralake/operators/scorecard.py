@@ -41,8 +41,10 @@ def by_source(facts: DataFrame) -> DataFrame:
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_ord")))
     if "category" not in facts.columns:
         own = rows.groupBy(*keys).agg(F.avg("value").alias("value"), F.max("warned").alias("warned"), first("r").alias("r"), first("unit").alias("unit"), F.lit(None).cast("string").alias("category"))
-    else:  # counts of each category first, then the largest of the most frequent ones
-        some = rows.groupBy(*keys, "category").agg(F.sum("value").alias("s"), F.count("value").alias("c"), F.max("warned").alias("warned"), F.min(F.when(F.col("r").isNotNull(), F.struct("_ord", "r"))).alias("r"), F.min(F.when(F.col("unit").isNotNull(), F.struct("_ord", "unit"))).alias("unit"), F.count("category").alias("n"))
+    else:  # numbers first, which need no sort; then counts of each category, then the largest of the most frequent ones
+        flat = rows.select(*keys, "category", "unit", "r.ref_lo", "r.ref_hi", "value", "warned", "_ord").groupBy(*keys, "category", "unit", "ref_lo", "ref_hi")
+        flat = flat.agg(F.sum("value").alias("s"), F.count("value").alias("c"), F.max("warned").alias("warned"), F.min("_ord").alias("_ord"), F.count("category").alias("n")).withColumn("r", F.when(F.col("ref_lo").isNotNull(), F.struct("ref_lo", "ref_hi")))
+        some = flat.groupBy(*keys, "category").agg(F.sum("s").alias("s"), F.sum("c").alias("c"), F.max("warned").alias("warned"), F.min(F.when(F.col("r").isNotNull(), F.struct("_ord", "r"))).alias("r"), F.min(F.when(F.col("unit").isNotNull(), F.struct("_ord", "unit"))).alias("unit"), F.sum("n").alias("n"))
         own = some.groupBy(*keys).agg(
             (F.sum("s") / F.nullif(F.sum("c"), F.lit(0))).alias("value"), F.max("warned").alias("warned"), F.min("r").alias("r"), F.min("unit").alias("unit"), F.max(F.when(F.col("n") > 0, F.struct("n", "category"))).alias("m")
         ).select(*keys, "value", "warned", F.col("r.r").alias("r"), F.col("unit.unit").alias("unit"), F.col("m.category").alias("category"))
@@ -63,7 +65,7 @@ def rollup(facts: DataFrame, total_sources: DataFrame | None = None, digits: int
     """
     keys = ["grp", "name"]
     sources = checkpointed(by_source(facts))
-    total = (facts if total_sources is None else total_sources).select(F.countDistinct("source_key").alias("source_count"))
+    total = (sources if total_sources is None else total_sources).select(F.countDistinct("source_key").alias("source_count"))
     near = F.round("value", digits)
     inside = near.between(F.col("ref_lo"), F.col("ref_hi"))
     out = sources.groupBy(*keys).agg(

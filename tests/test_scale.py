@@ -6,7 +6,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from auralake.operators import baseline, diff, enrich, features, ranking, reports, sinks
+from auralake import queries
+from auralake.operators import baseline, diff, enrich, features, ranking, reports, scorecard, sinks
 from auralake.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -141,3 +142,9 @@ def test_series_shuffle_a_result_once(spark):
 
 def test_diagnostics_are_searched_once_a_key(spark):
     assert len(re.findall(r"(?<!_)filter\(", str(reports.merged_diagnostics(F.col("d"))))) == 1
+
+
+def test_rollup_shuffles_a_result_once(spark):
+    facts = queries.mixed_facts(spark, DATA)
+    assert len(shuffles(facts)) == 1
+    assert len(shuffles(scorecard.by_source(facts))) == 1  # dealt by source already
